@@ -13,26 +13,32 @@ from pyspark.sql import functions as F
 from .tools import BROADCAST_ROWS, attach, materialise, melt_numeric
 
 
-def running_total(
-    df: DataFrame, group: list[str], order: list[str], amount: str | None = None, out: str = "position"
-) -> DataFrame:
-    """Add the inclusive running total of ``amount`` (row count by default) per group.
+def running_totals(df: DataFrame, group: list[str], order: list[str], amounts: dict[str, str | None]) -> DataFrame:
+    """Add inclusive running totals per group: ``{new column: summed column, or None to count rows}``.
 
     ``order`` must make the rows of a group distinct. Group columns must not be NULL.
     """
-    step = F.lit(1).cast("long") if amount is None else F.col(amount)
-    sliced = df.withColumn(out, step).repartitionByRange(*[F.col(c) for c in [*group, *order]])
+    outs = list(amounts)
+    steps = {o: F.lit(1).cast("long") if c is None else F.col(c) for o, c in amounts.items()}
+    sliced = df.withColumns(steps).repartitionByRange(*[F.col(c) for c in [*group, *order]])
     sliced = materialise(sliced.withColumn("_slice", F.spark_partition_id()))
-    totals = sliced.groupBy(*group, "_slice").agg(F.sum(out).alias("_sum"))
+    totals = sliced.groupBy(*group, "_slice").agg(*[F.sum(o).alias(f"_sum_{o}") for o in outs])
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shift = totals.select(*group, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sliced.withColumn(out, F.sum(out).over(inside))
-    return (
-        attach(ranked, shift, [*group, "_slice"])
-        .withColumn(out, F.col(out) + F.col("_shift"))
-        .drop("_slice", "_shift")
+    shift = totals.select(
+        *group, "_slice", *[F.coalesce(F.sum(f"_sum_{o}").over(earlier), F.lit(0)).alias(f"_shift_{o}") for o in outs]
     )
+    inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sliced.withColumns({o: F.sum(o).over(inside) for o in outs})
+    shifted = attach(ranked, shift, [*group, "_slice"])
+    shifted = shifted.withColumns({o: F.col(o) + F.col(f"_shift_{o}") for o in outs})
+    return shifted.drop("_slice", *[f"_shift_{o}" for o in outs])
+
+
+def running_total(
+    df: DataFrame, group: list[str], order: list[str], amount: str | None = None, out: str = "position"
+) -> DataFrame:
+    """One running total; the row's position (from 1) if no amount is named."""
+    return running_totals(df, group, order, {out: amount})
 
 
 def value_counts(long_df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

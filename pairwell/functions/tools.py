@@ -75,6 +75,10 @@ def melt_text(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     )
 
 
+def value_counts_by_name(long_df: DataFrame) -> DataFrame:
+    return long_df.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def wide_to_long(row_df: DataFrame, columns: list[str], fields: list[str], keep: list[str] = ()) -> DataFrame:
     """Turn the columns ``<field>__<i>`` of a one-pass aggregate into one row per column.
 

@@ -287,6 +287,9 @@ def _search_cells(visits: DataFrame, points: DataFrame, geo: Geometry) -> DataFr
     else:
         visits = visits.withColumn("_chunk", F.lit(0))
         units = units.withColumn("_chunk", F.lit(0))
+    # New names for the same columns, so that both sides may come from one table.
+    visits = visits.select(*[F.col(c).alias(c) for c in visits.columns])
+    units = units.select(*[F.col(c).alias(c) for c in units.columns])
     types = {f.name: f.dataType.simpleString() for f in [*visits.schema, *units.schema]}
     keys = ["blk", "cell", "_chunk"]
     return (
