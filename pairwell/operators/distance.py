@@ -48,7 +48,7 @@ class PairRule:
 @dataclass
 class Units:
     queries: DataFrame  # blk, stratum, q, x.., c.., s.., t.., reach
-    pool: DataFrame  # blk, p, x.., c..
+    pool: DataFrame  # blk, stratum, p, x.., c.., s.., t.., reach
     geometry: Geometry
     id_type: str = "long"
     extra: dict = field(default_factory=dict)
@@ -172,7 +172,7 @@ def compare_units(cohort: DataFrame, id_col: str, rule: PairRule) -> Units:
         tuple(place[w.covariate] for w in ranged),
     )
     queries = whole.where("role = 'query'").select(blk, "stratum", F.col(id_col).alias("q"), *columns, *own)
-    pool = whole.where("role = 'pool'").select(blk, F.col(id_col).alias("p"), *columns)
+    pool = whole.where("role = 'pool'").select(blk, "stratum", F.col(id_col).alias("p"), *columns, *own)
     return Units(queries, pool, geometry, types[id_col])
 
 

@@ -16,17 +16,19 @@ j-th entry, so a group of copies costs as much as its size and not its square.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import running_total
-from ..functions.tools import materialise
-from .distance import PairRule, compare_units, nearest_pairs
+from ..functions.tools import attach, materialise, with_size
+from .distance import PairRule, compare_units, nearest_pairs, with_stratum_of
 from .neighbours import LONG_LIST, nearest
 
 FREE = 1e18  # bound of a unit nobody holds
 SPARE_ENTRIES = 12  # list entries beyond the number of queries sharing the list
 LOOK_AHEAD = 8  # list entries inspected at once when a query moves on
+SMALL_BLOCK = 256  # places to fill in a block that is served in one go
 MEMBER_BLOCK = 65_536  # queries of one list that are scanned in one task
 
 
@@ -109,12 +111,61 @@ def greedy_without_replacement(
     """Each query in turn (by ``order_col``, then id) takes its k nearest units that are still free."""
     units = compare_units(cohort, id_col, rule)
     geo = units.geometry
-    queries = units.queries
-    order = ["q"]
+    queries, order = units.queries, ["q"]
     if order_col is not None:
         places = cohort.select(F.col(id_col).alias("q"), F.col(order_col).alias("_order"))
         queries, order = queries.join(places, "q"), ["_order", "q"]
-    pool = materialise(units.pool)
+    queries = materialise(queries)
+    asked = queries.groupBy("blk").agg(F.count(F.lit(1)).alias("_m")).withColumn("_small", F.col("_m") * k <= SMALL_BLOCK)
+    asked, blocks = with_size(asked)
+    split = asked.agg(F.count_if("_small"), F.count_if(~F.col("_small"))).first()
+    parts = []
+    if split[0] or not split[1]:
+        few = attach(queries, asked.where("_small"), ["blk"], rows=blocks)
+        parts.append(_serve_small_blocks(few, units.pool.join(asked.where("_small"), "blk", "left_semi"), geo, order, k))
+    if split[1]:
+        many = attach(queries, asked.where("!_small"), ["blk"], rows=blocks).drop("_m", "_small")
+        parts.append(_serve_in_rounds(many, units.pool.join(asked.where("!_small"), "blk", "left_semi"), geo, order, k))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _serve(k: int):
+    def serve(lists: pd.DataFrame) -> pd.DataFrame:
+        """Go through the queries' lists in serving order and hand out free units."""
+        lists = lists.sort_values(["turn", "rank"], kind="stable")
+        taken, given, rows = set(), {}, []
+        for at, (q, p) in enumerate(zip(lists["q"], lists["p"])):
+            n = given.get(q, 0)
+            if n < k and p not in taken:
+                taken.add(p)
+                given[q] = n + 1
+                rows.append((at, n + 1))
+        kept = lists.iloc[[at for at, _ in rows]].copy()
+        kept["rank"] = [r for _, r in rows]
+        return kept[["blk", "q", "p", "dist", "rank"]]
+
+    return serve
+
+
+def _serve_small_blocks(queries: DataFrame, pool: DataFrame, geo, order: list[str], k: int) -> DataFrame:
+    """Blocks with few queries: the m-th query needs at most its m·k nearest units, so lists of that
+    length decide the block, and their total size is bounded."""
+    asked = queries.withColumn("need", F.col("_m") * k)
+    found = nearest(asked.drop("stratum", "_m", "_small"), pool, geo)
+    turn = F.struct(*order)
+    found = found.join(queries.select("blk", "q", turn.alias("_t")), ["blk", "q"])
+    turns = Window.partitionBy("blk").orderBy("_t")
+    found = found.withColumn("turn", F.dense_rank().over(turns)).drop("_t")
+    types = dict(found.dtypes)
+    served = found.groupBy("blk").applyInPandas(
+        _serve(k), f"blk string, q {types['q']}, p {types['p']}, dist double, rank int"
+    )
+    return with_stratum_of(served)
+
+
+def _serve_in_rounds(queries: DataFrame, pool: DataFrame, geo, order: list[str], k: int) -> DataFrame:
+    """Blocks of any size, by rounds of proposals."""
+    pool = materialise(pool)
     members, owners, shared = _members(queries, geo, order, k)
     columns = ["stratum", "q", "slot", "cls", "prio", "gen", "j", "pos", "u", "dist", "state"]
     waiting, settled, lists = materialise(members), None, None
@@ -154,10 +205,8 @@ def greedy_without_replacement(
         ended = past.where("_all").withColumn("state", F.lit("none")).select(*columns)
         settled = materialise(rows.where("state != 'past'").unionByName(ended))
         gen, spare = gen + 1, spare * 2
-    if settled is None:
-        return nearest_pairs(cohort, id_col, rule, k).limit(0)
     return settled.where("state = 'held'").select(
-        "stratum", F.col("q").alias("query_id"), F.col("u").alias("pool_id"), "dist", (F.col("slot") + 1).alias("rank")
+        "stratum", F.col("q").alias("query_id"), F.col("u").alias("pool_id"), "dist", (F.col("slot") + 1).cast("int").alias("rank")
     )
 
 

@@ -47,8 +47,9 @@ def test_copies_and_windows_with_small_cells(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_UNITS", 16)
     monkeypatch.setattr(greedy, "SPARE_ENTRIES", 2)
     monkeypatch.setattr(greedy, "MEMBER_BLOCK", 7)
-    df = frame(4, 200, 0.4, True, 1)
-    df.loc[df.index[:70], ["x", "y"]] = 1.0
+    monkeypatch.setattr(greedy, "SMALL_BLOCK", 0)
+    df = frame(4, 90, 0.4, True, 1)
+    df.loc[df.index[:30], ["x", "y"]] = 1.0
     assert run(spark, df, PairRule(("x", "y"))) == serve(df, ["x", "y"], 1)
     rule = PairRule(("x", "y"), windows=(Window("x", 1.0),))
     assert run(spark, df, rule) == serve(df, ["x", "y"], 1, 1.0)
