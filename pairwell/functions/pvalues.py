@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 KOLMOGOROV_TERMS = 100
 
@@ -20,7 +21,7 @@ def ks_p_value(stat: Column, n1: Column, n0: Column) -> Column:
     return F.when(lam < 0.3, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _upper_tail(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.erfc(math.sqrt(v / 2)), na_action="ignore").astype(float)
 
