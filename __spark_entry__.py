@@ -163,9 +163,9 @@ def _(spark, sf_dir):
 
 
 @query("lenient_cast", """SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderpriority = '1-URGENT' THEN '1' WHEN o_orderpriority = '2-HIGH' THEN '2'
-ELSE o_orderpriority END AS BIGINT) AS o_orderpriority, CAST(o_custkey AS INTEGER) AS o_custkey FROM orders""")
+ELSE o_orderpriority END AS DOUBLE) AS o_orderpriority, CAST(o_custkey AS INTEGER) AS o_custkey FROM orders""")
 def _(spark, sf_dir):
-    return cleaned(spark, sf_dir, "orders", o_orderkey={}, o_orderpriority={"type": "int", "mappings": {"1-URGENT": "1", "2-HIGH": "2"}}, o_custkey={"type": "int32"})
+    return cleaned(spark, sf_dir, "orders", o_orderkey={}, o_orderpriority={"type": "float64", "mappings": {"1-URGENT": "1", "2-HIGH": "2"}}, o_custkey={"type": "int32"})
 
 
 @query("multiply", "SELECT p_partkey, p_retailprice * 1.5 AS p_retailprice, p_size * 2.0 AS p_size FROM part")
