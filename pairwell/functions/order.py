@@ -57,11 +57,9 @@ def exact_quantiles(
     """
     group = list(group)
     keys = [*group, "variable"]
-    counts = value_counts(melt_numeric(df, columns, group), keys)
-    ranked = running_total(counts, keys, ["value"], "n", "upto")
-    ranked = materialise(ranked)
-    sizes = ranked.groupBy(*keys).agg(F.max("upto").alias("_size"))
-    ranked = attach(ranked, sizes, keys)
+    counts = materialise(value_counts(melt_numeric(df, columns, group), keys))
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_size"))
+    ranked = attach(running_total(counts, keys, ["value"], "n", "upto"), sizes, keys)
 
     def at(position: Column) -> Column:
         return F.min(F.when(F.col("upto") > position, F.col("value")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import running_totals
 from ..functions.pvalues import chi2_p_value, ks_p_value
-from ..functions.tools import attach, is_numeric, melt_numeric, melt_text, wide_to_long
+from ..functions.tools import attach, is_numeric, materialise, melt_numeric, melt_text, wide_to_long
 
 BINS = 20  # fixed value: histogram bins of the divergence of numeric covariates
 METRICS = ("smd", "variance_ratio", "ks_test", "chi_square", "jensen_shannon")
@@ -114,10 +114,10 @@ def ks_test(df: DataFrame, treatment_col: str, covariates: list[str]) -> DataFra
     numeric = _numeric(df, covariates)
     if not numeric:
         return _complete(_no_rows(df, "variable string, ks_stat double, ks_p double"), df, covariates)
-    counts = _counts_by_group(melt_numeric(df, numeric, [treatment_col]), treatment_col)
+    counts = materialise(_counts_by_group(melt_numeric(df, numeric, [treatment_col]), treatment_col))
     steps = running_totals(counts, ["variable"], ["value"], {"c1": "k1", "c0": "k0"})
-    totals = steps.groupBy("variable").agg(
-        F.max("c1").alias("n1"), F.max("c0").alias("n0"), F.count(F.lit(1)).alias("levels")
+    totals = counts.groupBy("variable").agg(
+        F.sum("k1").alias("n1"), F.sum("k0").alias("n0"), F.count(F.lit(1)).alias("levels")
     )
     totals = totals.where((F.col("levels") > 2) & (F.col("n1") > 0) & (F.col("n0") > 0))
     gaps = attach(steps, totals, ["variable"], rows=len(numeric))

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pairwell.operators import greedy, neighbours
+from pairwell.operators import greedy
 from pairwell.operators.cohort import resolve_direction, with_stratum
 from pairwell.operators.distance import PairRule, Window
 from pairwell.operators.greedy import greedy_pairs
@@ -43,16 +43,14 @@ def test_same_as_serving_one_by_one(spark, seed, n, share, grid, k):
     assert run(spark, df, PairRule(("x", "y")), k) == serve(df, ["x", "y"], k)
 
 
-def test_copies_and_windows_with_small_cells(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CELL_UNITS", 16)
-    monkeypatch.setattr(greedy, "SPARE_ENTRIES", 2)
-    monkeypatch.setattr(greedy, "MEMBER_BLOCK", 7)
+def test_rounds_with_copies(spark, monkeypatch):
     monkeypatch.setattr(greedy, "SMALL_BLOCK", 0)
-    df = frame(4, 90, 0.4, True, 1)
-    df.loc[df.index[:30], ["x", "y"]] = 1.0
-    assert run(spark, df, PairRule(("x", "y"))) == serve(df, ["x", "y"], 1)
-    rule = PairRule(("x", "y"), windows=(Window("x", 1.0),))
-    assert run(spark, df, rule) == serve(df, ["x", "y"], 1, 1.0)
+    monkeypatch.setattr(greedy, "SPARE_ENTRIES", 3)
+    monkeypatch.setattr(greedy, "MEMBER_BLOCK", 4)
+    df = frame(4, 46, 0.4, True, 1)
+    df.loc[df.index[:16], ["x", "y"]] = 1.0
+    rule = PairRule(("x", "y"), windows=(Window("x", 2.0),))
+    assert run(spark, df, rule, 2) == serve(df, ["x", "y"], 2, 2.0)
 
 
 def test_fewer_than_k_is_kept(spark):
