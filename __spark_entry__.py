@@ -8,6 +8,7 @@ Cohorts on the given tables:
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from pairwell.plans.run import RunResult, run_matching
 from pairwell.plans.spec import MatchSpec
 from pairwell.sources.files import describe_columns, load
 from pairwell.sources.merge import merge_populations
-from pairwell.sources.results import promote
+from pairwell.sources.results import compare_runs, promote, save_result
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -693,3 +694,34 @@ def _(spark, sf_dir):
     if not result.success:
         raise RuntimeError(result.error)
     return rounded(result.tables["balance_table"])
+
+
+def run_sql(caliper: int) -> str:
+    """Metrics of a run: nearest neighbour with replacement under a scalar caliper, per nation."""
+    return f"""SELECT 'greedy_nn' AS algorithm, 'euclidean' AS distance, 'treated_to_control' AS direction, 'False' AS use_propensity_score,
+  round((SELECT count(*) FROM pairs{caliper}) / (SELECT sum(treated) FROM customers), 6) AS match_rate,
+  (SELECT round(avg(dist), 6) FROM pairs{caliper}) AS mean_distance, (SELECT CAST(count(*) AS DOUBLE) FROM pairs{caliper}) AS n_pairs"""
+
+
+def pairs_sql(caliper: int) -> str:
+    return f"""d{caliper} AS (SELECT q.c_custkey AS query_id, {EUCLID} AS dist FROM customers q JOIN customers p ON q.c_nationkey = p.c_nationkey AND q.treated = 1 AND p.treated = 0 WHERE {EUCLID} <= {caliper}),
+pairs{caliper} AS (SELECT query_id, min(dist) AS dist FROM d{caliper} GROUP BY 1)"""
+
+
+@query("compare_runs", f"WITH {CUSTOMERS}, {pairs_sql(300)}, {pairs_sql(60)} {run_sql(300)} UNION ALL {run_sql(60)}")
+def _(spark, sf_dir):
+    people, folders = customers(spark, sf_dir), []
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairwell-runs-")
+    for caliper in (300.0, 60.0):
+        result = run_matching(people, MatchSpec.from_dict({
+            "population": {"treatment_col": "treated", "id_col": "c_custkey"},
+            "covariates": {"matching_covariates": list(TWO)},
+            "constraints": {"exact_match_covariates": ["c_nationkey"]},
+            "strategy": {"allow_replacement": True, "caliper_value": caliper},
+            "diagnostics": {"run_balance_diagnostics": False},
+        }))
+        if not result.success:
+            raise RuntimeError(result.error)
+        folders.append(f"{root}/runs/{result.run_id}")
+        save_result(spark, result, folders[-1])
+    return rounded(compare_runs(spark, folders).drop("run_id", "created_at", "max_abs_smd_after"))

@@ -99,10 +99,11 @@ def _advance(rows: DataFrame, lists: DataFrame, shared: bool) -> DataFrame:
         moved = moved.join(tops, ["cls", "gen", "_block"], "left")
         lead = F.greatest(F.max("_lead").over(within), F.coalesce("_before", F.max("_lead").over(within)))
         moved = moved.withColumn("_new", F.col("j") + lead).drop("_lead", "_block", "_before")
+    moved = materialise(moved)
     changed = F.col("_new") != F.col("pos")
     still = moved.where(~changed).drop("_new")
     going = moved.where(changed).withColumn("pos", F.col("_new")).drop("_new", "u", "dist", "state")
-    return still.unionByName(_look_up(going, lists).select(*still.columns))
+    return materialise(still.unionByName(_look_up(going, lists).select(*still.columns)))
 
 
 def greedy_without_replacement(

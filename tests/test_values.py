@@ -93,6 +93,21 @@ def test_nearest_donors(spark):
         impute.fit_impute(void, config, "id")
 
 
+def test_chained_regressions(spark):
+    rows = [(i, float(i), None if i % 4 == 0 else 3.0 * i + 1, None if i % 5 == 1 else 50.0 - i) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    rule = MissingRule("impute", imputer="iterative")
+    config = TableConfig({
+        "id": ColumnSpec("id", id=True),
+        "a": ColumnSpec("a", numerical=True),
+        "b": ColumnSpec("b", numerical=True, missing_data_management=rule),
+        "c": ColumnSpec("c", numerical=True, missing_data_management=rule),
+    })
+    state = impute.fit_impute(df, config)
+    for r in impute.impute(df, config, state).collect():
+        assert r.b == pytest.approx(3.0 * r.a + 1, abs=0.2) and r.c == pytest.approx(50.0 - r.a, abs=0.2)
+
+
 def test_mixed_distances(spark):
     rows = [(1, 1, 20.0, "north"), (2, 0, 30.0, "south"), (3, 0, 40.0, "south")]
     df = cohort.resolve_direction(cohort.with_stratum(spark.createDataFrame(rows, "id long, t int, age double, region string")), "t")
