@@ -79,3 +79,32 @@ def test_failures(spark):
         spec(strategy={"matching_algorithm": "optimal_hungarian", "allow_replacement": True})
     result = run_matching(biased_cohort(spark, 20).drop("age"), spec())
     assert not result.success and "age" in result.error
+
+
+def test_transport_and_optimal_runs(spark):
+    cohort = biased_cohort(spark, 120)
+    chosen = run_matching(
+        cohort,
+        spec(strategy={"matching_algorithm": "optimal_transport_sinkhorn", "optimal_transport_target_size": 9, "apply_candidate_prefilter": True, "prefilter_k_neighbors": 3}),
+    )
+    assert chosen.success, chosen.error
+    assert chosen.metrics["n_pool_units_selected"] == 9 and chosen.metrics["match_rate"] == 0
+    assert {r["__role__"] for r in chosen.datasets["matched_dataset"].collect()} == {"selected"}
+    assert smds(chosen)["age"].smd_after is None and chosen.metrics["max_abs_smd_after"] == 0
+
+    wards = cohort.selectExpr("*", "concat('w', patient_id % 3) AS ward")
+    best = run_matching(
+        wards,
+        spec(
+            population={"treatment_col": "treatment", "id_col": "patient_id", "matching_direction": "control_to_treated"},
+            covariates={"matching_covariates": ["age", "ward"]},
+            distance={"distance_metric": "gower"},
+            constraints={"caliper_windows": [{"covariate": "age", "caliper_value": 0.5, "scale": "standard_deviation"}]},
+            strategy={"matching_algorithm": "optimal_hungarian"},
+        ),
+    )
+    assert best.success, best.error
+    rows = best.datasets["matched_dataset"].collect()
+    assert len(rows) == 2 * best.metrics["pair_n_pairs"] and best.metrics["optimality_gap_bound"] == 0
+    assert {r["__role__"] for r in rows if r.treatment == 0} == {"control"}
+    assert sorted({r.pair_id for r in rows}) == list(range(int(best.metrics["pair_n_pairs"])))
