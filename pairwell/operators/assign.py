@@ -23,7 +23,7 @@ from .neighbours import nearest
 SMALL_SIDE = 256  # bidders of a block that is solved in one go
 SMALL_LIST = 65_536  # most list entries of such a block
 FIRST_LIST = 16
-PRECISION = 1e-7  # smallest price step, relative to the largest first-list distance
+PRECISION = 1e-7  # smallest price step, relative to the largest possible distance
 PATIENCE = 8  # rounds after which a losing bidder's price step doubles
 
 
@@ -121,7 +121,9 @@ def _flow_by_auction(asks: DataFrame, offers: DataFrame, geo) -> DataFrame:
     lists, frontier = None, None
     held = parked = None
     patience, relist = 0, asks.select(*bidder).withColumn("need", F.lit(FIRST_LIST).cast("long"))
-    top_cost = None
+    farthest = _farthest(asks, offers, geo)
+    penalty = 2.0 * farthest * (asks.count() + 1) + 1.0  # no rearrangement can cost as much
+    step = PRECISION * farthest or PRECISION
     while True:
         if relist is not None:
             asked = asks.drop("supply", "capacity", "stratum").join(relist, bidder)
@@ -146,20 +148,18 @@ def _flow_by_auction(asks: DataFrame, offers: DataFrame, geo) -> DataFrame:
                 entries = lists.join(relist, bidder, "left_anti").unionByName(entries)
                 ends = frontier.join(relist, bidder, "left_anti").unionByName(ends)
             lists, frontier = materialise(entries), materialise(ends)
-            if top_cost is None:
-                top_cost = lists.agg(F.max("cost")).first()[0] or 1.0
-                penalty = 2.0 * top_cost * (asks.count() + 1) + 1.0
-                step = PRECISION * top_cost or PRECISION
         state = asks.select(*bidder, "supply", "capacity")
         if held is not None:
-            got = held.unionByName(parked).groupBy(*bidder).agg(F.sum("mass").alias("_got"))
+            got = held.select(*bidder, "mass").unionByName(parked).groupBy(*bidder).agg(F.sum("mass").alias("_got"))
             state = state.join(got, bidder, "left").withColumn("supply", F.col("supply") - F.coalesce("_got", F.lit(0))).drop("_got")
         active = materialise(state.where("supply > 0"))
         if not active.limit(1).count():
             break
         patience += 1
         epsilon = step * 2.0 ** (patience // PATIENCE)
-        options = active.join(frontier, bidder).join(lists, bidder, "left")
+        # A row without any candidate has a complete, empty list.
+        alone = active.join(lists.select(*bidder).distinct(), bidder, "left_anti")
+        options = active.join(frontier, bidder).join(lists, bidder)
         if held is not None:
             options = options.join(_prices(held).select("p", "price"), "p", "left")
         else:
@@ -173,15 +173,14 @@ def _flow_by_auction(asks: DataFrame, offers: DataFrame, geo) -> DataFrame:
         )
         second = F.least(F.coalesce("v2", F.lit(float("inf"))), F.lit(penalty))
         two = materialise(two.withColumn("second", second))
-        short = (F.col("frontier") < F.col("second")) & (F.coalesce("v1", F.lit(0.0)) < penalty)
+        short = (F.col("frontier") < F.col("second")) & (F.col("v1") < penalty)
         longer = materialise(two.where(short).select(*bidder, (F.col("size") * 4).alias("need")))
         relist = longer if longer.limit(1).count() else None
         ready = two.where(~short)
-        gone = ready.where(F.col("p").isNull() | (F.col("v1") >= penalty))
-        bids = ready.where(F.col("p").isNotNull() & (F.col("v1") < penalty)).select(
+        bids = ready.where(F.col("v1") < penalty).select(
             *bidder, "p", "cost", "mass", "capacity", (F.col("second") - F.col("cost") + epsilon).alias("bid"), F.lit(epsilon).alias("step")
         )
-        gone = gone.select(*bidder, F.lit(None).cast(dict(offers.dtypes)["p"]).alias("p"), "cost", "mass", "capacity", F.lit(0.0).alias("bid"), F.lit(0.0).alias("step"))
+        gone = ready.where(F.col("v1") >= penalty).select(*bidder, "mass").unionByName(alone.select(*bidder, F.col("supply").alias("mass")))
         parked = materialise(gone if parked is None else parked.unionByName(gone))
         merged = bids if held is None else held.unionByName(bids)
         merged = merged.groupBy(*bidder, "p", "bid").agg(
@@ -193,6 +192,16 @@ def _flow_by_auction(asks: DataFrame, offers: DataFrame, geo) -> DataFrame:
     return held.select(*bidder, "p", F.col("cost").alias("dist"), "mass", "step")
 
 
+def _farthest(asks: DataFrame, offers: DataFrame, geo) -> float:
+    """An upper bound of every distance between the two sides."""
+    if geo.metric != "euclidean":
+        return float(geo.combine(float(geo.n_num), float(geo.n_cat), np.sqrt))
+    xs = [f"x{i}" for i in range(geo.n_num)]
+    both = asks.select(*xs).unionByName(offers.select(*xs))
+    row = both.agg(*[(F.max(x) - F.min(x)).alias(x) for x in xs]).first()
+    return float(np.sqrt(sum((row[x] or 0.0) ** 2 for x in xs)))
+
+
 def _prices(held: DataFrame) -> DataFrame:
     used = held.groupBy("p").agg(F.sum("mass").alias("_used"), F.min("bid").alias("_low"), F.max("capacity").alias("capacity"))
     return used.withColumn("price", F.when(F.col("_used") >= F.col("capacity"), F.col("_low")).otherwise(0.0))

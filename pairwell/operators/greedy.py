@@ -72,9 +72,12 @@ def _look_up(rows: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def _mark(rows: DataFrame) -> DataFrame:
-    """Flag the rows whose unit is also claimed by an earlier query."""
-    firsts = rows.where("state = 'held'").groupBy("u").agg(F.min("prio").alias("first"))
-    return rows.join(firsts, "u", "left").withColumn("lost", F.coalesce(F.col("prio") > F.col("first"), F.lit(False)))
+    """Flag the rows whose unit is also claimed by an earlier query. Rows without a unit stay out of the join."""
+    held = rows.where("state = 'held'")
+    firsts = held.groupBy("u").agg(F.min("prio").alias("first"))
+    claimed = held.join(firsts, "u").withColumn("lost", F.col("prio") > F.col("first"))
+    idle = rows.where("state != 'held'").withColumns({"first": F.lit(None).cast("double"), "lost": F.lit(False)})
+    return claimed.select(*idle.columns).unionByName(idle)
 
 
 def _advance(rows: DataFrame, lists: DataFrame, shared: bool) -> DataFrame:
@@ -82,10 +85,11 @@ def _advance(rows: DataFrame, lists: DataFrame, shared: bool) -> DataFrame:
     losers = rows.where("lost").select("q", "slot", "cls", "gen", "pos", "prio")
     ahead = losers.withColumn("_pos", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + LOOK_AHEAD)))
     entries = lists.select("cls", "gen", F.col("pos").alias("_pos"), "u")
-    offers = ahead.join(entries, ["cls", "gen", "_pos"], "left").join(firsts, "u", "left")
-    open_to = F.col("u").isNotNull() & (F.col("first").isNull() | (F.col("first") > F.col("prio")))
-    moves = offers.groupBy("q", "slot").agg(
-        F.coalesce(F.min(F.when(open_to, F.col("_pos"))), F.max("pos") + LOOK_AHEAD + 1).alias("_next")
+    offers = ahead.join(entries, ["cls", "gen", "_pos"]).join(firsts, "u", "left")
+    open_to = F.col("first").isNull() | (F.col("first") > F.col("prio"))
+    found = offers.where(open_to).groupBy("q", "slot").agg(F.min("_pos").alias("_found"))
+    moves = losers.join(found, ["q", "slot"], "left").select(
+        "q", "slot", F.coalesce("_found", F.col("pos") + LOOK_AHEAD + 1).alias("_next")
     )
     plain = rows.drop("first", "lost")
     moved = plain.join(moves, ["q", "slot"], "left").withColumn("_new", F.coalesce("_next", "pos")).drop("_next")
@@ -197,7 +201,7 @@ def _serve_in_rounds(queries: DataFrame, pool: DataFrame, geo, order: list[str],
         finished = materialise(finished)
         started = _hand_out_lists(waiting.select("stratum", "q", "slot", "cls", "prio"), lists, gen, longest).select(*columns)
         rows = started if settled is None else settled.unionByName(started)
-        rows = materialise(_mark(rows))
+        rows = materialise(_mark(materialise(rows)))
         while rows.where("lost").limit(1).count():
             rows = materialise(_mark(_advance(rows, lists, shared)))
         rows = rows.select(*columns)
