@@ -22,8 +22,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture(scope="session")
-def data_dir():
-    return os.environ.get("PAIRWELL_DATA", "/root/testdata/sf0.001")
