@@ -725,3 +725,19 @@ def _(spark, sf_dir):
         folders.append(f"{root}/runs/{result.run_id}")
         save_result(spark, result, folders[-1])
     return rounded(compare_runs(spark, folders).drop("run_id", "created_at", "max_abs_smd_after"))
+
+
+# ---------------------------------------------------------------- training-data operators
+
+
+try:
+    import corpus_pipeline
+    from pairwell.llm import queries as _llm
+except ModuleNotFoundError as exc:  # only the missing subpackage itself is passed over
+    if exc.name not in ("corpus_pipeline", "pairwell.llm"):
+        raise
+else:
+    _QUERIES.update(_llm.queries(), pipeline=corpus_pipeline.run)
+    _ORACLE.update(_llm.oracle_sql())
+    if corpus_pipeline.ORACLE_SQL is not None:
+        _ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
