@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, pack
 
 
 def queries() -> dict:
     return {
+        "op2_packing": pack.packing,
         "op3_decontamination": decontaminate.contamination,
     }
 

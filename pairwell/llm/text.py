@@ -46,15 +46,16 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(texts: list, limit: int = SLICE) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+def slices(sizes: list[int], limit: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``limit`` bytes together; a longer text is a run of its own."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if total and total + n > limit:
             yield start, i
-            start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += n + 1
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def words(texts: list[bytes], gap: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
