@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pack
+from . import decontaminate, neardup, pack
 
 
 def queries() -> dict:
     return {
         "op2_packing": pack.packing,
         "op3_decontamination": decontaminate.contamination,
+        "op7_near_duplicates": neardup.near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontamination": decontaminate.SQL,
+        "op7_near_duplicates": neardup.SQL,
     }
