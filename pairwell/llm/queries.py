@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, pack
+from . import decontaminate, neardup, pack, quality
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_packing": pack.packing,
         "op3_decontamination": decontaminate.contamination,
         "op7_near_duplicates": neardup.near_duplicates,
+        "op8_quality": quality.quality,
     }
 
 
