@@ -24,14 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folds import held_out, sampled
 from .tables import small, written
 from .text import appended, byte_texts, prefix, prefixed, quoted, refuse_clash, slices, span_hashes, unprefixed, with_columns, words
 
 SAMPLE = 20_000
-_HASH_PARTS = 1 << 20
 
 _KINDS = np.full(256, 9, np.int64)  # other ASCII signs
 _KINDS[ord("a") : ord("z") + 1] = 0
@@ -159,22 +159,13 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(x.tolist(), pa.list_(pa.float64()))], names=["positive", "x"])
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-
-
 def learned(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Net | None:
     """The network fitted on a bounded sample of the rows that are not held out."""
     ident = F.col(quoted(doc_id))
-    own = docs.where(ident.isNotNull() & ~held_out(ident)).select(ident.alias("doc_id"), F.col(quoted(text)).alias("text"))
-    good = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).select("doc_id").distinct()
-
-    def part(df: DataFrame, salt: int) -> DataFrame:
-        rows = df.count()
-        share = _HASH_PARTS if rows <= sample else int(_HASH_PARTS * sample / rows)
-        return df.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(_HASH_PARTS)) < share)
+    own = docs.where(ident.isNotNull() & ~held_out(ident, 3, 1)).select(ident.alias("doc_id"), F.col(quoted(text)).alias("text"))
+    good = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"), 3, 1)).select("doc_id").distinct()
 
-    chosen = part(good, 1).withColumn("positive", F.lit(True)).unionByName(part(own.select("doc_id"), 2).withColumn("positive", F.lit(False)))
+    chosen = sampled(good, sample, 1).withColumn("positive", F.lit(True)).unionByName(sampled(own.select("doc_id"), sample, 2).withColumn("positive", F.lit(False)))
     rows = own.join(small(written(chosen), 16), "doc_id").select("positive", "text").mapInArrow(_featured, "positive boolean, x array<double>")
     table = rows.orderBy("positive", "x").toPandas()
     parts = [np.array(table.x[table.positive == p].tolist()).reshape(-1, N_FEATURES) for p in (True, False)]
@@ -201,7 +192,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     net = learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return scored(docs, net).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, pack, quality
+from . import decontaminate, language, neardup, pack, quality
 
 
 def queries() -> dict:
     return {
+        "op1_languages": language.languages,
         "op2_packing": pack.packing,
         "op3_decontamination": decontaminate.contamination,
         "op7_near_duplicates": neardup.near_duplicates,
