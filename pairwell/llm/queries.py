@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, neardup, pack, quality
+from . import decontaminate, language, neardup, pack, quality, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_decontamination": decontaminate.contamination,
         "op7_near_duplicates": neardup.near_duplicates,
         "op8_quality": quality.quality,
+        "op10_toxicity": toxicity.toxicity,
     }
 
 
