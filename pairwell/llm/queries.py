@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, neardup, pack, quality, topk, toxicity
+from . import decontaminate, html, language, neardup, pack, quality, topk, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_topk": topk.top_ten,
         "op7_near_duplicates": neardup.near_duplicates,
         "op8_quality": quality.quality,
+        "op9_main_text": html.main_texts,
         "op10_toxicity": toxicity.toxicity,
     }
 
