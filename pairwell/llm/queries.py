@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, language, neardup, pack, quality, topk, toxicity
+from . import decontaminate, html, language, linededup, neardup, pack, quality, topk, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_languages": language.languages,
         "op2_packing": pack.packing,
         "op3_decontamination": decontaminate.contamination,
+        "op4_line_dedup": linededup.line_dedup,
         "op5_topk": topk.top_ten,
         "op7_near_duplicates": neardup.near_duplicates,
         "op8_quality": quality.quality,
@@ -21,6 +22,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontamination": decontaminate.SQL,
+        "op4_line_dedup": linededup.SQL,
         "op5_topk": topk.SQL,
         "op7_near_duplicates": neardup.SQL,
     }
