@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, language, linededup, neardup, pack, quality, topk, toxicity
+from . import decontaminate, html, language, licenses, linededup, neardup, pack, quality, topk, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_decontamination": decontaminate.contamination,
         "op4_line_dedup": linededup.line_dedup,
         "op5_topk": topk.top_ten,
+        "op6_license_scan": licenses.license_scan,
         "op7_near_duplicates": neardup.near_duplicates,
         "op8_quality": quality.quality,
         "op9_main_text": html.main_texts,
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontamination": decontaminate.SQL,
         "op4_line_dedup": linededup.SQL,
         "op5_topk": topk.SQL,
+        "op6_license_scan": licenses.SQL,
         "op7_near_duplicates": neardup.SQL,
     }
