@@ -4,12 +4,14 @@
    signature: its top bits choose the bin, each bin keeps its minimum, an empty bin takes the value of a
    full bin found by hashing (bin, attempt).
 2. Texts with equal sets (128-bit digest) are one class with one representative.
-3. Bands of signature rows are bucket keys. Within a bucket the edges are stars: in round r a bucket has
-   at most 2**r centres, the representatives that share most bucket places, and each is compared only
-   with members of other components. A centre leaves its bucket once it was compared, a bucket ends when
-   it holds one component, so no link between bucket mates is lost and pairs inside a component are
-   never formed. Each edge is confirmed on the full sets.
-4. Components come from the confirmed edges.
+3. Bands of signature rows are bucket keys. Within a bucket the edges are stars: first from the one member
+   that shares most bucket places, then from the best of each of ``STARS`` random parts, to the members of other
+   components. Stars join nearly all of a group, and buckets with one component are dropped. In the few
+   that are left, pairs of members of different components are compared, so that no link is lost while
+   pairs inside a component are never formed.
+   Each row carries an odd sketch (bit parities of its set): the bits in which two sketches differ are at most the
+   hashes in which the sets differ, so pairs that cannot reach the threshold are dropped inside the join.
+4. Each remaining edge is confirmed on the full sets. Components come from the confirmed edges.
 
 A pair with similarity s is missed with probability (1 - s**ROWS)**BANDS: below 0.0001 at 0.85.
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -37,6 +39,9 @@ BINS = BANDS * ROWS
 _SHIFT = np.uint64(64 - 8)
 assert BINS == 256
 
+SKETCH = 16  # longs
+STARS = 16
+
 _SALTS = mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 _ATTEMPTS = 512
 # The bin that an empty bin asks in each attempt.
@@ -90,6 +95,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix((sig.reshape(BANDS, ROWS) * _KEYS).sum(1, dtype=np.uint64)).view(np.int64)
 
 
+def odd_sketch(values: np.ndarray) -> np.ndarray:
+    """Parity of how many hashes fall on each of the bits."""
+    bits = np.bincount((values & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _signatures(width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
@@ -103,7 +114,8 @@ def _signatures(width: int):
                     pa.array([mix(s).sum(dtype=np.uint64).astype(np.int64) for s in sets], pa.int64()),
                     pa.array([mix(s ^ _SALTS[0]).sum(dtype=np.uint64).astype(np.int64) for s in sets], pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
-                ], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+                    pa.array([odd_sketch(s) for s in sets], pa.list_(pa.int64())),
+                ], names=["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"])
 
     return work
 
@@ -137,50 +149,56 @@ def _confirm(percent: int):
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least ``percent``), kept."""
     texts = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
-    sigs = written(texts.mapInArrow(_signatures(width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
+    sigs = written(texts.mapInArrow(_signatures(width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"))
     same = ["n_shingles", "d1", "d2"]
     full = sigs.where("n_shingles > 0 and doc_id is not null")
     reps = written(full.groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    found = _linked(texts, full.select("doc_id", "bands"), reps.select("rep"), width, percent)
+    found = _linked(texts, full.select("doc_id", "bands", "n_shingles", "sketch"), reps.select("rep"), width, percent)
     reps = reps.join(small(found, 16).withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     alone = sigs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     grouped = full.select("doc_id", *same).join(reps, same).select("doc_id", "n_shingles", "component_id")
     return grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _within_reach(percent: int) -> Column:
+    """What two sets can share at most, by their sizes and sketches, is enough for a link."""
+    odd = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("other_sketch")[k])) for k in range(1, SKETCH)), F.bit_count(F.col("sketch")[0].bitwiseXOR(F.col("other_sketch")[0])))
+    both = F.col("n") + F.col("other_n")
+    sizes = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
+    return sizes & (odd * (100 + percent) <= both * (100 - percent))
+
+
 def _linked(texts: DataFrame, full: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) over the confirmed links of the representatives."""
     # bucket places of the representatives, only of buckets with two members or more
-    placed = full.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()
-    placed = written(placed)
+    own = written(full.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnsRenamed({"doc_id": "rep", "n_shingles": "n"}))
+    placed = own.select("rep", F.explode("bands").alias("key")).distinct()
     live = written(placed.join(placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
     degrees = live.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("degree"))
-    live = written(live.join(degrees, "rep").select("key", "rep", "degree", F.col("rep").alias("component")))
     wanted = small(written(live.select(F.col("rep").alias("doc_id")).distinct()), 8)
     sets = written(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(width), "rep long, hashes binary").distinct())
-    spark = texts.sparkSession
-    found, judged_all, rounds = spark.createDataFrame([], "node long, component long"), [], 0
-    while True:
+    live = live.join(own.join(degrees, "rep").select("rep", "n", "sketch", "degree"), "rep").select("key", "rep", "n", "sketch", "degree", F.col("rep").alias("component"))
+    found, links = texts.sparkSession.createDataFrame([], "node long, component long"), None
+    for parts in (1, STARS, None):
+        live = written(live)
         spread = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         live = written(live.join(spread, "key", "left_semi"))
         if live.isEmpty():
-            return found
-        salt = F.pmod(F.xxhash64("rep", F.lit(rounds)), F.lit(1 << rounds))
-        centres = live.groupBy("key", salt.alias("salt")).agg(F.max(F.struct("degree", "rep", "component")).alias("c"))
-        centres = written(centres.select("key", F.col("c.rep").alias("centre"), F.col("c.component").alias("other")))
-        pairs = live.join(centres, "key").where("component <> other").select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
-        for earlier in judged_all:
-            pairs = pairs.join(earlier, ["u", "v"], "left_anti")
+            break
+        if parts:
+            best = live.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part")).agg(F.max(F.struct("degree", "rep")).alias("best"))
+            others = best.select("key", F.col("best.rep").alias("rep")).join(live, ["key", "rep"])
+        else:
+            others = live
+        others = others.select("key", *[F.col(c).alias(f"other_{c}") for c in ("rep", "n", "sketch", "component")])
+        pairs = live.join(others, (live["key"] == others["key"]) & (F.col("component") != F.col("other_component")) & _within_reach(percent) & (F.col("rep") < F.col("other_rep") if not parts else F.lit(True)))
+        pairs = pairs.select(F.least("rep", "other_rep").alias("u"), F.greatest("rep", "other_rep").alias("v")).distinct()
         loaded = pairs.join(sets.withColumnsRenamed({"rep": "u", "hashes": "ha"}), "u").join(sets.withColumnsRenamed({"rep": "v", "hashes": "hb"}), "v")
-        judged = written(loaded.select("u", "v", "ha", "hb").mapInArrow(_confirm(percent), "u long, v long, linked boolean"))
-        judged_all.append(judged)
-        links = judged_all[0]
-        for more in judged_all[1:]:
-            links = links.unionByName(more)
-        found = written(components(links.where("linked").select("u", "v")))
-        live = live.join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti").drop("component")
-        live = live.join(small(found, 16).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        rounds += 1
+        judged = written(loaded.select("u", "v", "ha", "hb").mapInArrow(_confirm(percent), "u long, v long, linked boolean")).where("linked").select("u", "v")
+        links = judged if links is None else links.unionByName(judged)
+        found = written(components(links))
+        live = live.drop("component").join(small(found, 16).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    return found
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
