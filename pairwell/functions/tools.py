@@ -4,24 +4,49 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A state table is broadcast only when its counted size stays below this many rows.
+# A state table is broadcast only when its counted rows stay below this number, and rows times the width of
+# its columns (an array counted as so many numbers as the caller says) below this many bytes.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
-def _ready_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+def named(column: str) -> Column:
+    """The column of this very name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows without a NULL or NaN in the named columns."""
+    for c in columns:
+        fractional = isinstance(df.schema[c].dataType, T.FractionalType) and not isinstance(df.schema[c].dataType, T.DecimalType)
+        df = df.where(named(c).isNotNull() & ~F.isnan(named(c)) if fractional else named(c).isNotNull())
+    return df
+
+
+def row_bytes(df: DataFrame, array_length: int = 64) -> int:
+    """An estimate of a row's width by its types."""
+    kinds = [f.dataType for f in df.schema]
+    return sum(8 * array_length if isinstance(k, (T.ArrayType, T.MapType)) else 32 if isinstance(k, T.StringType) else 8 for k in kinds)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that every executor reaches; a temporary one in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="pairwell-checkpoint-")
-    sc.setCheckpointDir(folder)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def _ready_checkpoint_dir(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -37,12 +62,12 @@ def with_size(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def attach(
-    df: DataFrame, state: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None
+    df: DataFrame, state: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None, array_length: int = 64
 ) -> DataFrame:
-    """Join a state table to a large table; broadcast only if the counted state is small."""
+    """Join a state table to a large table; broadcast only if the counted state is small in rows and bytes."""
     if rows is None:
         state, rows = with_size(state)
-    if rows <= BROADCAST_ROWS:
+    if rows <= BROADCAST_ROWS and rows * row_bytes(state, array_length) <= BROADCAST_BYTES:
         state = F.broadcast(state)
     return df.join(state, keys, how)
 
@@ -53,8 +78,10 @@ def is_numeric(df: DataFrame, column: str) -> bool:
 
 def melt_numeric(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     """One row per (row, column): ``variable`` and a double ``value``; NULLs are left out."""
+    if not columns:
+        return df.select(*keep, F.lit("").alias("variable"), F.lit(0.0).alias("value")).where(F.lit(False))
     cells = [
-        F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns
+        F.struct(F.lit(c).alias("variable"), named(c).cast("double").alias("value")) for c in columns
     ]
     return (
         df.select(*keep, F.explode(F.array(*cells)).alias("_cell"))
@@ -65,8 +92,10 @@ def melt_numeric(df: DataFrame, columns: list[str], keep: list[str]) -> DataFram
 
 def melt_text(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     """Like :func:`melt_numeric`, with the value in string form."""
+    if not columns:
+        return df.select(*keep, F.lit("").alias("variable"), F.lit("").alias("value")).where(F.lit(False))
     cells = [
-        F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")) for c in columns
+        F.struct(F.lit(c).alias("variable"), named(c).cast("string").alias("value")) for c in columns
     ]
     return (
         df.select(*keep, F.explode(F.array(*cells)).alias("_cell"))
@@ -89,7 +118,3 @@ def wide_to_long(row_df: DataFrame, columns: list[str], fields: list[str], keep:
         for i, c in enumerate(columns)
     ]
     return row_df.select(*keep, F.explode(F.array(*cells)).alias("_cell")).select(*keep, "_cell.*")
-
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from datetime import datetime
 from functools import reduce
 from itertools import chain
 
@@ -12,21 +13,44 @@ from pyspark.sql import types as T
 
 from ..config import SPARK_TYPES, ColumnSpec, TableConfig
 from ..errors import ConfigError
+from ..functions.tools import complete_rows, named
 
 
 def _literal(value, target: T.DataType) -> Column:
     return F.lit(value).try_cast(target)
 
 
+def _fits(value, dtype: T.DataType) -> bool:
+    """Whether a cast of the value to the type keeps it."""
+    text = str(value).strip()
+    try:
+        if isinstance(dtype, T.IntegralType):
+            int(text) if not isinstance(value, float) else int(value) / (int(value) == value)
+        elif isinstance(dtype, T.NumericType):
+            float(text)
+        elif isinstance(dtype, T.BooleanType):
+            return text.lower() in {"true", "false", "t", "f", "yes", "no", "y", "n", "1", "0"}
+        elif isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            datetime.fromisoformat(text)
+    except (ValueError, ZeroDivisionError, OverflowError):
+        return False
+    return True
+
+
+def mapped_type(mappings: Mapping, dtype: T.DataType) -> T.DataType:
+    """The type of a recoded column: its own, or string if a new value does not fit it."""
+    return dtype if all(_fits(new, dtype) for new in mappings.values() if new is not None) else T.StringType()
+
+
 def map_values(column: Column, mappings: Mapping, dtype: T.DataType) -> Column:
-    """Recode listed values; anything else passes through."""
-    if not mappings:
-        return column
-    pairs = chain.from_iterable(
-        (_literal(old, dtype), _literal(new, dtype)) for old, new in mappings.items()
-    )
+    """Recode listed values; anything else passes through. Old values that the column's type cannot hold match nothing."""
+    known = {old: new for old, new in mappings.items() if old is not None and _fits(old, dtype)}
+    if not known:
+        return column if mapped_type(mappings, dtype) == dtype else column.cast("string")
+    target = mapped_type(mappings, dtype)
+    pairs = chain.from_iterable((_literal(old, dtype), _literal(new, target)) for old, new in known.items())
     table = F.create_map(*pairs)
-    return F.when(F.map_contains_key(table, column), table[column]).otherwise(column)
+    return F.when(F.map_contains_key(table, column), table[column]).otherwise(column.cast(target))
 
 
 def blank_tokens(column: Column, spec: ColumnSpec, dtype: T.DataType) -> Column:
@@ -44,7 +68,7 @@ def select_active(df: DataFrame, config: TableConfig) -> DataFrame:
     absent = sorted(s.source for s in active.values() if s.source not in df.columns)
     if absent:
         raise ConfigError(f"active columns missing from the table: {absent}")
-    return df.select(*[F.col(s.source).alias(n) for n, s in active.items()])
+    return df.select(*[named(s.source).alias(n) for n, s in active.items()])
 
 
 def preprocess(df: DataFrame, config: TableConfig) -> DataFrame:
@@ -54,7 +78,8 @@ def preprocess(df: DataFrame, config: TableConfig) -> DataFrame:
     cells = []
     for name, spec in active.items():
         dtype = picked.schema[name].dataType
-        cell = map_values(F.col(name), spec.mappings, dtype)
+        cell = map_values(named(name), spec.mappings, dtype)
+        dtype = mapped_type(spec.mappings, dtype)
         cell = blank_tokens(cell, spec, dtype)
         if spec.type is not None:
             cell = cell.try_cast(SPARK_TYPES[spec.type])
@@ -65,9 +90,9 @@ def preprocess(df: DataFrame, config: TableConfig) -> DataFrame:
     rule = {n: s.missing_data_management for n, s in active.items()}
     must_have = [n for n, r in rule.items() if r.strategy == "drop"]
     if must_have:
-        cleaned = cleaned.dropna(subset=must_have)
+        cleaned = complete_rows(cleaned, must_have)
     filled = {
-        n: F.coalesce(F.col(n), _literal(r.value, cleaned.schema[n].dataType))
+        n: F.coalesce(named(n), _literal(r.value, cleaned.schema[n].dataType))
         for n, r in rule.items()
         if r.strategy == "replace"
     }
@@ -90,11 +115,11 @@ def row_filter(df: DataFrame, column: str, operator: str, value) -> Column:
     dtype = df.schema[column].dataType
     if operator in ("in", "not_in"):
         listed = [_literal(v, dtype) for v in (value if isinstance(value, (list, tuple)) else [value])]
-        hit = F.col(column).isin(listed)
+        hit = named(column).isin(listed)
         return hit if operator == "in" else ~hit
     if operator not in COMPARE:
         raise ConfigError(f"unknown filter operator '{operator}'")
-    return COMPARE[operator](F.col(column), _literal(value, dtype))
+    return COMPARE[operator](named(column), _literal(value, dtype))
 
 
 def filter_rows(df: DataFrame, conditions: Iterable[tuple]) -> DataFrame:
