@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tools import BROADCAST_ROWS, attach, materialise, melt_numeric
+from .tools import BROADCAST_ROWS, attach, materialise, melt_numeric, named
 
 
 def running_totals(df: DataFrame, group: list[str], order: list[str], amounts: dict[str, str | None]) -> DataFrame:
@@ -19,8 +19,8 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], amounts: d
     ``order`` must make the rows of a group distinct. Group columns must not be NULL.
     """
     outs = list(amounts)
-    steps = {o: F.lit(1).cast("long") if c is None else F.col(c) for o, c in amounts.items()}
-    sliced = df.withColumns(steps).repartitionByRange(*[F.col(c) for c in [*group, *order]])
+    steps = {o: F.lit(1).cast("long") if c is None else named(c) for o, c in amounts.items()}
+    sliced = df.withColumns(steps).repartitionByRange(*[named(c) for c in [*group, *order]])
     sliced = materialise(sliced.withColumn("_slice", F.spark_partition_id()))
     totals = sliced.groupBy(*group, "_slice").agg(*[F.sum(o).alias(f"_sum_{o}") for o in outs])
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -30,7 +30,7 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], amounts: d
     inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ranked = sliced.withColumns({o: F.sum(o).over(inside) for o in outs})
     shifted = attach(ranked, shift, [*group, "_slice"])
-    shifted = shifted.withColumns({o: F.col(o) + F.col(f"_shift_{o}") for o in outs})
+    shifted = shifted.withColumns({o: named(o) + F.col(f"_shift_{o}") for o in outs})
     return shifted.drop("_slice", *[f"_shift_{o}" for o in outs])
 
 

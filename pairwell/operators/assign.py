@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import MatchError
-from ..functions.order import running_totals
-from ..functions.tools import attach, materialise, with_size
+from ..functions.order import running_total, running_totals
+from ..functions.tools import attach, materialise, named, with_size
 from .distance import PairRule, compare_units
 from .neighbours import nearest
 
@@ -24,7 +24,8 @@ SMALL_SIDE = 256  # bidders of a block that is solved in one go
 SMALL_LIST = 65_536  # most list entries of such a block
 FIRST_LIST = 16
 PRECISION = 1e-7  # smallest price step, relative to the largest possible distance
-PATIENCE = 8  # rounds after which a losing bidder's price step doubles
+PATIENCE = 8  # rounds after which the price step doubles
+STEP_LIMIT = 0.01  # largest price step, relative to the largest possible distance
 
 
 def ship(cost: np.ndarray, supply: np.ndarray, capacity: np.ndarray) -> np.ndarray:
@@ -122,7 +123,9 @@ def _flow_by_auction(asks: DataFrame, offers: DataFrame, geo) -> DataFrame:
     held = parked = None
     patience, relist = 0, asks.select(*bidder).withColumn("need", F.lit(FIRST_LIST).cast("long"))
     farthest = _farthest(asks, offers, geo)
-    penalty = 2.0 * farthest * (asks.count() + 1) + 1.0  # no rearrangement can cost as much
+    # No rearrangement can raise a price as far: it moves at most every bidder once, each by a distance and a
+    # step, and steps are limited. So whoever can be placed is never parked.
+    penalty = 3.0 * farthest * (asks.count() + 1) + 1.0
     step = PRECISION * farthest or PRECISION
     while True:
         if relist is not None:
@@ -156,7 +159,7 @@ def _flow_by_auction(asks: DataFrame, offers: DataFrame, geo) -> DataFrame:
         if not active.limit(1).count():
             break
         patience += 1
-        epsilon = step * 2.0 ** (patience // PATIENCE)
+        epsilon = min(step * 2.0 ** (patience // PATIENCE), max(step, STEP_LIMIT * farthest))
         # A row without any candidate has a complete, empty list.
         alone = active.join(lists.select(*bidder).distinct(), bidder, "left_anti")
         options = active.join(frontier, bidder).join(lists, bidder)
@@ -246,7 +249,7 @@ def optimal_pairs(cohort: DataFrame, id_col: str, rule: PairRule) -> DataFrame:
         mine = entries.join(mine, "blk", "left_semi")
         flow = _flow(asks, offers.join(mine, "blk", "left_semi"), units.geometry, mine)
         query, partner = ("p", "q") if turned else ("q", "p")
-        found.append(flow.select(F.substring_index("blk", "\x1f", 1).alias("stratum"), F.col(query).alias("query_id"), F.col(partner).alias("pool_id"), "dist", "step"))
+        found.append(flow.select(F.substring_index("blk", "\x1f", 1).alias("stratum"), named(query).alias("query_id"), named(partner).alias("pool_id"), "dist", "step"))
     if not found:
         types = dict(cohort.dtypes)
         return cohort.sparkSession.createDataFrame(
@@ -288,8 +291,8 @@ def transport_selection(cohort: DataFrame, id_col: str, rule: PairRule, target_s
     turned = nearest(pool.drop("stratum").withColumnRenamed("p", "q"), queries.drop("stratum").withColumnRenamed("q", "p"), units.geometry, 1)
     close = turned.select("blk", F.col("q").alias("p"), F.col("dist").alias("_near"))
     ranked = close.join(mass, ["blk", "p"], "left").withColumn("_mass", F.coalesce("_mass", F.lit(0)))
-    order = Window.partitionBy("blk").orderBy(F.desc("_mass"), "_near", "p")
-    chosen = ranked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= target_size)
+    placed = running_total(ranked.withColumn("_down", -F.col("_mass")), ["blk"], ["_down", "_near", "p"], out="_r")
+    chosen = placed.where(F.col("_r") <= target_size)
     totals = sizes.select("blk", (F.col("_m") * target_size).alias("_all"))
     return attach(chosen, totals, ["blk"], rows=rows).select(
         F.col("blk").alias("stratum"), F.col("p").alias("pool_id"),

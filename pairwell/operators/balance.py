@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import running_totals
 from ..functions.pvalues import chi2_p_value, ks_p_value
-from ..functions.tools import attach, is_numeric, materialise, melt_numeric, melt_text, wide_to_long
+from ..functions.tools import attach, is_numeric, materialise, melt_numeric, melt_text, named, wide_to_long
 
 BINS = 20  # fixed value: histogram bins of the divergence of numeric covariates
 METRICS = ("smd", "variance_ratio", "ks_test", "chi_square", "jensen_shannon")
@@ -41,7 +41,7 @@ def group_moments(
     if weight_col is not None:
         centers = df.groupBy(*keys).agg(
             *[
-                (F.sum(_in(treatment_col, g, c) * F.col(weight_col)) / F.sum(_in(treatment_col, g, c, weight_col))).alias(f"_m{g}_{i}")
+                (F.sum(_in(treatment_col, g, c) * named(weight_col)) / F.sum(_in(treatment_col, g, c, weight_col))).alias(f"_m{g}_{i}")
                 for i, c in enumerate(covariates)
                 for g in (1, 0)
             ]
@@ -67,8 +67,8 @@ def group_moments(
 
 
 def _in(treatment_col: str, group: int, column: str, value: str | None = None) -> Column:
-    present = (F.col(treatment_col) == group) & F.col(column).isNotNull()
-    return F.when(present, F.col(value or column))
+    present = (named(treatment_col) == group) & named(column).isNotNull()
+    return F.when(present, named(value or column))
 
 
 def smd_of_moments() -> Column:
@@ -110,7 +110,7 @@ def variance_ratio(df: DataFrame, treatment_col: str, covariates: list[str]) ->
 def _counts_by_group(long_df: DataFrame, treatment_col: str) -> DataFrame:
     """Distinct values with their counts in both groups; equal values meet before any ordering."""
     return long_df.groupBy("variable", "value").agg(
-        F.count_if(F.col(treatment_col) == 1).alias("k1"), F.count_if(F.col(treatment_col) == 0).alias("k0")
+        F.count_if(named(treatment_col) == 1).alias("k1"), F.count_if(named(treatment_col) == 0).alias("k0")
     ).where(F.col("k1") + F.col("k0") > 0)
 
 
@@ -175,13 +175,13 @@ def bin_index(x: Column, low: Column, high: Column, bins: int = BINS) -> Column:
 def jensen_shannon(df: DataFrame, treatment_col: str, covariates: list[str], bins: int = BINS) -> DataFrame:
     """Base-2 divergence between the groups' distributions: binned if numeric, per category otherwise."""
     numeric = _numeric(df, covariates)
-    in_groups = F.col(treatment_col).isin(0, 1)
+    in_groups = named(treatment_col).isin(0, 1)
     shaped = df
     skip = []
     if numeric:
         spans = df.agg(
-            *[F.min(F.when(in_groups, F.col(c))).cast("double").alias(f"lo{i}") for i, c in enumerate(numeric)],
-            *[F.max(F.when(in_groups, F.col(c))).cast("double").alias(f"hi{i}") for i, c in enumerate(numeric)],
+            *[F.min(F.when(in_groups, named(c))).cast("double").alias(f"lo{i}") for i, c in enumerate(numeric)],
+            *[F.max(F.when(in_groups, named(c))).cast("double").alias(f"hi{i}") for i, c in enumerate(numeric)],
         ).first()
         binned = {}
         for i, c in enumerate(numeric):
@@ -189,7 +189,7 @@ def jensen_shannon(df: DataFrame, treatment_col: str, covariates: list[str], bin
             if low is None or low == high:
                 skip.append(c)
             else:
-                binned[c] = bin_index(F.col(c).cast("double"), F.lit(low), F.lit(high), bins)
+                binned[c] = bin_index(named(c).cast("double"), F.lit(low), F.lit(high), bins)
         shaped = df.withColumns(binned) if binned else df
     used = [c for c in covariates if c not in skip]
     if not used:
@@ -220,9 +220,9 @@ def balance_table(
     rows = [(i, c, c in matching) for i, c in enumerate(covariates)]
     table = before.sparkSession.createDataFrame(rows, "_place int, variable string, is_matching_covariate boolean")
     weigh = [F.lit(1.0).alias("_weight")] if weight_col is None else []
-    one = before.select(F.lit("before").alias("_phase"), treatment_col, *numeric, F.lit(1.0).alias("_weight"))
-    two = after.select(F.lit("after").alias("_phase"), treatment_col, *numeric,
-                       *(weigh or [F.col(weight_col).cast("double").alias("_weight")]))
+    one = before.select(F.lit("before").alias("_phase"), named(treatment_col), *map(named, numeric), F.lit(1.0).alias("_weight"))
+    two = after.select(F.lit("after").alias("_phase"), named(treatment_col), *map(named, numeric),
+                       *(weigh or [named(weight_col).cast("double").alias("_weight")]))
     fields = ["smd_before", "abs_smd_before", "smd_after", "abs_smd_after"]
     if numeric:
         moments = group_moments(one.unionByName(two), treatment_col, numeric, None, ["_phase"])
@@ -232,7 +232,7 @@ def balance_table(
             stats = stats.where("_phase = 'before'").unionByName(
                 weighted.select(F.lit("after").alias("_phase"), "variable", smd_of_moments().alias("smd"), ratio_of_moments().alias("ratio"))
             )
-        at = lambda phase, c: F.max(F.when(F.col("_phase") == phase, F.col(c)))
+        at = lambda phase, c: F.max(F.when(F.col("_phase") == phase, named(c)))
         wide = stats.groupBy("variable").agg(
             *[at(ph, "smd").alias(f"smd_{ph}") for ph in ("before", "after")],
             *[F.abs(at(ph, "smd")).alias(f"abs_smd_{ph}") for ph in ("before", "after")],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import MatchError
 from ..functions.order import exact_quantiles
-from ..functions.tools import attach, wide_to_long, with_size
+from ..functions.tools import attach, named, wide_to_long, with_size
 
 ALL = "__all__"  # fixed value: the stratum key if nothing is matched exactly
 NULL_KEY = "None"  # fixed value: how a NULL appears in a stratum key
@@ -18,7 +18,7 @@ DIRECTIONS = {"treated_to_control": 1, "control_to_treated": 0}
 
 def check_treatment(df: DataFrame, treatment_col: str) -> None:
     """Only 0 and 1 are groups; anything else would be in neither."""
-    flag = F.col(treatment_col)
+    flag = named(treatment_col)
     stray = df.agg(F.count_if(flag.isNull() | ~flag.cast("double").isin(0.0, 1.0))).first()[0]
     if stray:
         raise MatchError(f"{stray} rows have a '{treatment_col}' that is neither 0 nor 1")
@@ -28,7 +28,7 @@ def resolve_direction(df: DataFrame, treatment_col: str, direction: str = "treat
     """Add ``role``: ``query`` units look for partners, ``pool`` units are offered."""
     if direction not in DIRECTIONS:
         raise MatchError(f"unknown direction '{direction}'")
-    asks = F.col(treatment_col) == DIRECTIONS[direction]
+    asks = named(treatment_col) == DIRECTIONS[direction]
     return df.withColumn("role", F.when(asks, "query").otherwise("pool"))
 
 
@@ -44,7 +44,7 @@ def covariate_availability(
     aggs = []
     for i, c in enumerate(covariates):
         share = lambda g: F.coalesce(
-            F.avg(F.when(F.col(treatment_col) == g, F.col(c).isNull().cast("double"))), F.lit(0.0)
+            F.avg(F.when(named(treatment_col) == g, named(c).isNull().cast("double"))), F.lit(0.0)
         )
         aggs.append(F.greatest(share(1), share(0)).alias(f"missing_pct__{i}"))
     table = wide_to_long(df.agg(*aggs), covariates, ["missing_pct"])
@@ -58,6 +58,13 @@ def usable_covariates(availability: DataFrame) -> list[str]:
     return found
 
 
+def _escaped(value):
+    """A value as part of a stratum: marks inside it are escaped and NULL differs from its own text, so that
+    different values never give one stratum."""
+    shown = F.regexp_replace(value, r"([\\\\|])", r"\\\\$1")
+    return F.when(value.isNull(), F.lit(NULL_KEY)).when(value == NULL_KEY, F.concat(F.lit("\\"), shown)).otherwise(shown)
+
+
 def with_stratum(df: DataFrame, exact: list[str] = ()) -> DataFrame:
     """Add ``stratum``: the exactly matched values joined into one key; NULL is a value of its own."""
     absent = [c for c in exact if c not in df.columns]
@@ -65,13 +72,13 @@ def with_stratum(df: DataFrame, exact: list[str] = ()) -> DataFrame:
         raise MatchError(f"exact-match covariates not in the table: {absent}")
     if not exact:
         return df.withColumn("stratum", F.lit(ALL))
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_KEY)) for c in exact]
+    parts = [_escaped(named(c).cast("string")) for c in exact]
     return df.withColumn("stratum", F.concat_ws("|", *parts))
 
 
 def overlap(df: DataFrame, treatment_col: str, score_col: str = PS) -> DataFrame:
     """Range of the score in both groups and their common support, per stratum."""
-    treated, control = (F.when(F.col(treatment_col) == g, F.col(score_col)) for g in (1, 0))
+    treated, control = (F.when(named(treatment_col) == g, named(score_col)) for g in (1, 0))
     return (
         df.groupBy("stratum")
         .agg(
@@ -91,18 +98,18 @@ def trim(df: DataFrame, treatment_col: str, score_col: str = PS, q: float = 0.02
     Returns the kept rows and a record per stratum.
     """
     found = exact_quantiles(df, [score_col], [q, 1 - q], ["stratum", treatment_col], method="nearest")
-    at = lambda g, p: F.max(F.when((F.col(treatment_col) == g) & (F.abs(F.col("prob") - p) < 1e-12), F.col("value")))
+    at = lambda g, p: F.max(F.when((named(treatment_col) == g) & (F.abs(F.col("prob") - p) < 1e-12), F.col("value")))
     bounds = found.groupBy("stratum").agg(
         F.greatest(at(1, q), at(0, q)).alias("lower_bound"), F.least(at(1, 1 - q), at(0, 1 - q)).alias("upper_bound")
     )
     bounds, rows = with_size(bounds)
     marked = attach(df, bounds, ["stratum"], rows=rows)
-    inside = (F.col(score_col) >= F.col("lower_bound")) & (F.col(score_col) <= F.col("upper_bound"))
+    inside = (named(score_col) >= F.col("lower_bound")) & (named(score_col) <= F.col("upper_bound"))
     record = marked.groupBy("stratum", "lower_bound", "upper_bound").agg(
         F.count(F.lit(1)).alias("n_before"), F.count_if(inside).alias("n_after")
     )
     record = record.withColumn("n_dropped", F.col("n_before") - F.col("n_after"))
-    return marked.where(inside).select(*df.columns), record
+    return marked.where(inside).select(*map(named, df.columns)), record
 
 
 def matching_space(space: str, covariates: list[str]) -> list[str]:

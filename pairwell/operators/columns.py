@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..config import ColumnSpec, TableConfig
 from ..errors import ConfigError
-from ..functions.tools import melt_text, value_counts_by_name
+from ..functions.tools import melt_text, named, value_counts_by_name
 
 ID_NAME = r"(^id$|_id$|^id_|^uuid$)"  # fixed value: which names count as identifiers
 LISTED_VALUES = 50  # fixed value: longest list of distinct values shown
@@ -49,7 +49,7 @@ def infer_config(
     if numeric:
         aggs = []
         for i, c in enumerate(numeric):
-            col = F.col(c)
+            col = named(c)
             aggs += [
                 F.count(col).alias(f"n{i}"),
                 F.bool_and((col == 0) | (col == 1)).alias(f"b{i}"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import MatchError
-from ..functions.tools import attach, with_size
+from ..functions.tools import attach, complete_rows, named, with_size
 from .neighbours import Geometry, nearest
 
 RIDGE = 1e-6  # fixed value: added to the diagonal of a singular covariance
@@ -109,9 +109,9 @@ def compare_units(cohort: DataFrame, id_col: str, rule: PairRule) -> Units:
     place = {c: i for i, c in enumerate(nums)} if not whitened else {}
     place.update({c: len(nums) + i for i, c in enumerate(extra_x)})
 
-    x = {c: F.col(c).cast("double") for c in dict.fromkeys([*nums, *extra_x])}
+    x = {c: named(c).cast("double") for c in dict.fromkeys([*nums, *extra_x])}
     needed = [c for c in [*x, *equal]]
-    whole = cohort.dropna(subset=needed) if needed else cohort
+    whole = complete_rows(cohort, needed)
 
     stats, names = [], []
     if mixed:
@@ -149,8 +149,8 @@ def compare_units(cohort: DataFrame, id_col: str, rule: PairRule) -> Units:
     else:
         columns += [x[c].alias(f"x{i}") for i, c in enumerate(nums)]
     columns += [x[c].alias(f"x{len(nums) + i}") for i, c in enumerate(extra_x)]
-    columns += [F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(f"c{j}") for j, c in enumerate(cats)]
-    blk = F.concat_ws("\x1f", "stratum", *[F.col(c).cast("string") for c in equal]).alias("blk")
+    columns += [F.coalesce(named(c).cast("string"), F.lit("None")).alias(f"c{j}") for j, c in enumerate(cats)]
+    blk = F.concat_ws("\x1f", "stratum", *[named(c).cast("string") for c in equal]).alias("blk")
 
     own = []
     if mixed:
@@ -171,8 +171,8 @@ def compare_units(cohort: DataFrame, id_col: str, rule: PairRule) -> Units:
         mixed,
         tuple(place[w.covariate] for w in ranged),
     )
-    queries = whole.where("role = 'query'").select(blk, "stratum", F.col(id_col).alias("q"), *columns, *own)
-    pool = whole.where("role = 'pool'").select(blk, "stratum", F.col(id_col).alias("p"), *columns, *own)
+    queries = whole.where("role = 'query'").select(blk, "stratum", named(id_col).alias("q"), *columns, *own)
+    pool = whole.where("role = 'pool'").select(blk, "stratum", named(id_col).alias("p"), *columns, *own)
     return Units(queries, pool, geometry, types[id_col])
 
 

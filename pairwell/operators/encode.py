@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import TableConfig
 from ..errors import ConfigError
 from ..functions.order import running_total
-from ..functions.tools import attach, with_size
+from ..functions.tools import attach, named, with_size
 
 INLINE_CODES = 500  # longer ordinal code lists are joined instead of written into the plan
 
@@ -33,7 +33,7 @@ class EncodeState:
         ]
         out = df.sparkSession.createDataFrame(rows, "column string, value string, code int")
         for c, (codes, _) in self.tables.items():
-            part = codes.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.col("_code").cast("int").alias("code"))
+            part = codes.select(F.lit(c).alias("column"), named(c).cast("string").alias("value"), F.col("_code").cast("int").alias("code"))
             out = out.unionByName(part)
         return out
 
@@ -44,6 +44,10 @@ def _check(df: DataFrame, columns: list[str]) -> None:
         raise ConfigError(f"encoded columns missing from the table: {absent}")
 
 
+# One column each: beyond so many values one-hot encoding is refused.
+ONE_HOT_VALUES = 2_000
+
+
 def fit_encoding(df: DataFrame, config: TableConfig) -> EncodeState:
     columns = config.encoded_columns()
     _check(df, columns)
@@ -53,7 +57,9 @@ def fit_encoding(df: DataFrame, config: TableConfig) -> EncodeState:
         if rule.order is not None:
             state.categories[c] = list(rule.order)
             continue
-        distinct, size = with_size(df.select(c).distinct())
+        distinct, size = with_size(df.select(named(c)).distinct())
+        if rule.method == "one_hot" and size > ONE_HOT_VALUES:
+            raise ConfigError(f"'{c}' has {size} different values; one-hot encoding takes at most {ONE_HOT_VALUES}")
         if rule.method == "one_hot" or size <= INLINE_CODES:
             values = [r[0] for r in distinct.collect()]
             known = sorted(v for v in values if v is not None)
@@ -76,7 +82,7 @@ def encode(df: DataFrame, config: TableConfig, state: EncodeState) -> DataFrame:
         dtype = df.schema[c].dataType
         if config[c].encoding.method == "one_hot":
             flags = {
-                f"{c}__{v}": F.when(F.col(c).isNull() if v is None else F.col(c) == F.lit(v), 1.0).otherwise(0.0)
+                f"{c}__{v}": F.when(named(c).isNull() if v is None else named(c) == F.lit(v), 1.0).otherwise(0.0)
                 for v in state.categories[c]
             }
             result = result.withColumns(flags).drop(c)
@@ -84,13 +90,13 @@ def encode(df: DataFrame, config: TableConfig, state: EncodeState) -> DataFrame:
             codes, rows = state.tables[c]
             names = [n for n in result.columns]
             joined = attach(result, codes, [c], "left", rows)
-            result = joined.drop(c).withColumnRenamed("_code", c).select(*names)
+            result = joined.drop(c).withColumnRenamed("_code", c).select(*map(named, names))
         else:
             pairs = chain.from_iterable(
                 (F.lit(v).cast(dtype), F.lit(float(i))) for i, v in enumerate(state.categories[c])
             )
             table = F.create_map(*pairs)
-            result = result.withColumn(c, F.when(F.col(c).isNotNull(), F.try_element_at(table, F.col(c))))
+            result = result.withColumn(c, F.when(named(c).isNotNull(), F.try_element_at(table, named(c))))
     return result
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import running_total
-from ..functions.tools import attach, materialise, with_size
+from ..functions.tools import attach, materialise, named, with_size
 from .distance import PairRule, compare_units, nearest_pairs, with_stratum_of
 from .neighbours import LONG_LIST, nearest
 
@@ -118,7 +118,7 @@ def greedy_without_replacement(
     geo = units.geometry
     queries, order = units.queries, ["q"]
     if order_col is not None:
-        places = cohort.select(F.col(id_col).alias("q"), F.col(order_col).alias("_order"))
+        places = cohort.select(named(id_col).alias("q"), named(order_col).alias("_order"))
         queries, order = queries.join(places, "q"), ["_order", "q"]
     queries = materialise(queries)
     asked = queries.groupBy("blk").agg(F.count(F.lit(1)).alias("_m")).withColumn("_small", F.col("_m") * k <= SMALL_BLOCK)

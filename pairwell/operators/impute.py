@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..config import TableConfig
 from ..errors import ConfigError
 from ..functions.order import exact_quantiles
-from ..functions.tools import BROADCAST_ROWS, is_numeric, materialise
+from ..functions.tools import BROADCAST_ROWS, is_numeric, materialise, named
 from .neighbours import Geometry, nearest
 
 # Fixed values of the methods.
@@ -74,7 +74,7 @@ def fit_impute(df: DataFrame, config: TableConfig, id_col: str | None = None) ->
     if absent:
         raise ConfigError(f"numerical columns missing from the table: {absent}")
     base = _fill(df, state.fills, single)
-    row = base.agg(*[F.avg(c).alias(c) for c in state.context]).first()
+    row = base.agg(*[F.avg(named(c)).alias(c) for c in state.context]).first()
     void = [c for c in state.context if row[c] is None]
     if void:
         raise ConfigError(f"columns without any value cannot be imputed: {void}")
@@ -82,7 +82,7 @@ def fit_impute(df: DataFrame, config: TableConfig, id_col: str | None = None) ->
     if "knn" in joint.values():
         if id_col is None:
             raise ConfigError("KNN imputation needs id_col")
-        state.donors = materialise(base.select(F.col(id_col).alias("_donor"), *[F.col(c).cast("double") for c in state.context]))
+        state.donors = materialise(base.select(named(id_col).alias("_donor"), *[named(c).cast("double") for c in state.context]))
     if "iterative" in joint.values():
         state.steps = _fit_steps(base, state.context, state.means)
     return state
@@ -116,7 +116,7 @@ def _single_fills(df: DataFrame, methods: dict[str, str]) -> dict[str, object]:
     fills: dict[str, object] = {c: 0 for c, m in methods.items() if m == "zero"}
     means = [c for c, m in methods.items() if m == "mean"]
     if means:
-        fills.update(df.agg(*[F.avg(c).alias(c) for c in means]).first().asDict())
+        fills.update(df.agg(*[F.avg(named(c)).alias(c) for c in means]).first().asDict())
     medians = [c for c, m in methods.items() if m == "median"]
     if medians:
         found = exact_quantiles(df, medians, [0.5]).collect()
@@ -135,8 +135,8 @@ def _most_frequent(df: DataFrame, columns: list[str]) -> dict[str, str]:
     cells = [
         F.struct(
             F.lit(c).alias("variable"),
-            F.col(c).cast("string").alias("value"),
-            (F.col(c).cast("double") if is_numeric(df, c) else F.lit(None).cast("double")).alias("number"),
+            named(c).cast("string").alias("value"),
+            (named(c).cast("double") if is_numeric(df, c) else F.lit(None).cast("double")).alias("number"),
         )
         for c in columns
     ]
@@ -155,7 +155,7 @@ def _fill(df: DataFrame, fills: dict[str, object], methods: dict[str, str]) -> D
     filled = {}
     for c, method in methods.items():
         dtype = T.DoubleType() if method in ("mean", "median") else df.schema[c].dataType
-        filled[c] = F.coalesce(F.col(c).cast(dtype), F.lit(fills[c]).try_cast(dtype))
+        filled[c] = F.coalesce(named(c).cast(dtype), F.lit(fills[c]).try_cast(dtype))
     return df.withColumns(filled) if filled else df
 
 
@@ -163,7 +163,7 @@ def _fill(df: DataFrame, fills: dict[str, object], methods: dict[str, str]) -> D
 
 
 def _mask(columns: list[str]):
-    return F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
+    return F.concat(*[F.when(named(c).isNull(), "0").otherwise("1") for c in columns])
 
 
 def _fill_from_donors(df: DataFrame, state: ImputeState, targets: list[str], id_col: str) -> DataFrame:
@@ -173,8 +173,8 @@ def _fill_from_donors(df: DataFrame, state: ImputeState, targets: list[str], id_
     shared columns are fixed, so the search there is an ordinary Euclidean one.
     """
     context = state.context
-    numbers = df.select(F.col(id_col).alias("q"), *[F.col(c).cast("double") for c in context])
-    holes = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in targets])
+    numbers = df.select(named(id_col).alias("q"), *[named(c).cast("double") for c in context])
+    holes = reduce(lambda a, b: a | b, [named(c).isNull() for c in targets])
     asking = numbers.where(holes).withColumn("_have", _mask(context))
     donors = state.donors.withColumn("_have", _mask(context))
     asked_patterns = [r[0] for r in asking.select("_have").distinct().collect()]
@@ -188,7 +188,7 @@ def _fill_from_donors(df: DataFrame, state: ImputeState, targets: list[str], id_
                 if a[i] == "0" and b[i] == "1" and shared:
                     flags = [1.0 if j in shared else 0.0 for j in range(len(context))]
                     plan.append((f"{a}:{b}:{t}", a, b, t, float(np.sqrt(len(context) / len(shared))), flags))
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(state.means[c])) for c in targets}
+    filled = {c: F.coalesce(named(c).cast("double"), F.lit(state.means[c])) for c in targets}
     if not plan:
         return df.withColumns(filled)
     short = len(plan) <= BROADCAST_ROWS
@@ -197,14 +197,14 @@ def _fill_from_donors(df: DataFrame, state: ImputeState, targets: list[str], id_
     )
     # One row per pair of observed patterns and target: its size depends on columns, not on rows.
     plan = F.broadcast(plan) if short else plan
-    xs = [F.when(F.col("_flags")[i] == 1, F.col(c)).otherwise(0.0).alias(f"x{i}") for i, c in enumerate(context)]
+    xs = [F.when(F.col("_flags")[i] == 1, named(c)).otherwise(0.0).alias(f"x{i}") for i, c in enumerate(context)]
     queries = asking.join(plan, F.col("_have") == F.col("_ask")).select("blk", "q", *xs)
     pool = donors.join(plan, F.col("_have") == F.col("_give")).select("blk", F.col("_donor").alias("p"), *xs)
     found = nearest(queries, pool, Geometry("euclidean", len(context)), KNN_DONORS)
     found = found.join(plan, "blk").withColumn("dist", F.col("dist") * F.col("_factor"))
     closest = Window.partitionBy("q", "_target").orderBy("dist", "p")
     found = found.withColumn("_r", F.row_number().over(closest)).where(F.col("_r") <= KNN_DONORS)
-    values = donors.select(F.col("_donor").alias("p"), *[F.col(c).alias(f"_v_{c}") for c in targets])
+    values = donors.select(F.col("_donor").alias("p"), *[named(c).alias(f"_v_{c}") for c in targets])
     given = reduce(
         lambda a, c: a.when(F.col("_target") == c, F.col(f"_v_{c}")), targets[1:],
         F.when(F.col("_target") == targets[0], F.col(f"_v_{targets[0]}")),
@@ -214,7 +214,7 @@ def _fill_from_donors(df: DataFrame, state: ImputeState, targets: list[str], id_
     )
     joined = df.join(guesses.withColumnRenamed("q", id_col), id_col, "left")
     filled = {
-        c: F.coalesce(F.col(c).cast("double"), F.col(f"_g_{c}"), F.lit(state.means[c])) for c in targets
+        c: F.coalesce(named(c).cast("double"), F.col(f"_g_{c}"), F.lit(state.means[c])) for c in targets
     }
     return joined.withColumns(filled).drop(*[f"_g_{c}" for c in targets])
 
@@ -254,7 +254,7 @@ def _regression(df: DataFrame, target: str, others: list[str]) -> tuple[float, d
         df.where(~F.col(f"_hole_{target}"))
         .agg(
             F.count(F.lit(1)).alias("n"),
-            *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)],
+            *[F.avg(named(c)).alias(f"m{i}") for i, c in enumerate(names)],
             *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs],
         )
         .first()
@@ -268,29 +268,29 @@ def _regression(df: DataFrame, target: str, others: list[str]) -> tuple[float, d
 
 
 def _predict(intercept: float, weights: dict[str, float]):
-    return reduce(lambda a, b: a + b, [F.col(c) * w for c, w in weights.items()], F.lit(intercept))
+    return reduce(lambda a, b: a + b, [named(c) * w for c, w in weights.items()], F.lit(intercept))
 
 
 def _fit_steps(df: DataFrame, context: list[str], means: dict[str, float]):
-    holes = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in context], *[F.max(F.abs(c)).alias(f"_{c}") for c in context]).first()
+    holes = df.agg(*[F.count_if(named(c).isNull()).alias(c) for c in context], *[F.max(F.abs(named(c))).alias(f"_{c}") for c in context]).first()
     order = sorted(context, key=lambda c: holes[c])
     limit = ROUND_TOLERANCE * max(float(holes[f"_{c}"]) for c in context)
-    flags = [F.col(c).isNull().alias(f"_hole_{c}") for c in context]
-    current = materialise(df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(means[c])).alias(c) for c in context], *flags))
+    flags = [named(c).isNull().alias(f"_hole_{c}") for c in context]
+    current = materialise(df.select(*[F.coalesce(named(c).cast("double"), F.lit(means[c])).alias(c) for c in context], *flags))
     steps = []
     if len(context) < 2:
         return steps
     for _ in range(ROUNDS):
         before = current
-        current = current.withColumns({f"_old_{c}": F.col(c) for c in context})
+        current = current.withColumns({f"_old_{c}": named(c) for c in context})
         for target in order:
             intercept, weights = _regression(current, target, [c for c in context if c != target])
             steps.append((target, intercept, weights))
             if holes[target]:
                 guess = _predict(intercept, weights)
-                current = current.withColumn(target, F.when(F.col(f"_hole_{target}"), guess).otherwise(F.col(target)))
+                current = current.withColumn(target, F.when(F.col(f"_hole_{target}"), guess).otherwise(named(target)))
         current = materialise(current)
-        moved = current.agg(F.greatest(F.lit(0.0), *[F.max(F.abs(F.col(c) - F.col(f"_old_{c}"))) for c in context])).first()[0]
+        moved = current.agg(F.greatest(F.lit(0.0), *[F.max(F.abs(named(c) - F.col(f"_old_{c}"))) for c in context])).first()[0]
         current = current.select(*before.columns)
         if moved < limit:
             break
@@ -299,15 +299,15 @@ def _fit_steps(df: DataFrame, context: list[str], means: dict[str, float]):
 
 def _fill_by_steps(df: DataFrame, state: ImputeState, targets: list[str]) -> DataFrame:
     context = state.context
-    holes = {f"_hole_{c}": F.col(c).isNull() for c in context}
+    holes = {f"_hole_{c}": named(c).isNull() for c in context}
     work = df.withColumns(holes).withColumns(
-        {f"_now_{c}": F.coalesce(F.col(c).cast("double"), F.lit(state.means[c])) for c in context}
+        {f"_now_{c}": F.coalesce(named(c).cast("double"), F.lit(state.means[c])) for c in context}
     )
     for i, (target, intercept, weights) in enumerate(state.steps):
         guess = _predict(intercept, {f"_now_{c}": w for c, w in weights.items()})
         name = f"_now_{target}"
-        work = work.withColumn(name, F.when(F.col(f"_hole_{target}"), guess).otherwise(F.col(name)))
+        work = work.withColumn(name, F.when(F.col(f"_hole_{target}"), guess).otherwise(named(name)))
         if (i + 1) % (4 * len(context)) == 0:
             work = materialise(work)
-    work = work.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_now_{c}")) for c in targets})
+    work = work.withColumns({c: F.coalesce(named(c).cast("double"), F.col(f"_now_{c}")) for c in targets})
     return work.drop(*holes, *[f"_now_{c}" for c in context])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order import exact_quantiles, running_total
-from ..functions.tools import attach, materialise
+from ..functions.tools import attach, materialise, named
 from .cohort import role_names
 
 
@@ -15,7 +15,7 @@ def number_pairs(cohort: DataFrame, pairs: DataFrame, id_col: str, by_query: boo
 
     Pairs of one query share an id. ``by_query=False`` counts matched queries only.
     """
-    seats = cohort.where("role = 'query'").select("stratum", F.col(id_col).alias("query_id"))
+    seats = cohort.where("role = 'query'").select("stratum", named(id_col).alias("query_id"))
     if not by_query:
         seats = seats.join(pairs.select("query_id").distinct(), "query_id", "left_semi")
     seats = running_total(seats, ["stratum"], ["query_id"], out="_seat").withColumn("_seat", F.col("_seat") - 1)
@@ -33,7 +33,7 @@ def matched_dataset(
     numbered = materialise(number_pairs(cohort, pairs, id_col, by_query))
     members = []
     for side, name in zip(("query_id", "pool_id"), role_names(direction)):
-        keys = numbered.select(F.col(side).alias(id_col), "pair_id", F.lit(1.0).alias("weights"), F.lit(name).alias("__role__"))
+        keys = numbered.select(named(side).alias(id_col), "pair_id", F.lit(1.0).alias("weights"), F.lit(name).alias("__role__"))
         members.append(cohort.drop("role").join(keys, id_col))
     return members[0].unionByName(members[1], allowMissingColumns=True)
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import running_total
-from ..functions.tools import BROADCAST_ROWS, attach, materialise
+from ..functions.tools import BROADCAST_ROWS, attach, materialise, named
 
 CELL_UNITS = 4096
 CHUNK_QUERIES = 8192
@@ -91,7 +91,7 @@ def _sum(columns: list[Column]) -> Column:
 def _coordinates(df: DataFrame, geo: Geometry, names: list[str]) -> DataFrame:
     """Columns ``z0..``: the numeric columns, categories spread by hash, then pool extras."""
     hashed = [F.pmod(F.xxhash64(c), F.lit(1 << 30)) / float(1 << 30) for c in geo.cs]
-    zs = [F.col(x) for x in geo.xs] + hashed + [F.col(n).cast("double") for n in names]
+    zs = [named(x) for x in geo.xs] + hashed + [named(n).cast("double") for n in names]
     return df.select("*", *[z.cast("double").alias(f"z{i}") for i, z in enumerate(zs)])
 
 
@@ -107,7 +107,7 @@ def _descend(df: DataFrame, splits: DataFrame, rows: int) -> DataFrame:
     """Move every row of a split cell into the child its coordinate falls into."""
     zs = [c for c in df.columns if c.startswith("z") and c[1:].isdigit()]
     placed = attach(df, splits, ["blk", "cell"], "left", rows)
-    value = F.element_at(F.array(*[F.col(z) for z in zs]), F.col("_dim") + 1)
+    value = F.element_at(F.array(*[named(z) for z in zs]), F.col("_dim") + 1)
     child = F.size(F.filter(F.col("_cuts"), lambda cut: cut <= value))
     return placed.withColumn(
         "cell", F.when(F.col("_cuts").isNull(), F.col("cell")).otherwise(F.concat("cell", F.lit("."), child))
@@ -131,7 +131,7 @@ def _choose_splits(points: DataFrame, open_cells: DataFrame, zs: list[str], spar
     pick = lambda side: F.element_at(F.array(*[F.col(f"{side}_{z}") for z in zs]), F.col("_dim") + 1)
     dims = materialise(dims.select("blk", "cell", "n", "_dim", pick("lo").alias("_lo"), pick("hi").alias("_hi")))
     inside = attach(points, dims, ["blk", "cell"])
-    value = F.element_at(F.array(*[F.col(z) for z in zs]), F.col("_dim") + 1)
+    value = F.element_at(F.array(*[named(z) for z in zs]), F.col("_dim") + 1)
     shares = [i / FAN_OUT for i in range(1, FAN_OUT)]
     cuts = inside.groupBy("blk", "cell").agg(
         F.percentile_approx(value, shares, 2000).alias("_q"),
@@ -288,8 +288,8 @@ def _search_cells(visits: DataFrame, points: DataFrame, geo: Geometry) -> DataFr
         visits = visits.withColumn("_chunk", F.lit(0))
         units = units.withColumn("_chunk", F.lit(0))
     # New names for the same columns, so that both sides may come from one table.
-    visits = visits.select(*[F.col(c).alias(c) for c in visits.columns])
-    units = units.select(*[F.col(c).alias(c) for c in units.columns])
+    visits = visits.select(*[named(c).alias(c) for c in visits.columns])
+    units = units.select(*[named(c).alias(c) for c in units.columns])
     types = {f.name: f.dataType.simpleString() for f in [*visits.schema, *units.schema]}
     keys = ["blk", "cell", "_chunk"]
     return (
@@ -330,7 +330,7 @@ def _box_gap(geo: Geometry, zs: list[str], far: bool) -> Column:
     misses = []
     for j in range(geo.n_cat):
         z = f"z{geo.width + j}"
-        outside = (F.col(z) < F.col(f"lo_{z}")) | (F.col(z) > F.col(f"hi_{z}"))
+        outside = (named(z) < F.col(f"lo_{z}")) | (named(z) > F.col(f"hi_{z}"))
         misses.append(F.lit(1.0) if far else F.when(outside, 1.0).otherwise(0.0))
     return geo.combine(_sum(parts), _sum(misses), F.sqrt)
 

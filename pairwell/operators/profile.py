@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
-from ..functions.tools import attach, is_numeric, melt_numeric, melt_text, wide_to_long
+from ..functions.tools import attach, complete_rows, is_numeric, melt_numeric, melt_text, named, wide_to_long
 from .balance import yates_chi2
 
 FEW_VALUES = 7  # fixed value: numeric covariates with fewer distinct values count as categories
@@ -22,15 +22,15 @@ _GROUP = {1: "treated", 0: "control"}
 
 
 def _group_name(treatment_col: str):
-    return F.when(F.col(treatment_col) == 1, "treated").when(F.col(treatment_col) == 0, "control")
+    return F.when(named(treatment_col) == 1, "treated").when(named(treatment_col) == 0, "control")
 
 
 def _grouped(df: DataFrame, treatment_col: str, covariates: list[str]) -> DataFrame:
     absent = [c for c in covariates if c not in df.columns]
     if absent:
         raise ConfigError(f"covariates not in the table: {absent}")
-    return df.where(F.col(treatment_col).isin(0, 1)).select(
-        _group_name(treatment_col).alias("group"), *covariates
+    return df.where(named(treatment_col).isin(0, 1)).select(
+        _group_name(treatment_col).alias("group"), *map(named, covariates)
     )
 
 
@@ -50,7 +50,7 @@ def descriptive_stats(df: DataFrame, treatment_col: str, covariates: list[str])
     data = _grouped(df, treatment_col, numeric)
     aggs = []
     for i, c in enumerate(numeric):
-        x = F.col(c).cast("double")
+        x = named(c).cast("double")
         aggs += [
             F.avg(x).alias(f"mean__{i}"),
             F.stddev_samp(x).alias(f"std__{i}"),
@@ -69,7 +69,7 @@ def missingness(df: DataFrame, treatment_col: str, covariates: list[str]) -> Dat
     aggs = []
     for i, c in enumerate(covariates):
         for g, name in _GROUP.items():
-            share = F.avg(F.when(F.col(treatment_col) == g, F.col(c).isNull().cast("double")))
+            share = F.avg(F.when(named(treatment_col) == g, named(c).isNull().cast("double")))
             aggs.append(F.coalesce(share, F.lit(0.0)).alias(f"{name}_missing_pct__{i}"))
     return wide_to_long(df.agg(*aggs), covariates, [f"{n}_missing_pct" for n in _GROUP.values()])
 
@@ -81,7 +81,7 @@ def frequencies(df: DataFrame, treatment_col: str, covariates: list[str]) -> Dat
         F.count_if(F.col("group") == "treated").alias("k1"), F.count_if(F.col("group") == "control").alias("k0")
     )
     totals = counts.groupBy("variable").agg(F.sum("k1").alias("n1"), F.sum("k0").alias("n0"))
-    share = lambda k, n: F.when(F.col(n) > 0, F.col(k) / F.col(n)).otherwise(0.0)
+    share = lambda k, n: F.when(named(n) > 0, named(k) / named(n)).otherwise(0.0)
     return attach(counts, totals, ["variable"], rows=len(covariates)).select(
         "variable",
         F.col("value").alias("category"),
@@ -112,11 +112,13 @@ def _kernel_sums(state: dict):
 
 def densities(df: DataFrame, treatment_col: str, covariates: list[str]) -> DataFrame:
     """Gaussian density curves (Scott bandwidth) of both groups on one 200-point grid per covariate."""
-    data = _grouped(df, treatment_col, covariates)
     spark = df.sparkSession
+    if not covariates:
+        return spark.createDataFrame([], "variable string, point int, x double, treated_density double, control_density double")
+    data = _grouped(df, treatment_col, covariates)
     aggs = []
     for i, c in enumerate(covariates):
-        x = F.col(c).cast("double")
+        x = named(c).cast("double")
         aggs += [F.count(x).alias(f"n__{i}"), F.min(x).alias(f"lo__{i}"), F.max(x).alias(f"hi__{i}"), F.stddev_samp(x).alias(f"s__{i}")]
     facts = wide_to_long(data.groupBy("group").agg(*aggs), covariates, ["n", "lo", "hi", "s"], ["group"]).collect()
     kernels, curves = {}, []
@@ -165,10 +167,10 @@ def pearson_matrix(df: DataFrame, treatment_col: str, variables: list[str]) -> D
     spark = df.sparkSession
     if len(variables) < 2:
         return spark.createDataFrame([], schema)
-    data = _grouped(df, treatment_col, variables).dropna(subset=variables)
+    data = complete_rows(_grouped(df, treatment_col, variables), variables)
     pairs = list(combinations(range(len(variables)), 2))
-    corr = [F.corr(F.col(variables[i]).cast("double"), F.col(variables[j]).cast("double")).alias(f"r__{k}") for k, (i, j) in enumerate(pairs)]
-    spread = [F.stddev_pop(v).alias(f"_s{i}") for i, v in enumerate(variables)]
+    corr = [F.corr(named(variables[i]).cast("double"), named(variables[j]).cast("double")).alias(f"r__{k}") for k, (i, j) in enumerate(pairs)]
+    spread = [F.stddev_pop(named(v)).alias(f"_s{i}") for i, v in enumerate(variables)]
     wide = data.groupBy("group").agg(F.count(F.lit(1)).alias("_n"), *corr, *spread)
     groups = spark.createDataFrame([(g,) for g in _GROUP.values()], "group string")
     wide = groups.join(wide, "group", "left")
@@ -191,7 +193,7 @@ def cramers_v_matrix(df: DataFrame, treatment_col: str, variables: list[str]) ->
         return spark.createDataFrame([], schema)
     pairs = list(combinations(range(len(variables)), 2))
     data = _grouped(df, treatment_col, variables)
-    texts = [F.col(v).cast("string") for v in variables]
+    texts = [named(v).cast("string") for v in variables]
     cells = [F.struct(F.lit(k).alias("pair"), texts[i].alias("a"), texts[j].alias("b")) for k, (i, j) in enumerate(pairs)]
     counts = (
         data.select("group", F.explode(F.array(*cells)).alias("_c"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import MatchError
-from ..functions.tools import attach, materialise, with_size
+from ..functions.tools import attach, materialise, named, with_size
 from .cohort import LOGIT, PS
 
 CLIP = 1e-6  # fixed value: scores stay within [CLIP, 1 - CLIP]
@@ -45,7 +45,7 @@ class PropensityModel:
 
 def monomials(covariates: list[str], degree: int) -> list[Column]:
     """All products of the covariates up to a degree, without the constant."""
-    xs = {c: F.col(c).cast("double") for c in covariates}
+    xs = {c: named(c).cast("double") for c in covariates}
     return [
         reduce(lambda a, b: a * b, [xs[c] for c in combo])
         for d in range(1, degree + 1)
@@ -123,8 +123,8 @@ def fit_propensity(
     """Fit P(treated) per ``stratum`` on standardised polynomial terms. Strata with one group are left out."""
     terms = monomials(covariates, spec.degree)
     size = len(terms) + 1
-    base = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in covariates]))
-    base = base.select("stratum", (F.col(treatment_col) == 1).cast("double").alias("y"), *[t.alias(f"m{i}") for i, t in enumerate(terms)])
+    base = df.where(reduce(lambda a, b: a & b, [named(c).isNotNull() for c in covariates]))
+    base = base.select("stratum", (named(treatment_col) == 1).cast("double").alias("y"), *[t.alias(f"m{i}") for i, t in enumerate(terms)])
     ms = [f"m{i}" for i in range(len(terms))]
     stats = base.groupBy("stratum").agg(
         F.sum("y").alias("_n1"),
@@ -139,7 +139,7 @@ def fit_propensity(
     if not rows:
         raise MatchError("no stratum has both groups, so no propensity model can be fitted")
     scaled = attach(base, stats, ["stratum"], rows=rows).select(
-        "stratum", "y", F.array(*[(F.col(m) - F.col("mu")[i]) / F.col("sd")[i] for i, m in enumerate(ms)]).alias("z")
+        "stratum", "y", F.array(*[(named(m) - F.col("mu")[i]) / F.col("sd")[i] for i, m in enumerate(ms)]).alias("z")
     )
     scaled = materialise(scaled)
     start = F.array_repeat(F.lit(0.0), size)
@@ -189,7 +189,7 @@ def score(df: DataFrame, model: PropensityModel) -> DataFrame:
     return (
         joined.withColumn(PS, F.when(eta.isNotNull(), p))
         .withColumn(LOGIT, F.log(F.col(PS) / (1 - F.col(PS))))
-        .select(*df.columns, PS, LOGIT)
+        .select(*map(named, df.columns), PS, LOGIT)
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import TableConfig
 from ..errors import ConfigError
 from ..functions.order import exact_quantiles
-from ..functions.tools import is_numeric
+from ..functions.tools import is_numeric, named
 
 
 @dataclass(frozen=True)
@@ -48,9 +48,9 @@ def fit_scaling(df: DataFrame, config: TableConfig) -> ScaleState:
     center, width = {}, {}
     aggs = []
     for c in by_method.get("standard", ()):
-        aggs += [F.avg(c).alias(f"a:{c}"), F.stddev_pop(c).alias(f"b:{c}")]
+        aggs += [F.avg(named(c)).alias(f"a:{c}"), F.stddev_pop(named(c)).alias(f"b:{c}")]
     for c in by_method.get("minmax", ()):
-        aggs += [F.min(c).alias(f"a:{c}"), F.max(c).alias(f"b:{c}")]
+        aggs += [F.min(named(c)).alias(f"a:{c}"), F.max(named(c)).alias(f"b:{c}")]
     if aggs:
         row = df.agg(*aggs).first()
         for c in by_method.get("standard", ()):
@@ -83,9 +83,9 @@ def _columns_of(df: DataFrame, config: TableConfig, state: ScaleState) -> list[s
 
 def scale(df: DataFrame, config: TableConfig, state: ScaleState) -> DataFrame:
     columns = _columns_of(df, config, state)
-    return df.withColumns({c: (F.col(c) - state.center[c]) / state.width[c] for c in columns}) if columns else df
+    return df.withColumns({c: (named(c) - state.center[c]) / state.width[c] for c in columns}) if columns else df
 
 
 def unscale(df: DataFrame, config: TableConfig, state: ScaleState) -> DataFrame:
     columns = _columns_of(df, config, state)
-    return df.withColumns({c: F.col(c) * state.width[c] + state.center[c] for c in columns}) if columns else df
+    return df.withColumns({c: named(c) * state.width[c] + state.center[c] for c in columns}) if columns else df

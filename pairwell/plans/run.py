@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import TableConfig, config_to_dict
 from ..errors import MatchError
-from ..functions.tools import materialise
+from ..functions.tools import materialise, named
 from ..operators import assign, cohort as prep, greedy, matched
 from ..operators.balance import balance_table, max_abs_smd
 from ..operators.clean import preprocess
@@ -175,7 +175,7 @@ def _match(df, spec: MatchSpec, covariates, evaluation, categorical, result: Run
         selection = materialise(assign.transport_selection(candidates, id_col, rule, spec.strategy.optimal_transport_target_size))
         result.datasets["matched_dataset"] = materialise(matched.selected_dataset(work, selection, id_col))
         result.metrics["n_pool_units_selected"] = float(selection.count())
-        pairs = work.select(F.lit(None).cast("long").alias("query_id"), F.col(id_col).alias("pool_id"), F.lit(0.0).alias("dist")).limit(0)
+        pairs = work.select(F.lit(None).cast("long").alias("query_id"), named(id_col).alias("pool_id"), F.lit(0.0).alias("dist")).limit(0)
         if not result.metrics["n_pool_units_selected"]:
             raise MatchError("nothing was matched in any stratum")
     else:

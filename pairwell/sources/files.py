@@ -11,7 +11,9 @@ from ..errors import LoadError
 
 READERS = {
     ".csv": ("csv", {"header": True, "inferSchema": True}),
-    ".json": ("json", {"multiLine": True}),
+    ".json": ("json", {"multiLine": True}),  # one document: one task reads it; see .jsonl for large tables
+    ".jsonl": ("json", {}),
+    ".ndjson": ("json", {}),
     ".parquet": ("parquet", {}),
     ".tsv": ("csv", {"header": True, "inferSchema": True, "sep": "\t"}),
 }
