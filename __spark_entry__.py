@@ -8,13 +8,13 @@ Cohorts on the given tables:
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwell.config import ColumnSpec, EncodingRule, MissingRule, ScalingRule, TableConfig
+from pairwell.functions.tools import shared_folder
 from pairwell.operators import assign, balance, clean, cohort, columns, distance, encode, greedy, impute, matched
 from pairwell.operators import profile, propensity, scale
 from pairwell.operators.distance import PairRule, Window
@@ -156,6 +156,20 @@ def _(spark, sf_dir):
     return cleaned(spark, sf_dir, "orders", o_orderkey={"id": True}, o_orderpriority={"categorical": True, "mappings": {"1-URGENT": "high", "2-HIGH": "high", "5-LOW": "low"}})
 
 
+@query("map_values_numeric", """SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE CAST(n_regionkey AS VARCHAR) END AS n_regionkey FROM nation""")
+def _(spark, sf_dir):
+    return cleaned(spark, sf_dir, "nation", n_nationkey={"id": True}, n_regionkey={"categorical": True, "type": "string", "mappings": {"0": "zero", 1: "one", "a": "never"}})
+
+
+@query("encode_dotted_values", """SELECT c_custkey, CAST(c_mktsegment = 'BUILDING' AS DOUBLE) AS "home.seg__B.1", CAST(c_mktsegment = 'MACHINERY' AS DOUBLE) AS "home.seg__M`2",
+CAST(c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS DOUBLE) AS "home.seg__rest" FROM customer""")
+def _(spark, sf_dir):
+    segment = F.when(F.col("c_mktsegment") == "BUILDING", "B.1").when(F.col("c_mktsegment") == "MACHINERY", "M`2").otherwise("rest")
+    df = table(spark, sf_dir, "customer").select("c_custkey", segment.alias("home.seg"))
+    config = TableConfig({"c_custkey": ColumnSpec("c_custkey", id=True), "home.seg": ColumnSpec("home.seg", categorical=True, encoding=EncodingRule(True, "one_hot"))})
+    return encode.encode(df, config, encode.fit_encoding(df, config))
+
+
 @query("blank_missing_tokens", """SELECT l_orderkey, CASE WHEN l_returnflag IN ('N', 'NA') THEN NULL ELSE l_returnflag END AS l_returnflag,
 l_linestatus FROM lineitem""")
 def _(spark, sf_dir):
@@ -680,6 +694,14 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------- runs
 
 
+@query("profile_routing", f"""WITH {ITEMS}, l AS (SELECT 'status_gaps' AS variable, status_gaps AS category, treated FROM items UNION ALL SELECT 'bulky', CAST(bulky AS VARCHAR), treated FROM items UNION ALL SELECT 'same', '1', treated FROM items),
+c AS (SELECT variable, category, count(*) FILTER (treated = 1) AS a, count(*) FILTER (treated = 0) AS b FROM l WHERE category IS NOT NULL GROUP BY 1, 2)
+SELECT variable, category, round(a / sum(a) OVER (PARTITION BY variable), 6) AS treated_frequency, round(b / sum(b) OVER (PARTITION BY variable), 6) AS control_frequency FROM c""")
+def _(spark, sf_dir):
+    cohort_ = items(spark, sf_dir).withColumn("same", F.lit(1))
+    return rounded(profile.profile_population(cohort_, "treated", ["status_gaps", "bulky", "same", "l_extendedprice"]).frequencies)
+
+
 @query("match_run")
 def _(spark, sf_dir):
     spec = MatchSpec.from_dict({
@@ -711,7 +733,7 @@ pairs{caliper} AS (SELECT query_id, min(dist) AS dist FROM d{caliper} GROUP BY 1
 @query("compare_runs", f"WITH {CUSTOMERS}, {pairs_sql(300)}, {pairs_sql(60)} {run_sql(300)} UNION ALL {run_sql(60)}")
 def _(spark, sf_dir):
     people, folders = customers(spark, sf_dir), []
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairwell-runs-")
+    root = shared_folder(spark)
     for caliper in (300.0, 60.0):
         result = run_matching(people, MatchSpec.from_dict({
             "population": {"treatment_col": "treated", "id_col": "c_custkey"},
