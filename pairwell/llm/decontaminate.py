@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .text import appended, byte_texts, prefix, prefixed, refuse_clash, unprefixed, with_columns, words
 
 WINDOW = 13
-# The automaton is sent to every task, so its size is bounded: beyond so many words of test items, the
-# items are split into parts of that size, and the texts are scanned once per part.
-PART_WORDS = 500_000
+# The automaton is sent to every task. It takes some 300 bytes per word of the test items, so test sets above this
+# many words are refused with an error (raise the parameter with the executors' memory); none is cut.
+MOST_WORDS = 2_000_000
 
 # Position-preserving: what is no word byte becomes a blank, A-Z becomes a-z.
 NORMAL = bytes(
@@ -36,38 +36,61 @@ _GAP = np.zeros(256, bool)
 _GAP[[32, 10]] = True
 
 
-def item_windows(text: str | None, window: int = WINDOW) -> list[bytes]:
-    found = (text or "").encode().translate(NORMAL).split()
-    if not found:
-        return []
-    return [b" ".join(found[i : i + window]) for i in range(max(1, len(found) - window + 1))]
-
-
 class Automaton:
-    """The windows of some items as patterns of a scan. Bytes are read as Latin-1, one character each."""
+    """The test items as patterns of one scan. Bytes are read as Latin-1, one character each.
+
+    Not every window is a pattern: items are cut into blocks of (window + 1) // 2 words, and any window holds a whole
+    block. Where a block is found, the match is extended to both sides along the item; a run of at
+    least a window's length is made of windows. Items shorter than a window are patterns themselves.
+    """
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
+        self.window, self.block = window, (window + 1) // 2
         self.items = [i for i, _ in items]
-        owners: dict[bytes, list[int]] = {}
-        for place, (_, text) in enumerate(items):
-            for w in set(item_windows(text, window)):
-                owners.setdefault(w, []).append(place)
+        self.words = [(t or "").encode().translate(NORMAL).split() for _, t in items]
+        owners: dict[bytes, list[tuple[int, int]]] = {}
+        for place, own in enumerate(self.words):
+            if 0 < len(own) < window:
+                owners.setdefault(b" ".join(own), []).append((place, 0))
+            for at in range(0, len(own) - self.block + 1, self.block) if len(own) >= window else ():
+                owners.setdefault(b" ".join(own[at : at + self.block]), []).append((place, at))
         self.scan = ahocorasick.Automaton() if owners else None
-        for w, places in owners.items():
-            self.scan.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, places))
+        for pattern, places in owners.items():
+            self.scan.add_word(f" {pattern.decode('latin-1')} ", (pattern.count(b" ") + 1, places))
         if owners:
             self.scan.make_automaton()
 
-    def hits(self, normal: bytes) -> list[tuple[int, int, list[int]]]:
-        """(first word, words, places of items) of every occurrence in a text put through NORMAL."""
-        if self.scan is None:
+    def hits(self, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(first word, past-the-end word, place of the item) of every run of windows in a text."""
+        if self.scan is None or not words:
             return []
-        line = f" {b' '.join(normal.split()).decode('latin-1')} "
+        line = f" {b' '.join(words).decode('latin-1')} "
         found = list(self.scan.iter(line))
         if not found:
             return []
         blanks = np.cumsum(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-        return [(int(blanks[end]) - 1 - n, n, places) for end, (n, places) in found]
+        runs, covered = [], {}
+        for end, (n, places) in found:
+            stop = int(blanks[end]) - 1
+            start = stop - n
+            for place, at in places:
+                own = self.words[place]
+                if len(own) < self.window:
+                    if n == len(own):
+                        runs.append((start, stop, place))
+                    continue
+                if covered.get((place, start - at), 0) > start:
+                    continue  # inside a run along the same words
+                a, i = start, at
+                while a and i and words[a - 1] == own[i - 1]:
+                    a, i = a - 1, i - 1
+                b, j = stop, at + n
+                while b < len(words) and j < len(own) and words[b] == own[j]:
+                    b, j = b + 1, j + 1
+                covered[place, start - at] = b
+                if b - a >= self.window:
+                    runs.append((a, b, place))
+        return runs
 
 
 def _char_spans(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -78,21 +101,20 @@ def _char_spans(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(int(chars[first[a] - 1]), int(chars[last[b - 1] - 1])) for a, b in runs]  # the buffer has one byte before
 
 
-def scan_text(raw: bytes, automata: list[Automaton]) -> dict:
+def scan_text(raw: bytes, automaton: Automaton) -> dict:
     """What one text holds: counts, named items and the spans of hit words."""
-    normal = raw.translate(NORMAL)
-    n = len(normal.split())
-    hits = [(a, k, [auto.items[p] for p in places]) for auto in automata for a, k, places in auto.hits(normal)] if n else []
+    words = raw.translate(NORMAL).split()
+    n, hits = len(words), automaton.hits(words)
     if not hits:
         return {"n_words": n, "n_hit": 0, "items": [], "spans": []}
     step = np.zeros(n + 1, np.int64)
-    for a, k, _ in hits:
+    for a, b, _ in hits:
         step[a] += 1
-        step[a + k] -= 1
+        step[b] -= 1
     inside = np.concatenate([[False], np.cumsum(step[:-1]) > 0, [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     runs = list(zip(edges[0::2].tolist(), edges[1::2].tolist()))
-    items = sorted({i for *_, names in hits for i in names}, key=str)
+    items = sorted({automaton.items[p] for *_, p in hits}, key=str)
     return {"n_words": n, "n_hit": int(inside.sum()), "items": items, "spans": _char_spans(raw, runs)}
 
 
@@ -101,20 +123,13 @@ spans array<struct<start:int,end:int>>"""
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _parts(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple]]:
-    """The items in parts of a bounded number of words. Test sets are small beside the corpus: they are
-    read through the driver part by part, never as a whole."""
-    parts, size = [[]], 0
-    for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).toLocalIterator():
-        if row.i is None:
-            continue
-        n = len((row.t or "").split()) + 1
-        if parts[-1] and size + n > PART_WORDS:
-            parts.append([])
-            size = 0
-        parts[-1].append((row.i, row.t))
-        size += n
-    return parts
+def _items(benchmark: DataFrame, item_id: str, text: str) -> list[tuple]:
+    """The test items, read through the driver once their size is known to be bounded."""
+    rows = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).alias("t"))
+    words = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    if words // 2 > MOST_WORDS and (rows.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0) > MOST_WORDS:
+        raise ValueError(f"the test items have more than {MOST_WORDS} words")
+    return [(r.i, r.t) for r in rows.toLocalIterator()]
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -125,14 +140,14 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     """
     refuse_clash(docs, ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans"])
     spark = docs.sparkSession
-    parts = [spark.sparkContext.broadcast(p) for p in _parts(benchmark, item_id, item_text)]
-    built: dict[str, list[Automaton]] = {}  # filled in the worker
+    items = spark.sparkContext.broadcast(_items(benchmark, item_id, item_text))
+    built: list[Automaton] = []  # filled in the worker
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "a" not in built:
-            built["a"] = [Automaton(p.value, window) for p in parts]
+        if not built:
+            built.append(Automaton(items.value, window))
         for batch in batches:
-            found = [scan_text(t, built["a"]) for t in byte_texts(batch.column(text))]
+            found = [scan_text(t, built[0]) for t in byte_texts(batch.column(text))]
             names = [[str(i) for i in f["items"]] for f in found]
             yield appended(batch, {
                 "n_words": pa.array([f["n_words"] for f in found], pa.int64()),

@@ -360,3 +360,15 @@ def test_toxic_words_and_exact_neighbours(spark):
     assert toxicity.scored(empty(spark), index).count() == 0
     one_class = toxicity.scored(docs, toxicity.learned(docs, labels.where("toxic = 0")))
     assert {r.predicted for r in one_class.collect()} == {0}
+
+
+def test_runs_of_windows_at_every_offset():
+    rng = random.Random(12)
+    items = [(k, " ".join(rng.choices("abc", k=rng.randint(1, 40)))) for k in range(12)]
+    automaton = decontaminate.Automaton(items)
+    for _ in range(60):
+        own = items[rng.randrange(12)][1].split()
+        a = rng.randint(0, len(own))
+        text = " ".join([*rng.choices("abc", k=rng.randint(0, 9)), *own[a : a + rng.randint(0, 30)], *rng.choices("abcd", k=rng.randint(0, 9))])
+        found = decontaminate.scan_text(text.encode(), automaton)
+        assert (found["n_words"], found["n_hit"], found["items"] and sorted(map(str, found["items"]))) == (lambda n, h, i: (n, h, i))(*brute_hits(text, items))
