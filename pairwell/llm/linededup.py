@@ -10,7 +10,7 @@ Jaccard similarity of at least ``percent``, whether that line itself stays or no
 3. Stars: lines that share neighbouring prefix tokens are compared with the first of them. That settles
    nearly all of a group of near copies without forming its pairs.
 4. Prefix join of the unsettled lines with all earlier ones, with the length filter, the positional filter,
-   and a bound of the difference by odd sketches (parity bits of the tokens).
+   a bound of the difference by odd sketches (parity bits of the tokens), and the number of shared prefix tokens.
 5. Candidates are verified on the full sets, read again from the texts that hold them.
 
 Defined cases: NULL texts stay NULL, lines without a word are kept, rows with a NULL doc_id are left as they
@@ -30,32 +30,34 @@ from .text import prefix, prefixed, unprefixed
 PERCENT = 80
 RARITY_BITS = 20
 _GROUP_BITS = 10  # counters travel to the driver in so many groups
+_SPACES = "\t\r\x0b\x0c"
+_STAR_KEYS = 3  # pairs of neighbouring prefix tokens of a line
 _RANK = 56  # bits of the hash kept below the rank
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "), " ")
-
-
-def _tokens(line: Column) -> Column:
-    """Hashes of the different words of a line."""
-    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+def _hashes(line: Column) -> Column:
+    """Hashes of the words of a line, without the empty one between two blanks."""
+    return F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
 def _each_line(docs: DataFrame) -> DataFrame:
-    whole = docs.where("doc_id is not null and text is not null")
+    """doc_id, place, line: lower case, with blanks for other white space."""
+    low = F.lower("text")
+    odd = [F.contains(low, F.lit(c)) for c in _SPACES]
+    plain = F.when(odd[0] | odd[1] | odd[2] | odd[3], F.translate(low, _SPACES, "    ")).otherwise(low)
+    whole = docs.where("doc_id is not null and text is not null").select("doc_id", plain.alias("text"))
     return whole.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, place, tokens of every line with a word."""
-    return _each_line(docs).select("doc_id", "place", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    return _each_line(docs).select("doc_id", "place", F.array_distinct(_hashes(F.col("line"))).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def _rarity(docs: DataFrame) -> bytearray:
     """One byte per counter: twice the logarithm of its count, as a character code from 1 on (1: at most one occurrence)."""
     counter = F.shiftrightunsigned("h", 64 - RARITY_BITS).cast("int")
-    each = _each_line(docs).select(F.explode(_words(F.col("line"))).alias("w")).where("w <> ''").select(F.xxhash64("w").alias("h"))
+    each = _each_line(docs).select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''").select(F.xxhash64("w").alias("h"))
     counts = each.groupBy(counter.alias("counter")).agg(F.count("*").alias("n")).where("n > 1")
     level = F.least(F.lit(100), F.lit(2) + F.floor(F.lit(2.0) * F.log2("n"))).cast("int")
     groups = counts.groupBy(F.shiftright("counter", RARITY_BITS - _GROUP_BITS).alias("g")).agg(F.collect_list(F.col("counter") * 128 + level).alias("levels"))
@@ -77,15 +79,17 @@ def _sketch(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
 
 
+def _short(ranked: Column) -> Column:
+    """Prefix tokens as 32-bit hashes, half as large; equal hashes of different tokens cost candidates only. 0: no other line has the token."""
+    return F.transform(ranked, lambda r: F.when(F.shiftright(r, _RANK) > 1, F.hash(r)).otherwise(F.lit(0)))
+
+
 def _described(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
     """Of every line: size, digest of its set, sketch and prefix."""
     n = F.size("tokens")
     length = n - F.floor((n * percent + 99) / 100).cast("int") + 1
-    ordered = F.sort_array("tokens")
-    return lines.select(
-        "doc_id", "place", n.alias("n"), F.xxhash64(ordered).alias("h1"), F.xxhash64(ordered, F.lit(7)).alias("h2"), _sketch(F.col("tokens")).alias("b"),
-        F.slice(F.sort_array(F.transform("tokens", lambda h: _rank(table, h))), F.lit(1), length).alias("prefix"),
-    )
+    ranked = lines.select("doc_id", "place", n.alias("n"), _sketch(F.col("tokens")).alias("b"), F.sort_array(F.transform("tokens", lambda h: _rank(table, h))).alias("ranked"), length.alias("length"))
+    return ranked.select("doc_id", "place", "n", F.xxhash64("ranked").alias("h1"), F.xxhash64("ranked", F.lit(7)).alias("h2"), "b", _short(F.slice("ranked", F.lit(1), F.col("length"))).alias("prefix"))
 
 
 def _sets(lines: DataFrame) -> DataFrame:
@@ -104,7 +108,7 @@ def _close(percent: int) -> Column:
 def _star_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Each line with the first line that shares neighbouring prefix tokens."""
     size = F.size("prefix")
-    keys = F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1)), F.lit(2)), lambda i: F.xxhash64(F.get("prefix", i - 1), F.get("prefix", i)))
+    keys = F.transform(F.sequence(F.lit(1), F.least(F.greatest(size - 1, F.lit(1)), F.lit(2 * _STAR_KEYS - 1)), F.lit(2)), lambda i: F.xxhash64(F.get("prefix", i - 1), F.get("prefix", i)))
     keyed = sets.where("n > 3").select(F.explode(keys).alias("key"), "id", "n", "b")
     first = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("k")).where("k > 1").select("key", "first")
     star = keyed.join(first, "key").where("id > first").select("id", "first").distinct()
@@ -116,14 +120,22 @@ def _star_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 def _prefix_pairs(sets: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
     """Unsettled lines with every earlier line that passes the filters. Sets of up to three tokens can only be equal."""
-    marked = sets.where("n > 3").join(small(settled, 8).withColumn("settled", F.lit(True)), "id", "left")
-    entries = marked.select(F.posexplode("prefix").alias("i", "token"), "id", "n", "b", F.coalesce("settled", F.lit(False)).alias("settled"))
-    entries = entries.where(F.shiftright("token", _RANK) > 1)  # a token seen once has no partner
-    other = entries.select("token", F.col("i").alias("j"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("b").alias("c"))
+    marked = sets.where("n > 3").join(small(settled, 8).withColumn("settled", F.lit(1)), "id", "left")
+    entries = marked.select(F.posexplode("prefix").alias("i", "token"), "id", "n", "b", F.coalesce("settled", F.lit(0)).alias("settled"))
+    entries = entries.where("token <> 0")
+    # renamed above the join only: both sides are the same plan, so that one shuffle serves both
+    x, y = entries.alias("x"), entries.alias("y")
+    names = {"i": "j", "id": "other", "n": "m", "b": "c", "settled": "other_settled"}
+    columns = [F.col(f"x.{c}").alias(c) for c in names] + [F.col(f"y.{c}").alias(other) for c, other in names.items()]
+    met = x.join(y, F.col("x.token") == F.col("y.token")).select(*columns)
     shared = F.least("i", "j") + 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
     positional = shared * (100 + percent) >= percent * (F.col("n") + F.col("m"))
-    later = entries.where(~F.col("settled")).drop("settled")
-    return later.join(other, "token").where((F.col("id") > F.col("other")) & positional & _close(percent)).select("id", "other").distinct()
+    open_ = 2 * F.col("settled") + F.col("other_settled") < 2  # the later line is not settled
+    found = met.where((F.col("id") > F.col("other")) & open_ & positional & _close(percent))
+    # each row is a token that both prefixes have; behind its prefix a line has ceil(t n) - 1 tokens left to share
+    left = F.floor((F.greatest("n", "m") * percent + 99) / 100) - 1
+    counted = found.groupBy("id", "other", "n", "m").agg(F.count("*").alias("common"))
+    return counted.where((F.col("common") + left) * (100 + percent) >= percent * (F.col("n") + F.col("m"))).select("id", "other")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -158,7 +170,7 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     places = removed_lines(docs, percent).distinct().groupBy("doc_id").agg(F.collect_list("place").alias("removed_places"))
     own = prefixed(docs)
     id_, text = prefix("doc_id"), prefix("text")
-    joined = own.join(small(written(places.withColumnRenamed("doc_id", id_)), 64), id_, "left")
+    joined = own.join(small(written(places.withColumnRenamed("doc_id", id_)), 48), id_, "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("removed_places", i)), "\n")
     n_lines = F.length(text) - F.length(F.translate(F.col(text), "\n", "")) + 1
     return joined.select(*[F.col(f"`{c}`") for c in own.columns if c != text], F.when(F.col("removed_places").isNull(), F.col(text)).otherwise(kept).alias(text),
