@@ -3,7 +3,7 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -362,6 +362,30 @@ def test_toxic_words_and_exact_neighbours(spark):
     assert {r.predicted for r in one_class.collect()} == {0}
 
 
+def brute_cosines(texts, queries):
+    """TF-IDF cosines of queries to texts, with document frequencies over ``queries``."""
+    bags = [Counter(t for w in re.findall("[a-z0-9]+", (q or "").lower()) for t in [w, *[w[:n] + "*" for n in (4, 5, 6) if len(w) > n]]) for q in queries]
+    df = Counter(t for bag in bags for t in bag)
+    vectors = [{t: (1 + np.log(c)) * (np.log((len(queries) + 1) / (df[t] + 1)) + 1) for t, c in bag.items()} for bag in bags]
+    norm = [sum(x * x for x in v.values()) ** 0.5 for v in vectors]
+    return [{i: sum(w * vectors[i].get(t, 0) for t, w in v.items()) / (norm[j] * norm[i]) for i in texts if norm[i] and norm[j]} for j, v in enumerate(vectors)]
+
+
+def test_toxicity_searches_all_labelled_texts_in_parts(spark):
+    texts = [None if not t else t for t in random_texts(300, seed=21, vocabulary=120)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 300, 2)], "doc_id long, toxic int")
+    used = [i for i in range(0, 300, 2) if zlib.crc32(str(i).encode()) % 5]
+    examples = toxicity.learned(docs, labels, part_bytes=1500)
+    assert examples.parts > 3 and sorted(examples.ids.tolist()) == used
+    got = {r.doc_id: r for r in toxicity.scored(docs, examples).collect()}
+    assert len(got) == 300
+    for j, sims in enumerate(brute_cosines(used, texts)):
+        want = sorted(((i, s) for i, s in sims.items() if s > 0), key=lambda x: (-round(x[1], 9), x[0]))[: toxicity.NEAREST]
+        assert [e.doc_id for e in got[j].evidence] == [i for i, _ in want]
+        assert np.allclose([e.similarity for e in got[j].evidence], [s for _, s in want])
+
+
 def test_runs_of_windows_at_every_offset():
     rng = random.Random(12)
     items = [(k, " ".join(rng.choices("abc", k=rng.randint(1, 40)))) for k in range(12)]
