@@ -386,6 +386,16 @@ def test_toxicity_searches_all_labelled_texts_in_parts(spark):
         assert np.allclose([e.similarity for e in got[j].evidence], [s for _, s in want])
 
 
+def test_copy_of_a_toxic_text_with_rare_words_is_found(spark):
+    texts = [f"ordinary words of text {i % 7}" for i in range(200)]
+    texts[3] = "ordinary words but snarlgrub once"
+    copy = 200
+    docs = documents(spark, [*texts, texts[3]])
+    labels = spark.createDataFrame([(i, int(i == 3 or i % 50 == 1)) for i in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.scored(docs, toxicity.learned(docs, labels)).collect()}
+    assert got[copy].evidence[0].doc_id == 3 and abs(got[copy].evidence[0].similarity - 1) < 1e-9
+
+
 def test_runs_of_windows_at_every_offset():
     rng = random.Random(12)
     items = [(k, " ".join(rng.choices("abc", k=rng.randint(1, 40)))) for k in range(12)]
