@@ -13,7 +13,9 @@
    hashes in which the sets differ, so pairs that cannot reach the threshold are dropped inside the join.
 4. Each remaining edge is confirmed on the full sets. Components come from the confirmed edges.
 
-A pair with similarity s is missed with probability (1 - s**ROWS)**BANDS: below 0.0001 at 0.85.
+A pair with similarity s is missed with probability (1 - s**rows)**bands. ``banding`` takes the longest bands for which
+that stays below ``MISS`` at the threshold: 32 bands of 8 at 0.85 (op7; 0.00004), 42 bands of 6 at 0.8 (the pipeline; 0.000003).
+Thresholds below 4 percent cannot be kept with 256 bins and are refused.
 
 Defined cases: NULL, empty and word-free texts have an empty set, are linked with nothing and kept;
 fewer words than a shingle: all of them are the one shingle; repeated rows (equal doc_id and text) and
@@ -34,10 +36,9 @@ from .components import components
 from .tables import small, written
 from .text import LOWER, byte_texts, mix, prefix, prefixed, quoted, slices, span_hashes, unprefixed, words
 
-BANDS, ROWS = 32, 8
-BINS = BANDS * ROWS
+BINS = 256
+MISS = 0.0001
 _SHIFT = np.uint64(64 - 8)
-assert BINS == 256
 
 SKETCH = 16  # longs
 STARS = 16
@@ -88,11 +89,21 @@ def signature(values: np.ndarray) -> np.ndarray:
     return sig
 
 
-_KEYS = mix(np.arange(BINS, dtype=np.uint64) + np.uint64(7 << 50)).reshape(BANDS, ROWS) | np.uint64(1)
+_KEYS = mix(np.arange(BINS, dtype=np.uint64) + np.uint64(7 << 50)) | np.uint64(1)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    return mix((sig.reshape(BANDS, ROWS) * _KEYS).sum(1, dtype=np.uint64)).view(np.int64)
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows with a miss below ``MISS`` for pairs at the threshold."""
+    for rows in range(BINS, 0, -1):
+        bands = BINS // rows
+        if (1 - (percent / 100) ** rows) ** bands < MISS:
+            return bands, rows
+    raise ValueError(f"links of {percent} percent cannot be found with {BINS} bins")
+
+
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    used = bands * rows
+    return mix((sig[:used] * _KEYS[:used]).reshape(bands, rows).sum(1, dtype=np.uint64)).view(np.int64)
 
 
 def odd_sketch(values: np.ndarray) -> np.ndarray:
@@ -101,14 +112,16 @@ def odd_sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _signatures(width: int):
+def _signatures(width: int, percent: int):
+    bands, rows = banding(percent)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         for batch in batches:
             ids, texts = batch.column(0), byte_texts(batch.column(1))
             for a, b in slices([len(t) for t in texts]):
                 sets = shingle_sets(texts[a:b], width)
-                keys = [band_keys(signature(s)) if len(s) else none for s in sets]
+                keys = [band_keys(signature(s), bands, rows) if len(s) else none for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     ids[a:b], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([mix(s).sum(dtype=np.uint64).astype(np.int64) for s in sets], pa.int64()),
@@ -149,7 +162,7 @@ def _confirm(percent: int):
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least ``percent``), kept."""
     texts = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
-    sigs = written(texts.mapInArrow(_signatures(width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"))
+    sigs = written(texts.mapInArrow(_signatures(width, percent), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"))
     same = ["n_shingles", "d1", "d2"]
     full = sigs.where("n_shingles > 0 and doc_id is not null")
     reps = written(full.groupBy(*same).agg(F.min("doc_id").alias("rep")))

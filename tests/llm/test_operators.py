@@ -267,6 +267,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, c in enumerate(want) if i == c]
 
 
+def test_bands_follow_the_threshold():
+    assert neardup.banding(85) == (32, 8)
+    rng = np.random.default_rng(3)
+    for percent in (50, 80, 85, 95):
+        bands, rows = neardup.banding(percent)
+        assert bands * rows <= neardup.BINS and (1 - (percent / 100) ** rows) ** bands < 0.0001
+        found = 0
+        for _ in range(300):
+            common, a, b = np.split(rng.integers(0, 2**64 - 1, 4000, np.uint64), [40 * percent, 40 * percent + 20 * (100 - percent)])
+            x, y = (neardup.band_keys(neardup.signature(np.sort(np.concatenate([common, own]))), bands, rows) for own in (a, b))
+            found += bool((x == y).any())
+        assert found == 300
+    with pytest.raises(ValueError):
+        neardup.banding(2)
+
+
 def test_near_duplicates_edges(spark):
     repeated = table(spark, [(1, "a b c d e f g", "en", "s", 1)] * 3 + [(None, "a b c d e f g", "en", "s", 1), (2, "a b c d e f g", None, None, None)])
     got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in neardup.classes(repeated).collect())
