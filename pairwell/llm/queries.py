@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, language, licenses, linededup, neardup, pack, quality, topk, toxicity
+from . import alignment, decontaminate, html, importance, language, licenses, linededup, neardup, pack, quality, shards, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality": quality.quality,
         "op9_main_text": html.main_texts,
         "op10_toxicity": toxicity.toxicity,
+        "op11_alignment": alignment.alignment,
+        "op12_sharding": shards.sharding,
+        "op13_resampling": importance.resampling,
     }
 
 
@@ -27,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_topk": topk.SQL,
         "op6_license_scan": licenses.SQL,
         "op7_near_duplicates": neardup.SQL,
+        "op12_sharding": shards.SQL,
+        "op13_resampling": importance.SQL,
     }
