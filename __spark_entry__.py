@@ -514,11 +514,41 @@ def _(spark, sf_dir):
     return rounded(pairs.select("stratum", "query_id", "pool_id", "dist"))
 
 
+# In one dimension the cheapest matching is a shortest path over both sides in order: least[i] is the total of the
+# first i queries with the pool units seen so far.
+TOTALS = f"""WITH RECURSIVE {CUSTOMERS},
+u AS (SELECT *, CAST(n_regionkey AS VARCHAR) AS stratum FROM customers JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT *, 'all' FROM customers JOIN nation ON n_nationkey = c_nationkey),
+q AS (SELECT stratum, list(CAST(c_acctbal AS DOUBLE) ORDER BY c_acctbal) AS xs FROM u WHERE treated = 1 GROUP BY 1),
+p AS (SELECT stratum, CAST(c_acctbal AS DOUBLE) AS x, row_number() OVER (PARTITION BY stratum ORDER BY c_acctbal) AS j FROM u WHERE treated = 0),
+walk AS (SELECT stratum, xs, CAST(0 AS BIGINT) AS j, list_transform(range(len(xs) + 1), lambda i: CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END) AS least FROM q
+  UNION ALL SELECT w.stratum, w.xs, p.j, list_transform(range(len(w.xs) + 1), lambda i: CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE least(w.least[i + 1], w.least[i] + abs(w.xs[i] - p.x)) END)
+  FROM walk w JOIN p ON p.stratum = w.stratum AND p.j = w.j + 1)
+SELECT stratum, CAST(len(xs) AS BIGINT) AS n_pairs, round(arg_max(least, j)[len(xs) + 1], 4) AS total FROM walk GROUP BY stratum, xs"""
+
+
+@query("optimal_assignment_totals", TOTALS)
+def _(spark, sf_dir):
+    people, rule = customers(spark, sf_dir), PairRule(("c_acctbal",))
+    by_region, whole = (
+        assign.optimal_pairs(cohort.resolve_direction(cohort.with_stratum(people, exact), "treated"), "c_custkey", rule) for exact in (["region"], [])
+    )
+    both = by_region.unionByName(whole.withColumn("stratum", F.lit("all")))
+    return both.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.sum("dist"), 4).alias("total"))
+
+
 @query("optimal_transport_selection")
 def _(spark, sf_dir):
     return rounded(assign.transport_selection(customer_cohort(spark, sf_dir, "region"), "c_custkey", PairRule(TWO), 6))
 
 
+@query("transport_invariants", f"""WITH {CUSTOMERS} SELECT DISTINCT CAST(n_regionkey AS VARCHAR) AS stratum, 1.0::DOUBLE AS shipped, true AS within_capacity, true AS optimal
+  FROM customers JOIN nation ON n_nationkey = c_nationkey""")
+def _(spark, sf_dir):
+    report = assign.transport_report(customer_cohort(spark, sf_dir, "region"), "c_custkey", PairRule(TWO), 6)
+    fits, best = F.col("heaviest") <= 1 / 6 + 1e-12, F.col("gap") <= 1e-6 * F.col("cost")
+    return report.select("stratum", F.round("shipped", 9).alias("shipped"), fits.alias("within_capacity"), best.alias("optimal"))
+
+
 def nation_pairs(spark, sf_dir):
     people = customer_cohort(spark, sf_dir, "c_nationkey")
     return people, greedy.greedy_pairs(people, "c_custkey", PairRule(TWO, caliper=300.0), 1, True)
@@ -755,8 +785,8 @@ def _(spark, sf_dir):
 try:
     import corpus_pipeline
     from pairwell.llm import queries as _llm
-except ModuleNotFoundError as exc:  # only the missing subpackage itself is passed over
-    if exc.name not in ("corpus_pipeline", "pairwell.llm"):
+except ModuleNotFoundError as exc:  # the optional part, or a library only it needs
+    if (exc.name or "").startswith("pairwell") and not (exc.name or "").startswith("pairwell.llm"):
         raise
 else:
     _QUERIES.update(_llm.queries(), pipeline=corpus_pipeline.run)

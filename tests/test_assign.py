@@ -25,55 +25,81 @@ def cheapest(cost):
     return 0, 0.0
 
 
-def test_small_solver_against_all_matchings():
+def exact(cost, supply=None, capacity=None):
+    """Flow of the most mass at the least cost; rows may stay at home at a price above any rearrangement."""
+    m = len(cost)
+    supply = np.ones(m, int) if supply is None else supply
+    capacity = np.ones(cost.shape[1], int) if capacity is None else capacity
+    finite = cost[np.isfinite(cost)]
+    home = np.full((m, m), np.inf)
+    np.fill_diagonal(home, (finite.max() if finite.size else 0.0) * 2 * (m + 1) + 1)
+    flow = ship(np.hstack([cost, home]), supply, np.concatenate([capacity, supply]))[:, : cost.shape[1]]
+    return flow.sum(), (flow * np.where(flow > 0, cost, 0)).sum()
+
+
+def test_cell_solver_against_all_matchings():
     rng = np.random.default_rng(0)
     for _ in range(150):
         cost = rng.integers(0, 8, (rng.integers(1, 5), rng.integers(1, 6))).astype(float)
         cost[rng.random(cost.shape) < 0.3] = np.inf
-        flow = ship(cost, np.ones(len(cost), int), np.ones(cost.shape[1], int))
-        assert (flow.sum(), cost[flow > 0].sum()) == cheapest(cost)
+        assert exact(cost) == cheapest(cost)
 
 
-def frame(seed, n, share):
+def frame(seed, n, share, digits=2, features=1):
     rng = np.random.default_rng(seed)
-    return pd.DataFrame({"id": np.arange(n), "t": (rng.random(n) < share).astype(int), "s": 0, "x": rng.normal(size=n).round(2), "y": 0.0})
+    df = pd.DataFrame({"id": np.arange(n), "t": (rng.random(n) < share).astype(int), "s": 0, "x": rng.normal(size=n).round(digits), "y": 0.0})
+    return df.assign(y=rng.normal(size=n).round(digits)) if features == 2 else df
 
 
-def expected(df, window=None):
-    q, p = df[df.t == 1].x.to_numpy(), df[df.t == 0].x.to_numpy()
-    cost = np.abs(q[:, None] - p[None, :])
+def distances(df, window=None):
+    q, p = (df[df.t == k][["x", "y"]].to_numpy() for k in (1, 0))
+    cost = np.sqrt(((q[:, None] - p[None]) ** 2).sum(axis=2))
     if window is not None:
-        cost[cost > window] = np.inf
-    flow = ship(cost, np.ones(len(q), int), np.ones(len(p), int))
-    return flow.sum(), cost[flow > 0].sum()
+        cost[np.abs(q[:, None, 0] - p[None, :, 0]) > window] = np.inf
+    return cost
 
 
-@pytest.mark.parametrize("seed,share,window", [(1, 0.3, None), (2, 0.7, 0.5)])
-def test_optimal_pairs(spark, seed, share, window):
-    df = frame(seed, 60, share)
+CASES = [  # rows, share of queries, digits kept, features, window, rows of a cell, first list
+    (60, 0.3, 2, 1, None, 64, 16),
+    (60, 0.7, 2, 1, 0.5, 64, 16),  # the pool asks, and some have no partner
+    (130, 0.35, 3, 2, None, 12, 6),  # several cells, lists that must grow
+    (120, 0.45, 0, 2, None, 12, 8),  # nearly all rows are copies
+]
+
+
+@pytest.mark.parametrize("n,share,digits,features,window,cell,first", CASES)
+def test_optimal_pairs(spark, monkeypatch, n, share, digits, features, window, cell, first):
+    monkeypatch.setattr(assign, "CELL", cell)
+    monkeypatch.setattr(assign, "FIRST_LIST", first)
+    df = frame(n + cell, n, share, digits, features)
     rule = PairRule(("x", "y"), windows=() if window is None else (Window("x", window),))
     got = optimal_pairs(resolve_direction(with_stratum(spark.createDataFrame(df)), "t"), "id", rule).toPandas()
-    n, total = expected(df, window)
-    assert len(got) == n and got.query_id.is_unique and got.pool_id.is_unique
-    assert got.dist.sum() == pytest.approx(total, abs=1e-9)
-
-
-def test_auction_reaches_the_optimum(spark, monkeypatch):
-    monkeypatch.setattr(assign, "SMALL_SIDE", 0)
-    monkeypatch.setattr(assign, "FIRST_LIST", 3)
-    df = frame(3, 26, 0.3)
-    got = optimal_pairs(resolve_direction(with_stratum(spark.createDataFrame(df)), "t"), "id", PairRule(("x", "y"))).toPandas()
-    n, total = expected(df)
-    assert len(got) == n and got.pool_id.is_unique
-    assert got.dist.sum() <= total + got.step.sum() + 1e-9
-
-
-def test_transport_invariants(spark):
-    df = frame(4, 60, 0.3)
-    got = transport_selection(resolve_direction(with_stratum(spark.createDataFrame(df)), "t"), "id", PairRule(("x", "y")), 12).toPandas()
-    assert len(got) == 12 and got.pool_id.is_unique
-    assert got.weight.max() <= 1 / 12 + 1e-12
-    assert got.weight.sum() == pytest.approx(1.0)
+    count, total = exact(distances(df, window))
+    assert len(got) == count and got.query_id.is_unique and got.pool_id.is_unique
+    at = df.set_index("id")[["x", "y"]]
+    true = np.sqrt(((at.loc[got.query_id].to_numpy() - at.loc[got.pool_id].to_numpy()) ** 2).sum(axis=1))
+    assert got.dist.to_numpy() == pytest.approx(true, abs=1e-6)
+    assert got.dist.sum() == pytest.approx(total, abs=1e-6) and got.step.sum() < 1e-3
+
+
+@pytest.mark.parametrize("n,target,digits,cell", [(60, 12, 2, 64), (100, 9, 1, 8)])
+def test_transport(spark, monkeypatch, n, target, digits, cell):
+    monkeypatch.setattr(assign, "CELL", cell)
+    monkeypatch.setattr(assign, "FIRST_LIST", 6)
+    df = frame(4, n, 0.3, digits, 2)
+    cohort = resolve_direction(with_stratum(spark.createDataFrame(df)), "t")
+    found = []
+    flow = assign._flow
+    monkeypatch.setattr(assign, "_flow", lambda *a: found.append(flow(*a)) or found[-1])
+    got = transport_selection(cohort, "id", PairRule(("x", "y")), target).toPandas()
+    cost = distances(df)
+    mass, total = exact(cost, np.full(len(cost), target), np.full(cost.shape[1], len(cost)))
+    shipped = found[0].toPandas()
+    assert shipped.mass.sum() == mass == target * len(cost)
+    assert (shipped.mass * shipped.dist).sum() == pytest.approx(total, abs=1e-6)
+    assert len(got) == target and got.pool_id.is_unique and got.weight.max() <= 1 / target + 1e-12
+    near = pd.Series(cost.min(axis=0), index=df[df.t == 0].id)
+    assert got.dist.to_numpy() == pytest.approx(near.loc[got.pool_id].to_numpy())
 
 
 def test_greedy_costs_more_than_optimal(spark):
