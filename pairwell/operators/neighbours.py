@@ -5,6 +5,11 @@ level in one pass). A query first looks into its own cell, which bounds how far
 neighbour can be, then only visits the cells that this ball (and its caliper windows) can
 touch. Distances are computed with numpy on one cell times one bounded chunk of queries.
 
+With a caliper window the search is a range join instead: both sides are cut into strips as wide as the
+window, every pool unit also goes to the two strips beside its own, and one shuffle brings a query together with all
+units it may have. Strips with more than ``STRIP_UNITS`` units are cut by the next window too; queries
+whose strip stays larger than that go through the cells.
+
 Query columns: ``blk, q, need, x0.., c0..`` and optionally ``reach`` (largest allowed
 distance), ``t0..`` (window tolerances), ``s0..`` (divisors of the numeric
 differences) and ``prio`` (only units whose ``bound`` is larger qualify).
@@ -29,8 +34,10 @@ from ..functions.tools import BROADCAST_ROWS, attach, materialise, named
 CELL_UNITS = 4096
 CHUNK_QUERIES = 8192
 FAN_OUT = 32
+STRIP_UNITS = 16_384
 LONG_LIST = 100_000  # longer neighbour lists are ranked across tasks
 SLACK = 1e-9  # relative room for rounding when a cell is ruled out
+STRIP_SLACK = 1e-6  # so much wider than the window is a strip, so that rounding never parts a pair by two strips
 
 
 @dataclass(frozen=True)
@@ -200,7 +207,7 @@ def build_cells(pool: DataFrame, geo: Geometry, extras: list[str]) -> CellTree:
 # ---------------------------------------------------------------- distances inside one cell
 
 
-def _cell_search(geo: Geometry, pool_has: set[str], query_has: set[str]):
+def _cell_search(geo: Geometry, pool_has: set[str], query_has: set[str], ranked: bool = False):
     xs, cs, ss, ts = geo.xs, geo.cs, geo.ss, geo.ts
 
     def search(queries: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
@@ -219,7 +226,7 @@ def _cell_search(geo: Geometry, pool_has: set[str], query_has: set[str]):
         need = queries["need"].to_numpy()
         reach = queries["reach"].to_numpy(float)
         step = max(1, (1 << 21) // len(units))
-        rows, cols, dists = [], [], []
+        rows, cols, dists, ranks = [], [], [], []
         for start in range(0, len(queries), step):
             part = slice(start, start + step)
             total = np.zeros((len(qx[part]), len(px)))
@@ -252,7 +259,9 @@ def _cell_search(geo: Geometry, pool_has: set[str], query_has: set[str]):
             by = np.lexsort((c, d, r))
             r, c, d = r[by], c[by], d[by]
             first = np.searchsorted(r, np.arange(len(total)))
-            keep = np.arange(len(r)) - first[r] < need[part][r]
+            place = np.arange(len(r)) - first[r]
+            keep = place < need[part][r]
+            ranks.append(place[keep] + 1)
             rows.append(r[keep] + start)
             cols.append(c[keep])
             dists.append(d[keep])
@@ -263,18 +272,27 @@ def _cell_search(geo: Geometry, pool_has: set[str], query_has: set[str]):
                 "q": queries["q"].to_numpy()[r],
                 "p": units["p"].to_numpy()[c],
                 "dist": np.concatenate(dists),
+                **({"rank": np.concatenate(ranks)} if ranked else {}),
             }
         )
 
     return search
 
 
-def _search_cells(visits: DataFrame, points: DataFrame, geo: Geometry) -> DataFrame:
-    """Top ``need`` units of the visited cell for every (query, cell) row."""
-    per_cell = visits.groupBy("blk", "cell").agg(F.count(F.lit(1)).alias("_asked"))
-    per_cell = per_cell.withColumn("_chunks", F.ceil(F.col("_asked") / CHUNK_QUERIES).cast("int")).drop("_asked")
-    per_cell = materialise(per_cell)
-    crowded, cells = per_cell.agg(F.max("_chunks"), F.count(F.lit(1))).first()
+def _chunked(per_cell: DataFrame) -> DataFrame:
+    return per_cell.select("blk", "cell", F.ceil(F.col("_asked") / CHUNK_QUERIES).cast("int").alias("_chunks"))
+
+
+def _search_cells(visits: DataFrame, points: DataFrame, geo: Geometry, sizes: tuple[DataFrame, int, int] | None = None) -> DataFrame:
+    """Top ``need`` units of the visited cell for every (query, cell) row. With ``sizes`` (queries ``_asked`` of each
+    cell, number of cells, most queries of one) known, every query visits one cell only, and ranks are final."""
+    if sizes is None:
+        per_cell = visits.groupBy("blk", "cell").agg(F.count(F.lit(1)).alias("_asked"))
+        per_cell = materialise(_chunked(per_cell))
+        crowded, cells = per_cell.agg(F.max("_chunks"), F.count(F.lit(1))).first()
+    else:
+        per_cell, cells, most_asked = _chunked(sizes[0]), sizes[1], sizes[2]
+        crowded = -(-most_asked // CHUNK_QUERIES)
     pool_columns = ["blk", "cell", "p", *geo.xs, *geo.cs] + [c for c in ("bound", "extra") if c in points.columns]
     units = points.select(*pool_columns)
     asked = ["blk", "cell", "q", "need", "reach", *geo.xs, *geo.cs, *geo.ss, *geo.ts]
@@ -296,12 +314,47 @@ def _search_cells(visits: DataFrame, points: DataFrame, geo: Geometry) -> DataFr
         visits.groupBy(*keys)
         .cogroup(units.groupBy(*keys))
         .applyInPandas(
-            _cell_search(geo, set(units.columns), set(visits.columns)),
-            f"blk {types['blk']}, q {types['q']}, p {types['p']}, dist double",
+            _cell_search(geo, set(units.columns), set(visits.columns), sizes is not None),
+            f"blk {types['blk']}, q {types['q']}, p {types['p']}, dist double" + ", rank int" * (sizes is not None),
         )
     )
 
 
+def _strips(df: DataFrame, geo: Geometry, windows: list[int], spread: bool) -> DataFrame:
+    """The strip of each row along these windows; with ``spread`` also the strips beside it."""
+    places = []
+    for w in windows:
+        x, width = F.col(f"x{geo.windows_on[w]}"), F.col(f"t{w}") * (1 + STRIP_SLACK)
+        places.append(F.when(width > 0, F.floor(x / width)).otherwise(F.pmod(F.xxhash64(x), F.lit(1 << 40))))
+    if not spread:
+        return df.withColumn("cell", F.concat_ws("/", *[p.cast("string") for p in places]))
+    for w, p in zip(windows, places):
+        df = df.withColumn(f"_strip{w}", F.explode(F.array(p - 1, p, p + 1)))
+    cell = F.concat_ws("/", *[F.col(f"_strip{w}").cast("string") for w in windows])
+    return df.withColumn("cell", cell).drop(*[f"_strip{w}" for w in windows])
+
+
+def _search_strips(queries: DataFrame, pool: DataFrame, geo: Geometry, windows: list[int]) -> tuple[DataFrame, DataFrame | None]:
+    """The search by strips along the first of ``windows``, and by the next ones where that leaves too many units
+    in one; the queries that are left because no window is."""
+    asked, units = _strips(queries, geo, windows[:1], False), _strips(pool, geo, windows[:1], True)
+    sizes = asked.groupBy("blk", "cell").agg(F.count(F.lit(1)).alias("_asked")).join(
+        units.groupBy("blk", "cell").agg(F.count(F.lit(1)).alias("_units")), ["blk", "cell"]
+    )
+    sizes = materialise(sizes)
+    cells, most_asked, crowded = sizes.agg(F.count(F.lit(1)), F.max("_asked"), F.count_if(F.col("_units") > STRIP_UNITS)).first()
+    if not crowded:
+        return _search_cells(asked, units, geo, (sizes, cells, most_asked or 0)), None
+    large = sizes.where(F.col("_units") > STRIP_UNITS).select("blk", "cell")
+    there = materialise(attach(asked, large, ["blk", "cell"], rows=crowded).drop("cell"))
+    asked, units = (attach(df, large.withColumn("_large", F.lit(True)), ["blk", "cell"], "left", crowded).where("_large IS NULL").drop("_large") for df in (asked, units))
+    found = _search_cells(asked, units, geo, (sizes, cells, most_asked))
+    if len(windows) == 1:
+        return found, there
+    further, rest = _search_strips(there, pool, geo, windows[1:])
+    return found.unionByName(further), rest
+
+
 def _best(found: DataFrame, needs: DataFrame | None, most: int) -> DataFrame:
     if most > LONG_LIST:
         ranked = running_total(found, ["blk", "q"], ["dist", "p"], out="rank")
@@ -354,6 +407,15 @@ def nearest(queries: DataFrame, pool: DataFrame, geo: Geometry, most: int | None
                 "blk", "q", F.lit(None).cast(pool.schema["p"].dataType).alias("p"),
                 F.lit(0.0).alias("dist"), F.lit(0).alias("rank"),
             ).limit(0)
+    if geo.windows_on and all(t in pool.columns for t in geo.ts):
+        found, rest = _search_strips(queries, pool, geo, list(range(len(geo.windows_on))))
+        if rest is None:
+            return found
+        return found.unionByName(_nearest_by_cells(rest, pool, geo, most, uniform))
+    return _nearest_by_cells(queries, pool, geo, most, uniform)
+
+
+def _nearest_by_cells(queries: DataFrame, pool: DataFrame, geo: Geometry, most: int, uniform: bool) -> DataFrame:
     extras = [c for c in ("bound", "extra") if c in pool.columns]
     # Of units that agree in every column only the first `most` can be anybody's neighbours.
     same = ["blk", *geo.xs, *geo.cs, *extras]

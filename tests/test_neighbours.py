@@ -76,6 +76,22 @@ def test_windows_and_reach(spark, tiny_cells):
     check(spark, q, p, Geometry("euclidean", 1, n_window=1, windows_on=(1,)), 5, 5)
 
 
+@pytest.mark.parametrize("strip", [16_384, 30, 5])
+def test_windows_as_range_join(spark, tiny_cells, monkeypatch, strip):
+    """One window is enough, a second one is needed, and strips that no window makes small go through the cells."""
+    monkeypatch.setattr(neighbours, "STRIP_UNITS", strip)
+    q, p = make(8, 60, 300, 3, 0, False)
+    p.loc[p.index[:80], "x1"] = q.x1.iloc[0] + 0.3  # a third in one strip, at the very edge of a window
+    q.loc[q.index[:20], ["x1", "x2"]] = p[["x1", "x2"]].iloc[0].to_numpy()
+    widths = {"u": (0.3, 0.4), "v": (0.5, 0.0)}  # v: only equal values
+    p.loc[p.blk == "v", "x2"] = q.loc[q.blk == "v", "x2"].iloc[0]
+    for f in (q, p):
+        f["t0"], f["t1"] = f.blk.map(lambda b: widths[b][0]), f.blk.map(lambda b: widths[b][1])
+    check(spark, q, p, Geometry("euclidean", 1, n_window=2, windows_on=(1, 2)), 5, 5)
+    q["need"] = np.where(q.q % 4 == 0, 40, 1)
+    check(spark, q, p, Geometry("euclidean", 1, n_window=2, windows_on=(1, 2)), None, None)
+
+
 def test_mixed_distance(spark, tiny_cells):
     q, p = make(4, 40, 200, 1, 2, True)
     q["s0"] = 5.0
