@@ -28,7 +28,7 @@ from ..functions.tools import attach, materialise, named, with_size
 from .distance import PairRule, compare_units
 from .neighbours import nearest
 
-CELL = 128  # rows that are settled together at first
+CELL = 64  # rows that are settled together at first
 LARGEST_CELL = 512
 MERGE_EVERY = 3  # rounds
 PATIENCE = 16  # rounds after which the least raise doubles every round
@@ -240,6 +240,7 @@ def _flow(asks: DataFrame, offers: DataFrame, geo, rows: int) -> DataFrame:
     block has more than ``rows`` asks.
     """
     spark = asks.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asks = _in_cells(asks, geo, rows).withColumn("need", F.least("enough", F.lit(FIRST_LIST)).cast("long"))
     asks, offers = materialise(asks), materialise(offers)
     farthest = _farthest(asks, offers, geo)
@@ -261,8 +262,9 @@ def _flow(asks: DataFrame, offers: DataFrame, geo, rows: int) -> DataFrame:
             wanted = here.where("p IS NOT NULL").select("cell", "p").distinct()
             holders = held.where("p IS NOT NULL").groupBy("p", F.col("cell").alias("_by"), "price").agg(F.sum("mass").alias("mass"))
             slots = wanted.join(holders, "p").select("cell", "p", "mass", "price", (F.col("_by") == F.col("cell")).alias("own"))
-        # New names for the same columns, so that both sides may come from one table.
-        here, slots = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (here, slots))
+        # New names for the same columns, so that both sides may come from one table. The tables are small for the work
+        # on them, so their parts are not to be joined again.
+        here, slots = (df.select(*[F.col(c).alias(c) for c in df.columns]).repartition(parts, "cell") for df in (here, slots))
         step = raise_by * 2.0 ** max(0, rounds - PATIENCE)
         bids = here.groupBy("cell").cogroup(slots.groupBy("cell")).applyInPandas(_settle(step, penalty), schema)
         if held is not None:
