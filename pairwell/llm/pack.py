@@ -34,8 +34,10 @@ from .text import quoted, slices
 CAPACITY = 2048
 END_ID = 1
 SMALLEST = 128
-# Words whose ids a worker keeps (at most some 200 MB); beyond that it starts anew. Results do not depend on it.
-KEPT_WORDS = 1_000_000
+# Bytes of the words whose ids a task keeps; beyond that it starts anew, and nothing is kept after the task. Results do not
+# depend on it.
+KEPT_BYTES = 32 << 20
+_WORD_BYTES = 170  # of a kept word besides its letters and ids
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in _PIECES.split(", ")]
@@ -64,7 +66,17 @@ class WordIds:
 
     def restart(self):
         self.places: dict[str, int] = {}
-        self.ids, self.begins = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.begins, self.weight = np.zeros(1024, np.uint32), np.zeros(1024, np.int64), 0
+
+    def keep(self, new: list[str], ids: np.ndarray, counts: np.ndarray):
+        had = len(self.places)
+        filled = int(self.begins[had])
+        self.ids = _room(self.ids, filled + len(ids))
+        self.begins = _room(self.begins, had + len(new) + 1)
+        self.ids[filled : filled + len(ids)] = ids
+        self.begins[had + 1 : had + len(new) + 1] = filled + np.cumsum(counts)
+        self.places.update(zip(new, range(had, had + len(new))))
+        self.weight += _WORD_BYTES * len(new) + sum(map(len, new)) + 4 * len(ids)
 
     def encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in a row, and how many each has."""
@@ -95,16 +107,13 @@ class WordIds:
         for t in plain.to_pylist():
             words += t.split(" ")
             sizes.append(len(words))
-        if len(self.places) > KEPT_WORDS:
+        if self.weight > KEPT_BYTES:
             self.restart()
         at = np.fromiter(map(self.places.get, words, repeat(-1)), np.int64, len(words))
         unseen = np.flatnonzero(at < 0).tolist()
         if unseen:
             new = list(dict.fromkeys(words[i] for i in unseen))
-            ids, counts = self.encode(new)
-            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
-            self.ids = np.concatenate([self.ids, ids])
-            self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(counts)])
+            self.keep(new, *self.encode(new))
             at[unseen] = [self.places[words[i]] for i in unseen]
         lengths = self.begins[at + 1] - self.begins[at]
         ends = np.cumsum(lengths)
@@ -112,6 +121,11 @@ class WordIds:
         return self.ids[np.arange(len(shift)) + shift], np.concatenate([[0], ends])[sizes]
 
 
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with place for ``size`` entries, at least twice as long if it has to grow."""
+    return array if size <= len(array) else np.concatenate([array, np.zeros(max(len(array), size - len(array)), array.dtype)])
+
+
 def cut(length: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:
     """Lengths of the pieces of a document: full sequences, powers of two, the tail."""
     pieces = [capacity] * (length // capacity)
@@ -182,20 +196,23 @@ def harmonic(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
         def table():
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=_NAMES)
 
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
-            for a, b in slices(pc.binary_length(texts).to_pylist()):
-                ids, begins = lookup.texts(texts[a:b])
-                for i in range(b - a):
-                    whole = np.append(ids[begins[i] : begins[i + 1]], np.uint32(end_id)).astype("<u4")
-                    start = 0
-                    for n in cut(len(whole), capacity):
-                        crc = zlib.crc32(whole[start : start + n].tobytes())
-                        out += bins.add([names[a + i], start, n, crc, len(whole)])
-                        start += n
-                if len(out) > 20_000:
-                    yield table()
-                    out = []
+        try:
+            for batch in batches:
+                names, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+                for a, b in slices(pc.binary_length(texts).to_pylist()):
+                    ids, begins = lookup.texts(texts[a:b])
+                    for i in range(b - a):
+                        whole = np.append(ids[begins[i] : begins[i + 1]], np.uint32(end_id)).astype("<u4")
+                        start = 0
+                        for n in cut(len(whole), capacity):
+                            crc = zlib.crc32(whole[start : start + n].tobytes())
+                            out += bins.add([names[a + i], start, n, crc, len(whole)])
+                            start += n
+                    if len(out) > 20_000:
+                        yield table()
+                        out = []
+        finally:
+            lookup.restart()
         for group in bins.rest():
             out += group
         if out:
@@ -208,7 +225,7 @@ _kept: dict[str, WordIds] = {}
 
 
 def _lookup(path: str) -> WordIds:
-    """The words that earlier tasks of this Python worker have seen stay known."""
+    """The tokenizer, read once in each Python worker."""
     if path not in _kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         _kept[path] = WordIds(path)

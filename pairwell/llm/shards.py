@@ -2,9 +2,9 @@
 
 A record is hashed by its id into one of ``slots`` virtual slots, for good. Which shard holds a slot is said by a map
 with a version, kept as a table in the shared folder. Version 1 deals the slots out evenly without looking at the
-data; rebalancing measures the bytes of each slot and edits the map into the next version: a shard above the mean
+data; rebalancing measures the bytes of each slot and edits the map into the next version: a shard above the share
 gives up its smallest slots until it is not, and each slot given up, the largest first, goes to the shard that holds
-least by then. Adding a shard is the same edit, with the new shard empty (and, on request, as the only taker).
+least by then. The share is the mean, without slots that are larger than it and the shards these fill. Adding a shard is the same edit, with the new shard empty (and, on request, as the only taker).
 
 Law of the result: ``bytes`` (the shards' sizes are near equal). The map has ``slots`` rows whatever the size of the
 table, so it is edited on the driver and broadcast; rows are only ever grouped by slot.
@@ -43,19 +43,23 @@ def edited(shard_of: list[int], sizes: list[int], shards: int, only_into: int |
 
     With ``only_into`` no other shard takes a slot: what finds no room there goes back to where it was.
     """
-    total, out, given = sum(sizes), list(shard_of), []
+    total, among, out, given = sum(sizes), shards, list(shard_of), []
     running, loads = [0] * shards, [0] * shards
     by_size = sorted((s for s in range(len(out)) if sizes[s]), key=lambda s: (-sizes[s], s))
+    for slot in by_size:
+        if sizes[slot] * among <= total:
+            break
+        total, among = total - sizes[slot], among - 1
     for slot in by_size:
         shard = out[slot]
         running[shard] += sizes[slot]
-        if running[shard] * shards <= total:
+        if running[shard] * among <= total:
             loads[shard] = running[shard]
         else:
             given.append(slot)
     if only_into is not None:
         for slot in given:
-            if (loads[only_into] + sizes[slot]) * shards <= total:
+            if (loads[only_into] + sizes[slot]) * among <= total:
                 loads[only_into] += sizes[slot]
                 out[slot] = only_into
         return out
@@ -136,7 +140,9 @@ coded AS (SELECT body, xor(list_reduce(list_transform(range(len(x) // 2), lambda
 rec_ AS (SELECT doc_id, CAST(octet_length(encode(body)) + 8 AS BIGINT) AS size, text_crc32, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 8192 AS virtual_slot
   FROM documents JOIN coded ON coalesce(text, '') = body),
 bytes AS (SELECT virtual_slot, sum(size) AS n, virtual_slot * 24 // 8192 AS shard FROM rec_ GROUP BY 1),
-running AS (SELECT *, sum(n) OVER (PARTITION BY shard ORDER BY n DESC, virtual_slot) * 24 <= sum(n) OVER () AS kept FROM bytes),
+sized AS (SELECT n, 25 - row_number() OVER (ORDER BY n DESC, virtual_slot) AS among, sum(n) OVER () - sum(n) OVER (ORDER BY n DESC, virtual_slot) + n AS total FROM bytes),
+share AS (SELECT max(among) AS among, arg_max(total, among) AS total FROM sized WHERE n * among <= total),
+running AS (SELECT bytes.*, sum(n) OVER (PARTITION BY shard ORDER BY n DESC, virtual_slot) * among <= total AS kept FROM bytes, share),
 given AS (SELECT virtual_slot, n, row_number() OVER (ORDER BY n DESC, virtual_slot) AS i FROM running WHERE NOT kept),
 start AS (SELECT list(l ORDER BY k) AS loads FROM (SELECT k, coalesce((SELECT sum(n) FROM running r WHERE r.shard = k AND kept), 0) AS l FROM range(24) x(k))),
 moves AS (SELECT CAST(0 AS BIGINT) AS i, loads, CAST(NULL AS BIGINT) AS virtual_slot, CAST(0 AS BIGINT) AS shard FROM start
