@@ -283,6 +283,25 @@ query("impute_most_frequent", fill_sql(
     "(SELECT n FROM gaps WHERE n IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, n LIMIT 1)",
 ))(lambda spark, sf_dir: filled(spark, sf_dir, "most_frequent"))
 query("impute_iterative")(lambda spark, sf_dir: filled(spark, sf_dir, "iterative"))
+
+
+# One column with holes: a single regression on the other column, its noise and shrinkage found by fixed-point iteration.
+ONE_HOLE = f"""WITH RECURSIVE {CUSTOMERS}, gaps AS (SELECT c_custkey, CASE WHEN c_custkey % 7 != 0 THEN CAST(c_acctbal AS DOUBLE) END AS balance, CAST(n_orders AS DOUBLE) AS n FROM customers),
+m AS (SELECT count(*) AS k, avg(n) AS mx, avg(balance) AS my, covar_pop(n, n) * count(*) AS g, covar_pop(n, balance) * count(*) AS xy, covar_pop(balance, balance) * count(*) AS yy FROM gaps WHERE balance IS NOT NULL),
+it AS (SELECT 0 AS i, 1 / (yy / k + 2.220446049250313e-16::DOUBLE) AS noise, 1.0::DOUBLE AS shrink, CAST(NULL AS DOUBLE) AS before, false AS done FROM m
+  UNION ALL SELECT i + 1, (k - e + 2e-6::DOUBLE) / (greatest(yy - 2 * w * xy + w * w * g, 0) + 2e-6::DOUBLE), (e + 2e-6::DOUBLE) / (w * w + 2e-6::DOUBLE), w, coalesce(abs(w - before) < 1e-3::DOUBLE, false)
+  FROM (SELECT it.*, m.*, xy / (g + shrink / noise) AS w, noise * g / (shrink + noise * g) AS e FROM it, m WHERE NOT done AND i < 300)),
+fit AS (SELECT xy / (g + shrink / noise) AS w FROM (SELECT * FROM it ORDER BY i DESC LIMIT 1), m)
+SELECT c_custkey, round(coalesce(balance, my + w * (n - mx)), 4) AS balance, n FROM gaps, m, fit"""
+
+
+@query("impute_iterative_one", ONE_HOLE)
+def _(spark, sf_dir):
+    df = customers(spark, sf_dir).select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("balance"), F.col("n_orders").cast("double").alias("n"))
+    config = filling("iterative")
+    return rounded(impute.impute(df, config, impute.fit_impute(df, config, "c_custkey"), "c_custkey"), 4)
+
+
 KNN_SQL = GAPS + """, near_balance AS (
   SELECT q.c_custkey, avg(d.balance) AS guess FROM gaps q JOIN (SELECT q.c_custkey AS id, d.c_custkey AS donor,
       row_number() OVER (PARTITION BY q.c_custkey ORDER BY sqrt((q.n - d.n) * (q.n - d.n)), d.c_custkey) AS r

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,7 @@ ROUND_TOLERANCE = 1e-3
 RIDGE_ITERATIONS = 300
 RIDGE_TOLERANCE = 1e-3
 RIDGE_PRIOR = 1e-6
+LOCAL_PATTERNS = 4096  # so many patterns of holes are summed on the driver, more by a job each step
 
 
 @dataclass
@@ -106,7 +108,7 @@ def impute(df: DataFrame, config: TableConfig, state: ImputeState, id_col: str |
         result = _fill_from_donors(result, state, by_knn, id_col)
     if by_steps:
         result = _fill_by_steps(result, state, by_steps)
-    return result.select(*df.columns)
+    return result.select(*[named(c) for c in df.columns])
 
 
 # ---------------------------------------------------------------- one column at a time
@@ -246,68 +248,148 @@ def _ridge(gram: np.ndarray, xy: np.ndarray, yy: float, n: int) -> np.ndarray:
     return solve()[0]
 
 
-def _regression(df: DataFrame, target: str, others: list[str]) -> tuple[float, dict[str, float]]:
-    """Fit one column on the others over the rows that have it: one aggregate of moments."""
-    names = [*others, target]
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = (
-        df.where(~F.col(f"_hole_{target}"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.avg(named(c)).alias(f"m{i}") for i, c in enumerate(names)],
-            *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs],
-        )
-        .first()
+def _moments(df: DataFrame, context: list[str], means: dict[str, float]) -> DataFrame:
+    """One row per pattern of holes: rows, sums and products of the columns about ``means``, holes counted as 0."""
+    centred = [F.coalesce(named(c).cast("double") - F.lit(means[c]), F.lit(0.0)) for c in context]
+    pairs = [(i, j) for i in range(len(context)) for j in range(i, len(context))]
+    rows = df.select(_mask(context).alias("mask"), *[z.alias(f"z{i}") for i, z in enumerate(centred)])
+    return rows.groupBy("mask").agg(
+        F.array(F.count(F.lit(1)).cast("double"), *[F.sum(f"z{i}") for i in range(len(context))], *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i, j in pairs]).alias("sums")
     )
-    n, means = row["n"], np.array([row[f"m{i}"] for i in range(len(names))])
-    moments = np.zeros((len(names), len(names)))
-    for i, j in pairs:
-        moments[i, j] = moments[j, i] = row[f"c{i}_{j}"] * n
-    w = _ridge(moments[:-1, :-1], moments[:-1, -1], moments[-1, -1], n)
-    return float(means[-1] - w @ means[:-1]), dict(zip(others, map(float, w)))
 
 
-def _predict(intercept: float, weights: dict[str, float]):
-    return reduce(lambda a, b: a + b, [named(c) * w for c, w in weights.items()], F.lit(intercept))
+class _Patterns:
+    """The completed table as the steps so far leave it, known by its moments.
+
+    Steps are linear, so in the rows of one pattern every column is one linear map of the values that
+    pattern has; the moments of the completed columns follow from those of the given ones.
+    """
+
+    def __init__(self, masks: list[str], sums: np.ndarray, d: int):
+        self.has = np.array([[m[i] == "1" for i in range(d)] for m in masks], bool).reshape(len(masks), d)
+        raw = np.zeros((len(masks), d + 1, d + 1))
+        at = np.triu_indices(d)
+        raw[:, 0, 0], raw[:, 0, 1:] = sums[:, 0], sums[:, 1 : d + 1]
+        raw[:, 1 + at[0], 1 + at[1]] = sums[:, d + 1 :]
+        raw[:, 1 + at[1], 1 + at[0]] = sums[:, d + 1 :]
+        raw[:, 1:, 0] = raw[:, 0, 1:]
+        self.raw = raw
+        self.maps = np.tile(np.eye(d + 1), (len(masks), 1, 1))
+
+    def seen(self, target: int) -> np.ndarray:
+        """Moments of all completed columns (and 1) over the rows that have ``target``."""
+        own = self.has[:, target]
+        return np.einsum("pij,pjk,plk->il", self.maps[own], self.raw[own], self.maps[own])
+
+    def step(self, target: int, weights: np.ndarray):
+        """``weights`` of 1 and all columns, 0 for the target."""
+        hole = ~self.has[:, target]
+        self.maps[hole, target + 1] = np.einsum("i,pij->pj", weights, self.maps[hole])
+
+
+def _seen(parts: DataFrame | _Patterns, target: int, d: int, done: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    if isinstance(parts, _Patterns):
+        return parts.seen(target)
+
+    def add(batches):
+        total = np.zeros((d + 1, d + 1))
+        for batch in batches:
+            if len(batch):
+                own = _Patterns(batch["mask"].tolist(), np.stack(batch["sums"].to_numpy()), d)
+                for t, w in done:
+                    own.step(t, w)
+                total += own.seen(target)
+        yield pd.DataFrame({"total": [total.ravel().tolist()]})
+
+    rows = parts.mapInPandas(add, "total array<double>")
+    summed = rows.agg(F.array(*[F.sum(F.col("total")[i]) for i in range((d + 1) ** 2)])).first()[0]
+    return np.array(summed).reshape(d + 1, d + 1)
+
+
+def _regression(parts, target: int, d: int, done: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Weights of 1 and all columns for one column on the others, over the rows that have it."""
+    seen = _seen(parts, target, d, done)
+    n, means = seen[0, 0], seen[0, 1:] / seen[0, 0]
+    spread = seen[1:, 1:] - n * np.outer(means, means)
+    others = [i for i in range(d) if i != target]
+    w = np.zeros(d + 1)
+    w[1 + np.array(others, int)] = _ridge(spread[np.ix_(others, others)], spread[others, target], spread[target, target], int(n))
+    w[0] = means[target] - w[1:] @ means
+    return w
+
+
+def _completer(context: list[str], means: dict[str, float], steps: list[tuple[str, float, dict[str, float]]]):
+    """A function that fills the holes of a batch of rows by the steps, all rows of a step at once."""
+    place = {c: i for i, c in enumerate(context)}
+    start = np.array([means[c] for c in context])
+    plan = [(place[t], b, np.array([w.get(c, 0.0) for c in context])) for t, b, w in steps]
+
+    def complete(values: np.ndarray, upto: int | None = None) -> np.ndarray:
+        holes = np.isnan(values)
+        now = np.where(holes, start, values)
+        for target, intercept, weights in plan[:upto]:
+            at = holes[:, target]
+            if at.any():
+                now[at, target] = now[at] @ weights + intercept
+        return now
+
+    return complete
+
+
+def _matrix(batch) -> np.ndarray:
+    return np.array(batch.to_list(), float).reshape(len(batch), -1)
+
+
+def _given(context: list[str]):
+    """The columns of a row as one array, holes as NaN."""
+    return F.array(*[F.coalesce(named(c).cast("double"), F.lit(float("nan"))) for c in context])
 
 
 def _fit_steps(df: DataFrame, context: list[str], means: dict[str, float]):
-    holes = df.agg(*[F.count_if(named(c).isNull()).alias(c) for c in context], *[F.max(F.abs(named(c))).alias(f"_{c}") for c in context]).first()
-    order = sorted(context, key=lambda c: holes[c])
-    limit = ROUND_TOLERANCE * max(float(holes[f"_{c}"]) for c in context)
-    flags = [named(c).isNull().alias(f"_hole_{c}") for c in context]
-    current = materialise(df.select(*[F.coalesce(named(c).cast("double"), F.lit(means[c])).alias(c) for c in context], *flags))
-    steps = []
-    if len(context) < 2:
+    """Rounds of regressions, fewest holes first: one pass for the moments, and one each round to see how far it moved
+    the values."""
+    d = len(context)
+    counts = df.agg(*[F.count_if(named(c).isNull()).alias(f"h{i}") for i, c in enumerate(context)], *[F.max(F.abs(named(c))).cast("double").alias(f"a{i}") for i, c in enumerate(context)]).first()
+    holes = [counts[f"h{i}"] for i in range(d)]
+    order = sorted(range(d), key=lambda i: holes[i])
+    limit = ROUND_TOLERANCE * max(float(counts[f"a{i}"]) for i in range(d))
+    steps: list[tuple[str, float, dict[str, float]]] = []
+    if d < 2:
         return steps
+    parts = materialise(_moments(df, context, means))
+    if parts.count() <= LOCAL_PATTERNS:
+        rows = parts.collect()
+        parts = _Patterns([r.mask for r in rows], np.array([r.sums for r in rows]).reshape(len(rows), -1), d)
+    done: list[tuple[int, np.ndarray]] = []
     for _ in range(ROUNDS):
-        before = current
-        current = current.withColumns({f"_old_{c}": named(c) for c in context})
-        for target in order:
-            intercept, weights = _regression(current, target, [c for c in context if c != target])
-            steps.append((target, intercept, weights))
-            if holes[target]:
-                guess = _predict(intercept, weights)
-                current = current.withColumn(target, F.when(F.col(f"_hole_{target}"), guess).otherwise(named(target)))
-        current = materialise(current)
-        moved = current.agg(F.greatest(F.lit(0.0), *[F.max(F.abs(named(c) - F.col(f"_old_{c}"))) for c in context])).first()[0]
-        current = current.select(*before.columns)
-        if moved < limit:
+        for t in order:
+            w = _regression(parts, t, d, done)
+            done.append((t, w))
+            if isinstance(parts, _Patterns):
+                parts.step(t, w)
+            weights = {c: float(w[i + 1]) for i, c in enumerate(context) if i != t}
+            intercept = float(w[0] + means[context[t]] - sum(weights[c] * means[c] for c in weights))
+            steps.append((context[t], intercept, weights))
+        complete, n = _completer(context, means, steps), len(steps)
+
+        @F.pandas_udf("double")
+        def moved(batch: pd.Series) -> pd.Series:
+            values = _matrix(batch)
+            return pd.Series(np.abs(complete(values, n) - complete(values, n - d)).max(axis=1, initial=0.0))
+
+        if not any(holes) or (df.where(_mask(context).contains("0")).agg(F.max(moved(_given(context)))).first()[0] or 0.0) < limit:
             break
     return steps
 
 
 def _fill_by_steps(df: DataFrame, state: ImputeState, targets: list[str]) -> DataFrame:
-    context = state.context
-    holes = {f"_hole_{c}": named(c).isNull() for c in context}
-    work = df.withColumns(holes).withColumns(
-        {f"_now_{c}": F.coalesce(named(c).cast("double"), F.lit(state.means[c])) for c in context}
-    )
-    for i, (target, intercept, weights) in enumerate(state.steps):
-        guess = _predict(intercept, {f"_now_{c}": w for c, w in weights.items()})
-        name = f"_now_{target}"
-        work = work.withColumn(name, F.when(F.col(f"_hole_{target}"), guess).otherwise(named(name)))
-        if (i + 1) % (4 * len(context)) == 0:
-            work = materialise(work)
-    work = work.withColumns({c: F.coalesce(named(c).cast("double"), F.col(f"_now_{c}")) for c in targets})
-    return work.drop(*holes, *[f"_now_{c}" for c in context])
+    context, complete = state.context, _completer(state.context, state.means, state.steps)
+
+    @F.pandas_udf("array<double>")
+    def filled(batch: pd.Series) -> pd.Series:
+        return pd.Series(list(complete(_matrix(batch))))
+
+    asks = F.concat(*[F.when(named(c).isNull(), "0").otherwise("1") for c in targets]).contains("0")
+    work = df.withColumn("_filled", F.when(asks, filled(_given(context))))
+    work = work.withColumns({c: F.coalesce(named(c).cast("double"), F.col("_filled")[context.index(c)]) for c in targets})
+    return work.drop("_filled")

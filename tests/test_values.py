@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from pairwell.config import ColumnSpec, EncodingRule, MissingRule, ScalingRule, TableConfig
@@ -108,6 +109,33 @@ def test_chained_regressions(spark):
         assert r.b == pytest.approx(3.0 * r.a + 1, abs=0.2) and r.c == pytest.approx(50.0 - r.a, abs=0.2)
 
 
+@pytest.mark.parametrize("local", [4096, 0])
+def test_chained_regressions_against_rounds_over_rows(spark, monkeypatch, local):
+    monkeypatch.setattr(impute, "LOCAL_PATTERNS", local)
+    rng = np.random.default_rng(3)
+    names = ["a.b", "b", "c", "d"]
+    full = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4)) + [1000.0, -5, 3, 0]
+    given = np.where(rng.random((300, 4)) < [0.1, 0.3, 0.2, 0.0], np.nan, full)
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(given)], "id long, `a.b` double, b double, c double, d double")
+    rule = MissingRule("impute", imputer="iterative")
+    config = TableConfig({"id": ColumnSpec("id", id=True), **{c: ColumnSpec(c, numerical=True, missing_data_management=rule) for c in names}})
+    got = impute.impute(df, config, impute.fit_impute(df, config)).toPandas().sort_values("id")[names].to_numpy()
+
+    holes = np.isnan(given)
+    now = np.where(holes, np.nanmean(given, axis=0), given)
+    for _ in range(impute.ROUNDS):
+        before = now.copy()
+        for t in np.argsort(holes.sum(axis=0), kind="stable"):
+            others = [i for i in range(4) if i != t]
+            x, y = now[~holes[:, t]][:, others], now[~holes[:, t], t]
+            dx, dy = x - x.mean(axis=0), y - y.mean()
+            w = impute._ridge(dx.T @ dx, dx.T @ dy, dy @ dy, len(y))
+            now[holes[:, t], t] = y.mean() + (now[holes[:, t]][:, others] - x.mean(axis=0)) @ w
+        if np.abs(now - before).max() < impute.ROUND_TOLERANCE * np.nanmax(np.abs(given)):
+            break
+    assert got == pytest.approx(now, abs=1e-6)
+
+
 def test_mixed_distances(spark):
     rows = [(1, 1, 20.0, "north"), (2, 0, 30.0, "south"), (3, 0, 40.0, "south")]
     df = cohort.resolve_direction(cohort.with_stratum(spark.createDataFrame(rows, "id long, t int, age double, region string")), "t")
