@@ -226,12 +226,12 @@ def _(spark, sf_dir):
 
 
 @query("column_statistics", f"""WITH {ITEMS}
-SELECT 'l_quantity' AS name, 0.0 AS missing_pct, count(DISTINCT l_quantity) AS n_distinct, NULL AS listed FROM items
+SELECT 'l.quantity' AS name, 0.0 AS missing_pct, count(DISTINCT l_quantity) AS n_distinct, NULL AS listed FROM items
 UNION ALL SELECT 'quantity_gaps', round(1 - count(quantity_gaps) / count(*), 6), count(DISTINCT quantity_gaps), NULL FROM items
 UNION ALL SELECT 'status_gaps', round(1 - count(status_gaps) / count(*), 6), count(DISTINCT status_gaps), string_agg(DISTINCT status_gaps, ',' ORDER BY status_gaps) FROM items
 UNION ALL SELECT 'bulky', 0.0, count(DISTINCT bulky), string_agg(DISTINCT CAST(bulky AS VARCHAR), ',' ORDER BY CAST(bulky AS VARCHAR)) FROM items""")
 def _(spark, sf_dir):
-    df = items(spark, sf_dir).select("l_quantity", "quantity_gaps", "status_gaps", "bulky")
+    df = items(spark, sf_dir).select(F.col("l_quantity").alias("l.quantity"), "quantity_gaps", "status_gaps", "bulky")
     stats = columns.column_stats(df, columns.infer_config(df))
     return rounded(stats.withColumn("listed", F.array_join("distinct_values", ",")).drop("distinct_values"))
 
@@ -633,12 +633,16 @@ def _(spark, sf_dir):
 CHI = "greatest(abs(a * d - b * c) - n / 2, 0) ** 2 * n / ((a + b) * (c + d) * (a + c) * (b + d))"
 
 
+# Twice the upper tail of the normal distribution above sqrt(x), by Simpson's rule over twelve deviations.
+TAIL = """(SELECT sqrt(2 / pi()) * 0.002::DOUBLE * sum(CASE WHEN i IN (0, 6000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * (sqrt(x) + 0.002::DOUBLE * i) ** 2)) / 3 FROM range(6001) r(i))"""
+
+
 @query("chi_square", f"""WITH {ITEMS}, t AS (SELECT 'bulky' AS variable, bulky AS v, treated FROM items UNION ALL SELECT 'l_linestatus', CAST(l_linestatus = 'O' AS INTEGER), treated FROM items),
 k AS (SELECT variable, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (treated = 1 AND v = 1) AS DOUBLE) AS a, CAST(count(*) FILTER (treated = 1 AND v = 0) AS DOUBLE) AS b,
   CAST(count(*) FILTER (treated = 0 AND v = 1) AS DOUBLE) AS c, CAST(count(*) FILTER (treated = 0 AND v = 0) AS DOUBLE) AS d FROM t GROUP BY 1)
-SELECT variable, round({CHI}, 6) AS chi2_stat FROM k UNION ALL SELECT 'l_tax', NULL""")
+SELECT variable, round(x, 6) AS chi2_stat, round(p, 6) AS chi2_p FROM (SELECT variable, x, {TAIL} AS p FROM (SELECT variable, {CHI} AS x FROM k)) UNION ALL SELECT 'l_tax', NULL, NULL""")
 def _(spark, sf_dir):
-    return rounded(balance.chi_square(items(spark, sf_dir), "treated", ["bulky", "l_linestatus", "l_tax"]).drop("chi2_p"))
+    return rounded(balance.chi_square(items(spark, sf_dir), "treated", ["bulky", "l_linestatus", "l_tax"]))
 
 
 BINS = """, span AS (SELECT variable, min(value) AS lo, (max(value) - min(value)) / 20.0::DOUBLE AS w FROM long_items GROUP BY 1),
@@ -697,14 +701,14 @@ def _(spark, sf_dir):
     return rounded(profile.descriptive_stats(items(spark, sf_dir), "treated", ITEM_NUMBERS), 4)
 
 
-@query("densities", f"""WITH {LONG_ITEMS}, f AS (SELECT variable, min(value) AS lo, max(value) AS hi FROM long_items WHERE variable IN ('l_quantity', 'l_discount') GROUP BY 1),
+@query("densities", f"""WITH {LONG_ITEMS}, f AS (SELECT variable, min(value) AS lo, max(value) AS hi FROM long_items WHERE variable IN ('l_quantity', 'l_discount', 'l_extendedprice') GROUP BY 1),
 grid AS (SELECT variable, CAST(i AS INTEGER) AS point, lo - 0.05::DOUBLE * (hi - lo) + ((hi - lo) + 2 * 0.05::DOUBLE * (hi - lo)) / 199 * i AS x FROM f, range(200) t(i)),
 h AS (SELECT variable, treated, count(*) AS n, stddev_samp(value) * count(*) ** (-0.2::DOUBLE) AS h FROM long_items GROUP BY 1, 2),
 c AS (SELECT variable, treated, value, count(*) AS k FROM long_items GROUP BY 1, 2, 3),
 d AS (SELECT variable, point, any_value(x) AS x, treated, sum(k * exp(-0.5 * ((x - value) / h) ** 2)) / any_value(n * h * sqrt(2 * pi())) AS y FROM grid JOIN h USING (variable) JOIN c USING (variable, treated) GROUP BY variable, point, treated)
 SELECT variable, point, round(max(x), 5) AS x, round(max(y) FILTER (treated = 1), 5) AS treated_density, round(max(y) FILTER (treated = 0), 5) AS control_density FROM d GROUP BY 1, 2""")
 def _(spark, sf_dir):
-    return rounded(profile.densities(items(spark, sf_dir), "treated", ["l_quantity", "l_discount"]), 5)
+    return rounded(profile.densities(items(spark, sf_dir), "treated", ["l_quantity", "l_discount", "l_extendedprice"]), 5)
 
 
 @query("frequencies", f"""WITH {ITEMS}, l AS (SELECT 'status_gaps' AS variable, status_gaps AS category, treated FROM items UNION ALL SELECT 'bulky', CAST(bulky AS VARCHAR), treated FROM items),

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,6 +107,43 @@ def melt_text(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     )
 
 
+MERGE_TASKS = 32
+_NAN = float("nan")
+
+
+def few_values(df: DataFrame, columns: list[str], limit: int) -> dict[str, list | None]:
+    """The different values, without NULL, of each column that has at most ``limit`` of them; None for the others.
+
+    Every task keeps at most one value more than that of each column, in the column's own type, and a few tasks join what
+    they kept, so the table is read once and never shuffled.
+    """
+    if not columns:
+        return {}
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    kinds = [T.StringType() if isinstance(df.schema[c].dataType, nested) else df.schema[c].dataType for c in columns]
+    schema = T.StructType([T.StructField(f"v{i}", T.ArrayType(k)) for i, k in enumerate(kinds)])
+
+    def keep(batches: Iterator[pa.RecordBatch], listed: bool) -> Iterator[pa.RecordBatch]:
+        held: list = [None] * len(columns)
+        for batch in batches:
+            for i in range(len(columns)):
+                if held[i] is None or len(held[i]) <= limit:
+                    new = pc.unique(batch.column(i).flatten() if listed else batch.column(i)).drop_null()
+                    held[i] = pc.unique(pa.concat_arrays([held[i], new])) if held[i] is not None else new
+                    held[i] = held[i][: limit + 1]
+        if held[0] is not None:
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), h) for h in held]
+            yield pa.RecordBatch.from_arrays(lists, names=schema.names)
+
+    kept = df.select(*[named(c).cast(kinds[i]).alias(f"v{i}") for i, c in enumerate(columns)]).mapInArrow(lambda b: keep(b, False), schema)
+    rows = kept.repartition(MERGE_TASKS).mapInArrow(lambda b: keep(b, True), schema).collect()
+    out: dict[str, list | None] = {}
+    for i, c in enumerate(columns):
+        values = {v if v == v else _NAN for r in rows for v in r[i]}
+        out[c] = sorted(values, key=lambda v: (v != v, v)) if len(values) <= limit else None
+    return out
+
+
 def value_counts_by_name(long_df: DataFrame) -> DataFrame:
     return long_df.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import running_totals
 from ..functions.pvalues import chi2_p_value, ks_p_value
-from ..functions.tools import attach, is_numeric, materialise, melt_numeric, melt_text, named, wide_to_long
+from ..functions.tools import attach, few_values, is_numeric, materialise, melt_numeric, melt_text, named, wide_to_long
 
 BINS = 20  # fixed value: histogram bins of the divergence of numeric covariates
 METRICS = ("smd", "variance_ratio", "ks_test", "chi_square", "jensen_shannon")
@@ -144,8 +144,11 @@ def yates_chi2(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def chi_square(df: DataFrame, treatment_col: str, covariates: list[str]) -> DataFrame:
-    """Independence of treatment and a covariate with at most two distinct values."""
-    counts = _counts_by_group(melt_text(df, covariates, [treatment_col]), treatment_col)
+    """Independence of treatment and a covariate with at most two distinct values; only those are grouped."""
+    few = [c for c, values in few_values(df, covariates, 2).items() if values is not None]
+    if not few:
+        return _complete(_no_rows(df, "variable string, chi2_stat double"), df, covariates).withColumn("chi2_p", F.lit(None).cast("double"))
+    counts = _counts_by_group(melt_text(df, few, [treatment_col]), treatment_col)
     cells = counts.groupBy("variable").agg(
         F.count(F.lit(1)).alias("levels"),
         F.sum("k1").alias("n1"),

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..config import ColumnSpec, TableConfig
 from ..errors import ConfigError
-from ..functions.tools import melt_text, named, value_counts_by_name
+from ..functions.tools import few_values, named
 
 ID_NAME = r"(^id$|_id$|^id_|^uuid$)"  # fixed value: which names count as identifiers
 LISTED_VALUES = 50  # fixed value: longest list of distinct values shown
@@ -111,23 +111,23 @@ def validate_config(df: DataFrame, config: TableConfig) -> ConfigCheck:
 def column_stats(df: DataFrame, config: TableConfig) -> DataFrame:
     """Missing share and distinct count per configured column, with the values of short categoricals.
 
-    Values are counted per column before they are listed, so no list is longer than 50.
+    Columns with at most 50 values are counted and listed in one pass without a shuffle; the others are counted one
+    by one in their own type.
     """
     names = [n for n in config.columns if n in df.columns]
     spark = df.sparkSession
-    nulls = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(n).alias(f"n{i}") for i, n in enumerate(names)]).first()
-    distinct = {
-        r["variable"]: r["n_distinct"]
-        for r in value_counts_by_name(melt_text(df, names, []))
-        .groupBy("variable")
-        .agg(F.count(F.lit(1)).alias("n_distinct"))
-        .collect()
-    }
-    listed = [n for n in names if config[n].categorical and distinct.get(n, 0) <= LISTED_VALUES]
+    nulls = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(named(n)).alias(f"n{i}") for i, n in enumerate(names)]).first()
+    few = few_values(df, names, LISTED_VALUES)
+    distinct = {n: len(v) for n, v in few.items() if v is not None}
+    for n in names:
+        if n not in distinct:
+            distinct[n] = df.agg(F.count_distinct(named(n))).first()[0]
+    listed = [n for n in names if config[n].categorical and few[n] is not None]
     values = {}
     if listed:
-        row = df.agg(
-            *[F.transform(F.array_sort(F.collect_set(n)), lambda v: v.cast("string")).alias(f"v{i}") for i, n in enumerate(listed)]
+        schema = T.StructType([T.StructField(f"v{i}", T.ArrayType(df.schema[n].dataType)) for i, n in enumerate(listed)])
+        row = spark.createDataFrame([tuple(few[n] for n in listed)], schema).select(
+            *[F.transform(f"v{i}", lambda v: v.cast("string")).alias(f"v{i}") for i in range(len(listed))]
         ).first()
         values = {n: row[f"v{i}"] for i, n in enumerate(listed)}
     height = nulls["rows"] or 1

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
-from ..functions.tools import attach, complete_rows, is_numeric, melt_numeric, melt_text, named, wide_to_long
+from ..functions.tools import attach, complete_rows, few_values, is_numeric, melt_numeric, melt_text, named, wide_to_long
 from .balance import yates_chi2
 
 FEW_VALUES = 7  # fixed value: numeric covariates with fewer distinct values count as categories
@@ -37,11 +36,8 @@ def _grouped(df: DataFrame, treatment_col: str, covariates: list[str]) -> DataFr
 def routes(df: DataFrame, covariates: list[str]) -> tuple[list[str], list[str]]:
     """(continuous, category-like) covariates, by distinct count."""
     numeric = [c for c in covariates if is_numeric(df, c)]
-    distinct = {}
-    if numeric:
-        counts = melt_numeric(df, numeric, []).distinct().groupBy("variable").count()
-        distinct = {r["variable"]: r["count"] for r in counts.collect()}
-    continuous = [c for c in numeric if distinct.get(c, 0) >= FEW_VALUES]
+    few = few_values(df, numeric, FEW_VALUES - 1)
+    continuous = [c for c in numeric if few[c] is None]
     return continuous, [c for c in covariates if c not in continuous]
 
 
@@ -90,22 +86,21 @@ def frequencies(df: DataFrame, treatment_col: str, covariates: list[str]) -> Dat
     )
 
 
-def _kernel_sums(state: dict):
-    """Partial kernel sums of a batch of distinct values, per (variable, group) and grid point."""
+def _kernel_sums(state: dict, covariates: list[str]):
+    """Kernel sums of all rows of a task, per covariate, group and grid point: they add up over tasks."""
 
     def sums(batches):
+        total = {key: np.zeros(GRID_POINTS) for key in state}
         for batch in batches:
-            for (variable, group), part in batch.groupby(["variable", "group"]):
-                start, step, h = state[(variable, group)]
+            group = batch["group"].to_numpy()
+            for (variable, name), (start, step, h) in state.items():
+                x = batch[f"x{covariates.index(variable)}"].to_numpy(float)[group == name]
+                x, n = np.unique(x[~np.isnan(x)], return_counts=True)
                 grid = start + step * np.arange(GRID_POINTS)
-                total = np.zeros(GRID_POINTS)
-                x, n = part["value"].to_numpy(), part["n"].to_numpy()
                 for i in range(0, len(x), 4096):
                     z = (grid[None, :] - x[i : i + 4096, None]) / h
-                    total += n[i : i + 4096] @ np.exp(-0.5 * z * z)
-                yield pd.DataFrame(
-                    {"variable": variable, "group": group, "point": np.arange(GRID_POINTS), "mass": total}
-                )
+                    total[(variable, name)] += n[i : i + 4096] @ np.exp(-0.5 * z * z)
+        yield pd.DataFrame({"variable": [v for v, _ in total], "group": [g for _, g in total], "masses": [m.tolist() for m in total.values()]})
 
     return sums
 
@@ -139,15 +134,10 @@ def densities(df: DataFrame, treatment_col: str, covariates: list[str]) -> DataF
             curves.append((c, name, start, step, scale))
     schema = "variable string, group string, start double, step double, scale double"
     points = spark.createDataFrame(curves, schema).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1))))
-    counts = melt_numeric(data, covariates, ["group"]).groupBy("variable", "group", "value").agg(F.count(F.lit(1)).alias("n"))
-    wanted = reduce(
-        lambda a, b: a | b,
-        [(F.col("variable") == c) & (F.col("group") == g) for c, g in kernels],
-        F.lit(False),
-    )
+    rows = data.select("group", *[named(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)])
     mass = (
-        counts.where(wanted)
-        .mapInPandas(_kernel_sums(kernels), "variable string, group string, point int, mass double")
+        rows.mapInPandas(_kernel_sums(kernels, covariates), "variable string, group string, masses array<double>")
+        .select("variable", "group", F.posexplode("masses").alias("point", "mass"))
         .groupBy("variable", "group", "point")
         .agg(F.sum("mass").alias("mass"))
     )

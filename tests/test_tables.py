@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pairwell.functions.tools import few_values
 
 from pairwell.config import (
     ColumnSpec, EncodingRule, MissingRule, ScalingRule, TableConfig, config_from_json, config_to_json, read_legacy_config,
@@ -113,3 +114,16 @@ def test_loading(spark, tmp_path):
         batch.raise_if_missing([f"{tmp_path}/gone.csv"])
     facts = files.describe_table(batch.tables["a"])
     assert (facts.n_rows, facts.n_columns, facts.preview.count()) == (2, 2, 2)
+
+
+def test_few_values(spark):
+    import datetime
+    import decimal
+
+    day = datetime.date(2020, 1, 1)
+    rows = [(i, i % 3, None if i % 2 else f"v{i % 4}", float("nan") if i % 5 == 0 else float(i % 2), day if i else None, decimal.Decimal(i % 2), [i % 2], None) for i in range(400)]
+    df = spark.createDataFrame(rows, "`a.b` long, few int, s string, x double, d date, m decimal(10,2), l array<int>, void string").repartition(40)
+    got = few_values(df, df.columns, 3)
+    assert got["a.b"] is None and got["few"] == [0, 1, 2] and got["s"] == ["v0", "v2"] and got["x"][:2] == [0.0, 1.0] and len(got["x"]) == 3
+    assert got["d"] == [day] and got["m"] == [0, 1] and got["l"] == ["[0]", "[1]"] and got["void"] == []
+    assert few_values(df.limit(0), ["few"], 2) == {"few": []} and few_values(df, ["few"], 2) == {"few": None}
