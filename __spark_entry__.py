@@ -8,6 +8,7 @@ Cohorts on the given tables:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from pairwell.plans.spec import MatchSpec
 from pairwell.sources.files import describe_columns, load
 from pairwell.sources.merge import merge_populations
 from pairwell.sources.results import compare_runs, promote, save_result
+from pairwell.sources.states import FittedState, load_state, save_state
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -317,6 +319,44 @@ FROM gaps LEFT JOIN near_balance b USING (c_custkey) LEFT JOIN near_n m USING (c
 query("impute_knn", KNN_SQL)(lambda spark, sf_dir: filled(spark, sf_dir, "knn"))
 
 
+PREPARED = GAPS.replace("FROM customers)", ", segment FROM customers JOIN (SELECT c_custkey, c_mktsegment AS segment FROM customer) USING (c_custkey))") + """,
+m AS (SELECT avg(balance) AS mean FROM gaps), donors AS (SELECT c_custkey, coalesce(balance, mean) AS balance, n FROM gaps, m),
+s AS (SELECT avg(balance) AS center, stddev_pop(balance) AS width FROM donors),
+codes AS (SELECT segment, CAST(row_number() OVER (ORDER BY segment) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT segment FROM gaps)),
+other AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 != 0 THEN s_acctbal END AS balance, CASE WHEN s_suppkey % 2 != 0 THEN CAST(s_nationkey AS DOUBLE) END AS n,
+  CASE s_nationkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'NONE' END AS segment FROM supplier),
+filled AS (SELECT s_suppkey, coalesce(balance, mean) AS balance, n, segment FROM other, m),
+near AS (SELECT s_suppkey, avg(k) AS guess FROM (SELECT s_suppkey, d.n AS k, row_number() OVER (PARTITION BY s_suppkey ORDER BY sqrt((f.balance - d.balance) * (f.balance - d.balance)), c_custkey) AS r
+  FROM filled f JOIN donors d ON f.n IS NULL AND d.n IS NOT NULL) WHERE r <= 2 GROUP BY 1)
+SELECT s_suppkey AS c_custkey, round((balance - center) / width, 4) + 0.0 AS balance, round(coalesce(n, guess), 4) AS n, code AS segment
+FROM filled LEFT JOIN near USING (s_suppkey) LEFT JOIN codes USING (segment), s"""
+
+
+@query("saved_state", PREPARED)
+def _(spark, sf_dir):
+    """Fitted on customers, saved, read back, and applied to suppliers."""
+    segments = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    people = gaps(spark, sf_dir).join(segments, "c_custkey")
+    config = TableConfig({
+        "c_custkey": ColumnSpec("c_custkey", id=True),
+        "balance": ColumnSpec("balance", numerical=True, missing_data_management=MissingRule("impute", imputer="mean"), scaling=ScalingRule(True, "standard")),
+        "n": ColumnSpec("n", numerical=True, missing_data_management=MissingRule("impute", imputer="knn")),
+        "segment": ColumnSpec("segment", categorical=True, encoding=EncodingRule(True, "ordinal")),
+    })
+    fills = impute.fit_impute(people, config, "c_custkey")
+    whole = impute.impute(people, config, fills, "c_custkey")
+    folder = f"{shared_folder(spark)}/states/{uuid.uuid4().hex}"
+    save_state(spark, FittedState(fills, scale.fit_scaling(whole, config), encode.fit_encoding(whole, config)), folder)
+    state = load_state(spark, folder)
+    other = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("c_custkey"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("balance"),
+        F.when(F.col("s_suppkey") % 2 != 0, F.col("s_nationkey").cast("double")).alias("n"),
+        F.when(F.col("s_nationkey") % 3 == 0, "BUILDING").when(F.col("s_nationkey") % 3 == 1, "MACHINERY").otherwise("NONE").alias("segment"))
+    ready = impute.impute(other, config, state.impute, "c_custkey")
+    done = rounded(encode.encode(scale.scale(ready, config, state.scale), config, state.encode), 4)
+    return done.withColumn("balance", F.col("balance") + 0.0)  # no negative zero
+
+
 @query("impute_second_table", GAPS + """ SELECT s_suppkey AS c_custkey, round(CASE WHEN s_suppkey % 3 = 0 THEN (SELECT avg(balance) FROM gaps) ELSE s_acctbal END, 4) AS balance,
 round(CAST(s_nationkey AS DOUBLE), 4) AS n FROM supplier""")
 def _(spark, sf_dir):
