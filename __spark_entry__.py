@@ -567,6 +567,24 @@ def _(spark, sf_dir):
     return named(greedy.greedy_pairs(customer_cohort(spark, sf_dir, "c_nationkey"), "c_custkey", PairRule(TWO)))
 
 
+# All orders of a status as one block: few candidates in the windows, so the queries can be served one by one.
+SERVED_ORDERS = f"""WITH RECURSIVE {ORDERS}, s AS (SELECT o_orderstatus, stddev_pop(days) AS sd FROM orders_ GROUP BY 1),
+q AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rn FROM orders_ WHERE treated = 1),
+cand AS (SELECT q.o_orderstatus AS st, q.rn, p.o_orderkey AS pid, sqrt((q.price - p.price) * (q.price - p.price) + (q.days - p.days) * (q.days - p.days)) AS dist
+  FROM q JOIN orders_ p ON q.o_orderstatus = p.o_orderstatus AND p.treated = 0 AND abs(q.price - p.price) <= 2000 JOIN s ON s.o_orderstatus = q.o_orderstatus WHERE abs(q.days - p.days) <= 0.05::DOUBLE * sd),
+served AS (SELECT o_orderstatus AS st, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS query_id, CAST(NULL AS BIGINT) AS pool_id, CAST(NULL AS DOUBLE) AS dist FROM s
+  UNION ALL SELECT st, rn, CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best.id) END, query_id, best.id, best.d FROM (
+    SELECT w.st, q.rn, any_value(w.taken) AS taken, any_value(q.o_orderkey) AS query_id, min({{'d': c.dist, 'id': c.pid}}) FILTER (c.pid IS NOT NULL) AS best
+    FROM served w JOIN q ON q.o_orderstatus = w.st AND q.rn = w.rn + 1 LEFT JOIN cand c ON c.st = w.st AND c.rn = q.rn AND NOT list_contains(w.taken, c.pid) GROUP BY 1, 2))
+SELECT st AS stratum, query_id, pool_id, round(dist, 6) AS dist, 1 AS rank FROM served WHERE pool_id IS NOT NULL"""
+
+
+@query("greedy_orders", SERVED_ORDERS)
+def _(spark, sf_dir):
+    rule = PairRule(("price", "days"), windows=(Window("price", 2000.0), Window("days", 0.05, "standard_deviation")))
+    return named(greedy.greedy_pairs(order_cohort(spark, sf_dir), "o_orderkey", rule))
+
+
 @query("optimal_assignment")
 def _(spark, sf_dir):
     pairs = assign.optimal_pairs(customer_cohort(spark, sf_dir, "c_nationkey"), "c_custkey", PairRule(TWO))

@@ -165,10 +165,10 @@ def _settle(raise_by: float, penalty: float):
 _STATE = ["tile", "cell", "blk", "q", "p", "mass", "price", "cost", "capacity", "more"]
 
 
-def _in_cells(asks: DataFrame, geo, rows: int) -> DataFrame:
+def in_cells(asks: DataFrame, geo, rows: int, size: int) -> DataFrame:
     """Near rows of a block share a cell: they are numbered along a curve through the first coordinates.
-    ``rows`` is the size of the largest block."""
-    if rows <= CELL:
+    ``rows`` is the size of the largest block, ``size`` that of a cell."""
+    if rows <= size:
         return asks.withColumn("tile", F.col("blk"))
     xs = geo.xs[:_Z_COORDINATES]
     z = F.lit(0).cast("long")
@@ -181,7 +181,7 @@ def _in_cells(asks: DataFrame, geo, rows: int) -> DataFrame:
             for code in codes.values():
                 z = z * 2 + F.shiftright(code, bit).bitwiseAND(F.lit(1))
     placed = running_total(asks.withColumn("_z", z), ["blk"], ["_z", *geo.cs, "q"], out="_at")
-    return placed.withColumn("tile", F.concat_ws("#", "blk", F.floor((F.col("_at") - 1) / CELL).cast("string"))).drop("_z", "_at")
+    return placed.withColumn("tile", F.concat_ws("#", "blk", F.floor((F.col("_at") - 1) / size).cast("string"))).drop("_z", "_at")
 
 
 def _lists(asked: DataFrame, offers: DataFrame, geo, held: DataFrame | None) -> DataFrame:
@@ -241,7 +241,7 @@ def _flow(asks: DataFrame, offers: DataFrame, geo, rows: int) -> DataFrame:
     """
     spark = asks.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asks = _in_cells(asks, geo, rows).withColumn("need", F.least("enough", F.lit(FIRST_LIST)).cast("long"))
+    asks = in_cells(asks, geo, rows, CELL).withColumn("need", F.least("enough", F.lit(FIRST_LIST)).cast("long"))
     asks, offers = materialise(asks), materialise(offers)
     farthest = _farthest(asks, offers, geo)
     # No rearrangement can cost as much: it moves at most every row of a block, each by a distance.

@@ -3,111 +3,137 @@
 With replacement every query simply keeps its k nearest units. Without replacement the
 queries are served in order and each takes the nearest units still free. That order makes
 the outcome a stable matching in which every pool unit prefers the earlier query, so it is
-reached by rounds of proposals that all queries make at once:
+reached by rounds of proposals in any order:
 
-* a query proposes to the best unit on its list that no earlier query has claimed;
-* every unit keeps the earliest proposer, the others move on;
+* the queries to be placed go through their lists cell by cell (near queries share a cell), each to
+  the first unit that nobody earlier holds;
+* a unit goes to the earliest of its proposers and its holder; the others, and a holder that was passed
+  over, are the ones to be placed in the next round. Nobody else moves, and what a round settles is added to
+  what earlier rounds settled;
 * a query that reaches the end of its list asks for a new one, among the units it could
   still win. An empty list settles that it stays unmatched.
 
 Queries with equal features share one list: the j-th of them can do no better than the
-j-th entry, so a group of copies costs as much as its size and not its square.
+j-th entry, so a group of copies costs as much as its size and not its square, and parts of it
+need only their part of the list.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import running_total
-from ..functions.tools import attach, materialise, named, with_size
-from .distance import PairRule, compare_units, nearest_pairs, with_stratum_of
-from .neighbours import LONG_LIST, nearest
+from ..functions.tools import materialise, named
+from .assign import in_cells
+from .distance import PairRule, compare_units, nearest_pairs
+from .neighbours import nearest
 
-FREE = 1e18  # bound of a unit nobody holds
+FREE = 1e18  # place in the order of a unit nobody holds
 SPARE_ENTRIES = 12  # list entries beyond the number of queries sharing the list
-LOOK_AHEAD = 8  # list entries inspected at once when a query moves on
-SMALL_BLOCK = 256  # places to fill in a block that is served in one go
-MEMBER_BLOCK = 65_536  # queries of one list that are scanned in one task
+CELL_LISTS = 512  # lists of one cell
+SHORT_SHARE = 64  # a list with more takers has cells of its own
+MEMBER_PART = 4096  # most takers of one list that are placed together
+LOG_PARTS = 6  # rounds whose results are kept apart before they are joined
 
 
 def greedy_with_replacement(cohort: DataFrame, id_col: str, rule: PairRule, k: int = 1) -> DataFrame:
     return nearest_pairs(cohort, id_col, rule, k)
 
 
-def _members(queries: DataFrame, geo, order: list[str], k: int) -> tuple[DataFrame, DataFrame, bool]:
-    """One row per (query, slot) with its place in the serving order and its list owner, and the owners."""
+def _takers(queries: DataFrame, geo, order: list[str], k: int) -> tuple[DataFrame, DataFrame]:
+    """One row per (query, slot) with its place in the serving order, its list and cell, and one row per class of equal
+    queries with how many takers (``need``) it has."""
     ordered = materialise(running_total(queries, [], order, out="_row"))
     same = ["blk", *geo.xs, *geo.cs]
-    owners = materialise(ordered.groupBy(*same).agg(
-        F.min("_row").alias("cls"), F.count(F.lit(1)).alias("_n"),
-        *[F.first(c).alias(c) for c in [*geo.ss, *geo.ts, "reach"]],
-    ))
-    shared = (owners.agg(F.max("_n")).first()[0] or 0) > 1
-    if shared:
-        placed = ordered.select("stratum", "q", "_row", *same).join(owners.select("cls", *same), same)
-    else:
-        placed = ordered.withColumn("cls", F.col("_row"))
-    members = placed.select(
-        "stratum", "q", "cls", "_row", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot")
-    ).withColumn("prio", (F.col("_row") * k + F.col("slot")).cast("double")).drop("_row")
-    return members, owners.drop("_n"), shared or k > 1
-
-
-def _hand_out_lists(waiting: DataFrame, lists: DataFrame, gen: int, longest: int) -> DataFrame:
-    """Give every waiting row its starting entry: the j-th row of a list starts at entry j."""
-    if longest > LONG_LIST:
-        placed = running_total(waiting, ["cls"], ["prio"], out="j")
+    classes = ordered.groupBy(*same).agg(
+        F.min("_row").alias("q"), F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in [*geo.ss, *geo.ts, "reach"]]
+    )
+    rows = ordered.groupBy("blk").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    classes = materialise(in_cells(classes, geo, rows, CELL_LISTS))
+    if (classes.agg(F.max("_n")).first()[0] or 1) == 1:
+        placed = ordered.select("stratum", "q", "_row", F.lit(0).cast("long").alias("_j")).join(
+            classes.select(F.col("q").alias("_row"), "_n", "tile"), "_row"
+        ).withColumn("cls", F.col("_row"))
     else:
-        placed = waiting.withColumn("j", F.row_number().over(Window.partitionBy("cls").orderBy("prio")).cast("long"))
-    placed = placed.withColumn("gen", F.lit(gen)).withColumn("pos", F.col("j"))
-    return _look_up(placed, lists)
-
-
-def _look_up(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """The unit at each row's list position; past the end the row waits, or is lost if the list was complete."""
-    found = rows.join(lists, ["cls", "gen", "pos"], "left")
-    return found.withColumn("state", F.when(F.col("u").isNotNull(), "held").otherwise("past"))
-
-
-def _mark(rows: DataFrame) -> DataFrame:
-    """Flag the rows whose unit is also claimed by an earlier query. Rows without a unit stay out of the join."""
-    held = rows.where("state = 'held'")
-    firsts = held.groupBy("u").agg(F.min("prio").alias("first"))
-    claimed = held.join(firsts, "u").withColumn("lost", F.col("prio") > F.col("first"))
-    idle = rows.where("state != 'held'").withColumns({"first": F.lit(None).cast("double"), "lost": F.lit(False)})
-    return claimed.select(*idle.columns).unionByName(idle)
-
-
-def _advance(rows: DataFrame, lists: DataFrame, shared: bool) -> DataFrame:
-    firsts = rows.where("state = 'held'").select("u", "first").distinct()
-    losers = rows.where("lost").select("q", "slot", "cls", "gen", "pos", "prio")
-    ahead = losers.withColumn("_pos", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + LOOK_AHEAD)))
-    entries = lists.select("cls", "gen", F.col("pos").alias("_pos"), "u")
-    offers = ahead.join(entries, ["cls", "gen", "_pos"]).join(firsts, "u", "left")
-    open_to = F.col("first").isNull() | (F.col("first") > F.col("prio"))
-    found = offers.where(open_to).groupBy("q", "slot").agg(F.min("_pos").alias("_found"))
-    moves = losers.join(found, ["q", "slot"], "left").select(
-        "q", "slot", F.coalesce("_found", F.col("pos") + LOOK_AHEAD + 1).alias("_next")
+        keys = classes.select(F.col("q").alias("cls"), "_n", "tile", *[F.col(c).alias(f"_same{i}") for i, c in enumerate(same)])
+        placed = ordered.join(keys, [F.col(c).eqNullSafe(F.col(f"_same{i}")) for i, c in enumerate(same)])
+        placed = running_total(placed.select("stratum", "q", "_row", "cls", "_n", "tile"), ["cls"], ["_row"], out="_j").withColumn("_j", F.col("_j") - 1)
+    slots = placed.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    part = F.floor((F.col("_j") * k + F.col("slot")) / MEMBER_PART)
+    own = F.col("_n") * k > SHORT_SHARE
+    takers = slots.select(
+        F.when(own, F.concat_ws(":", "tile", F.col("cls").cast("string"), part.cast("string"))).otherwise(F.col("tile")).alias("cell"),
+        F.concat_ws(":", F.col("cls").cast("string"), part.cast("string")).alias("owner"), "cls",
+        "stratum", "q", F.col("slot").cast("int").alias("slot"), (F.col("_row") * k + F.col("slot")).cast("double").alias("prio"), F.lit(0).cast("long").alias("pos"),
     )
-    plain = rows.drop("first", "lost")
-    moved = plain.join(moves, ["q", "slot"], "left").withColumn("_new", F.coalesce("_next", "pos")).drop("_next")
-    if shared:
-        # Rows of one list keep their order: nobody stands before a row served earlier.
-        moved = moved.withColumn("_lead", F.col("_new") - F.col("j")).withColumn("_block", F.floor(F.col("j") / MEMBER_BLOCK))
-        within = Window.partitionBy("cls", "gen", "_block").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-        tops = moved.groupBy("cls", "gen", "_block").agg(F.max("_lead").alias("_top"))
-        before = Window.partitionBy("cls", "gen").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        tops = tops.select("cls", "gen", "_block", F.max("_top").over(before).alias("_before"))
-        moved = moved.join(tops, ["cls", "gen", "_block"], "left")
-        lead = F.greatest(F.max("_lead").over(within), F.coalesce("_before", F.max("_lead").over(within)))
-        moved = moved.withColumn("_new", F.col("j") + lead).drop("_lead", "_block", "_before")
-    moved = materialise(moved)
-    changed = F.col("_new") != F.col("pos")
-    still = moved.where(~changed).drop("_new")
-    going = moved.where(changed).withColumn("pos", F.col("_new")).drop("_new", "u", "dist", "state")
-    return materialise(still.unionByName(_look_up(going, lists).select(*still.columns)))
+    return takers, classes.withColumn("need", F.col("_n") * k).drop("_n", "tile")
+
+
+def _serve(takers: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+    """The takers of one cell in serving order: each to the first unit on its list that nobody earlier holds."""
+    takers = takers.sort_values("prio", kind="stable")
+    ends = lists[lists["p"].isna()].set_index("owner")["complete"].to_dict()
+    entries = lists[lists["p"].notna()].sort_values(["owner", "rank"], kind="stable")
+    units, dist, held = entries["p"].to_numpy(), entries["dist"].to_numpy(float), entries["held"].to_numpy(float)
+    names, first = np.unique(entries["owner"].to_numpy(), return_index=True)
+    bounds = dict(zip(names, zip(first.tolist(), [*first[1:].tolist(), len(entries)])))
+    lead, taken = dict.fromkeys(ends, 0), set()
+    unit, far, position, state = [], [], [], []
+    for owner, prio, pos in zip(takers["owner"], takers["prio"], takers["pos"]):
+        start, stop = bounds.get(owner, (0, 0))
+        at = start + max(pos, lead[owner])
+        while at < stop and (held[at] < prio or units[at] in taken):
+            at += 1
+        lead[owner] = at + 1 - start
+        position.append(at + 1 - start)
+        if at < stop:
+            taken.add(units[at])
+            unit.append(units[at])
+            far.append(dist[at])
+            state.append("held")
+        else:
+            unit.append(None)
+            far.append(0.0)
+            state.append("none" if ends[owner] else "more")
+    out = takers.drop(columns=["cls"]).assign(pos=position, p=pd.Series(unit, dtype=object).to_numpy(), dist=far, state=state)
+    return out[_PLACED]
+
+
+_PLACED = ["cell", "owner", "stratum", "q", "slot", "prio", "pos", "p", "dist", "state"]
+
+
+def _first_lists(takers: DataFrame, classes: DataFrame, pool: DataFrame, geo) -> DataFrame:
+    """(owner, rank, p, dist, complete): of each class's list the part its takers need, and a row without a unit per list."""
+    asked = classes.withColumn("need", F.col("need") + SPARE_ENTRIES)
+    found = nearest(asked, pool, geo)
+    sizes = asked.select("q", "need").join(found.groupBy("q").agg(F.count(F.lit(1)).alias("_got")), "q", "left")
+    sizes = sizes.select("q", (F.coalesce("_got", F.lit(0)) < F.col("need")).alias("_all"), F.floor((F.col("need") - SPARE_ENTRIES - 1) / MEMBER_PART).alias("_last"))
+    sizes = materialise(sizes)
+    at = F.col("rank").cast("long") - 1
+    spread = found.join(sizes, "q").withColumn("_part", F.explode(F.sequence(
+        F.greatest(F.lit(0).cast("long"), F.floor((at - SPARE_ENTRIES) / MEMBER_PART)), F.least(F.col("_last"), F.floor(at / MEMBER_PART))
+    )))
+    entries = spread.where(at < (F.col("_part") + 1) * MEMBER_PART + SPARE_ENTRIES)
+    owner = F.concat_ws(":", F.col("q").cast("string"), F.col("_part").cast("string")).alias("owner")
+    ends = sizes.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    ends = ends.select(owner, F.lit(0).cast("long").alias("rank"), F.lit(None).cast(pool.schema["p"].dataType).alias("p"), F.lit(0.0).alias("dist"),
+                       (F.col("_all") & (F.col("_part") == F.col("_last"))).alias("complete"))
+    return entries.select(owner, F.col("rank").cast("long").alias("rank"), "p", "dist", F.lit(False).alias("complete")).unionByName(ends)
+
+
+def _holders(log: list[DataFrame], units: DataFrame | None = None) -> DataFrame:
+    """The earliest taker each unit was settled on, of all units or of the given ones."""
+    rows = log[0]
+    for part in log[1:]:
+        rows = rows.unionByName(part)
+    if units is not None:
+        rows = rows.join(units, "p", "left_semi")
+    others = [c for c in _PLACED if c not in ("p", "prio")]
+    best = rows.groupBy("p").agg(F.min_by(F.struct(*others), "prio").alias("_b"), F.min("prio").alias("prio"))
+    return best.select("p", "prio", "_b.*").select(*_PLACED)
 
 
 def greedy_without_replacement(
@@ -120,98 +146,58 @@ def greedy_without_replacement(
     if order_col is not None:
         places = cohort.select(named(id_col).alias("q"), named(order_col).alias("_order"))
         queries, order = queries.join(places, "q"), ["_order", "q"]
-    queries = materialise(queries)
-    asked = queries.groupBy("blk").agg(F.count(F.lit(1)).alias("_m")).withColumn("_small", F.col("_m") * k <= SMALL_BLOCK)
-    asked, blocks = with_size(asked)
-    split = asked.agg(F.count_if("_small"), F.count_if(~F.col("_small"))).first()
-    parts = []
-    if split[0] or not split[1]:
-        few = attach(queries, asked.where("_small"), ["blk"], rows=blocks)
-        parts.append(_serve_small_blocks(few, units.pool.join(asked.where("_small"), "blk", "left_semi"), geo, order, k))
-    if split[1]:
-        many = attach(queries, asked.where("!_small"), ["blk"], rows=blocks).drop("_m", "_small")
-        parts.append(_serve_in_rounds(many, units.pool.join(asked.where("!_small"), "blk", "left_semi"), geo, order, k))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _serve(k: int):
-    def serve(lists: pd.DataFrame) -> pd.DataFrame:
-        """Go through the queries' lists in serving order and hand out free units."""
-        lists = lists.sort_values(["turn", "rank"], kind="stable")
-        taken, given, rows = set(), {}, []
-        for at, (q, p) in enumerate(zip(lists["q"], lists["p"])):
-            n = given.get(q, 0)
-            if n < k and p not in taken:
-                taken.add(p)
-                given[q] = n + 1
-                rows.append((at, n + 1))
-        kept = lists.iloc[[at for at, _ in rows]].copy()
-        kept["rank"] = [r for _, r in rows]
-        return kept[["blk", "q", "p", "dist", "rank"]]
-
-    return serve
-
-
-def _serve_small_blocks(queries: DataFrame, pool: DataFrame, geo, order: list[str], k: int) -> DataFrame:
-    """Blocks with few queries: the m-th query needs at most its m·k nearest units, so lists of that
-    length decide the block, and their total size is bounded."""
-    asked = queries.withColumn("need", F.col("_m") * k)
-    found = nearest(asked.drop("stratum", "_m", "_small"), pool, geo)
-    turn = F.struct(*order)
-    found = found.join(queries.select("blk", "q", turn.alias("_t")), ["blk", "q"])
-    turns = Window.partitionBy("blk").orderBy("_t")
-    found = found.withColumn("turn", F.dense_rank().over(turns)).drop("_t")
-    types = dict(found.dtypes)
-    served = found.groupBy("blk").applyInPandas(
-        _serve(k), f"blk string, q {types['q']}, p {types['p']}, dist double, rank int"
-    )
-    return with_stratum_of(served)
-
-
-def _serve_in_rounds(queries: DataFrame, pool: DataFrame, geo, order: list[str], k: int) -> DataFrame:
-    """Blocks of any size, by rounds of proposals."""
-    pool = materialise(pool)
-    members, owners, shared = _members(queries, geo, order, k)
-    columns = ["stratum", "q", "slot", "cls", "prio", "gen", "j", "pos", "u", "dist", "state"]
-    waiting, settled, lists = materialise(members), None, None
-    gen, spare = 0, SPARE_ENTRIES
+    spark, pool = cohort.sparkSession, materialise(units.pool)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    takers, classes = _takers(queries, geo, order, k)
+    moving, lists = materialise(takers), materialise(_first_lists(takers, classes, pool, geo))
+    types = dict(moving.dtypes) | {"p": dict(pool.dtypes)["p"]}
+    schema = ", ".join(f"{c} {t}" for c, t in [(c, types.get(c, {"dist": "double", "state": "string"}.get(c))) for c in _PLACED])
+    log: list[DataFrame] = []
+    generation, spare = 0, SPARE_ENTRIES
     while True:
-        asking = waiting.groupBy("cls").agg(F.min("prio").alias("prio"), (F.count(F.lit(1)) + spare).alias("need"))
-        asking = materialise(asking)
-        longest = asking.agg(F.max("need")).first()[0]
-        if longest is None:
+        owners = moving.groupBy("owner").agg(F.min("cell").alias("cell"))
+        entries = lists.join(owners, "owner")
+        if log:
+            held = _holders(log, entries.where("p IS NOT NULL").select("p").distinct()).select("p", F.col("prio").alias("held"))
+            entries = entries.join(held, "p", "left").withColumn("held", F.coalesce("held", F.lit(FREE)))
+        else:
+            entries = entries.withColumn("held", F.lit(FREE))
+        # New names for the same columns, so that both sides may come from one table.
+        sides = (df.select(*[F.col(c).alias(c) for c in df.columns]).repartition(parts, "cell") for df in (moving, entries))
+        left, right = (df.groupBy("cell") for df in sides)
+        placed = materialise(left.cogroup(right).applyInPandas(_serve, schema))
+        bids = placed.where("state = 'held'").withColumn("_old", F.lit(False))
+        if log:
+            bids = bids.unionByName(_holders(log, bids.select("p").distinct()).withColumn("_old", F.lit(True)))
+        judged = bids.withColumn("_r", F.row_number().over(Window.partitionBy("p").orderBy("prio")))
+        judged = materialise(judged)
+        log.append(judged.where("_r = 1 AND NOT _old").select(*_PLACED))
+        if len(log) >= LOG_PARTS:
+            log = [materialise(_holders(log))]
+        waiting = placed.where("state = 'more'")
+        n_lost, n_waiting = judged.agg(F.count_if(F.col("_r") > 1)).first()[0], waiting.count()
+        if not n_lost and not n_waiting:
             break
-        offered = pool
-        if settled is not None:
-            held = settled.where("state = 'held'").groupBy(F.col("u").alias("p")).agg(F.min("prio").alias("bound"))
-            earliest = asking.agg(F.min("prio")).first()[0]
-            offered = pool.join(held, "p", "left").withColumn("bound", F.coalesce("bound", F.lit(FREE)))
-            offered = offered.where(F.col("bound") > earliest)
-        asked = owners.join(asking, "cls").withColumnRenamed("cls", "q")
-        found = nearest(asked if settled is not None else asked.drop("prio"), offered, geo)
-        fresh = found.select(
-            F.col("q").alias("cls"), F.lit(gen).alias("gen"), F.col("rank").cast("long").alias("pos"), F.col("p").alias("u"), "dist"
-        )
-        lists = materialise(fresh if lists is None else lists.unionByName(fresh))
-        sizes = lists.where(F.col("gen") == gen).groupBy("cls").agg(F.max("pos").alias("_len"))
-        sizes = asking.join(sizes, "cls", "left").select(
-            "cls", (F.coalesce("_len", F.lit(0)) < F.col("need")).alias("_all")
-        )
-        finished = sizes.withColumn("gen", F.lit(gen)) if gen == 0 else finished.unionByName(sizes.withColumn("gen", F.lit(gen)))
-        finished = materialise(finished)
-        started = _hand_out_lists(waiting.select("stratum", "q", "slot", "cls", "prio"), lists, gen, longest).select(*columns)
-        rows = started if settled is None else settled.unionByName(started)
-        rows = materialise(_mark(materialise(rows)))
-        while rows.where("lost").limit(1).count():
-            rows = materialise(_mark(_advance(rows, lists, shared)))
-        rows = rows.select(*columns)
-        past = rows.where("state = 'past'").join(finished, ["cls", "gen"])
-        waiting = materialise(past.where(~F.col("_all")).select("stratum", "q", "slot", "cls", "prio"))
-        ended = past.where("_all").withColumn("state", F.lit("none")).select(*columns)
-        settled = materialise(rows.where("state != 'past'").unionByName(ended))
-        gen, spare = gen + 1, spare * 2
-    return settled.where("state = 'held'").select(
-        "stratum", F.col("q").alias("query_id"), F.col("u").alias("pool_id"), "dist", (F.col("slot") + 1).cast("int").alias("rank")
+        cls = F.substring_index("owner", ":", 1).cast("long").alias("cls")
+        moving = judged.where("_r > 1").select("cell", "owner", cls, "stratum", "q", "slot", "prio", "pos")
+        if n_waiting:
+            # A new list for the takers that reached the end of theirs: units they could still win.
+            generation, spare = generation + 1, spare * 2
+            again = waiting.select("cell", F.concat("owner", F.lit(f":{generation}")).alias("owner"), cls, "stratum", "q", "slot", "prio", F.lit(0).cast("long").alias("pos"))
+            again = materialise(again)
+            moving = materialise(moving.unionByName(again))
+            asking = again.groupBy("owner", "cls").agg(F.min("prio").alias("prio"), (F.count(F.lit(1)) + spare).alias("need"))
+            offered = pool.join(_holders(log).select("p", F.col("prio").alias("bound")), "p", "left").withColumn("bound", F.coalesce("bound", F.lit(FREE)))
+            asked = classes.drop("need").withColumnRenamed("q", "cls").join(asking, "cls").withColumnRenamed("owner", "q").drop("cls")
+            asked = materialise(asked)
+            found = materialise(nearest(asked, offered, geo))
+            got = asked.select("q", "need").join(found.groupBy("q").agg(F.count(F.lit(1)).alias("_got")), "q", "left")
+            ends = got.select(F.col("q").alias("owner"), F.lit(0).cast("long").alias("rank"), F.lit(None).cast(types["p"]).alias("p"), F.lit(0.0).alias("dist"),
+                              (F.coalesce("_got", F.lit(0)) < F.col("need")).alias("complete"))
+            fresh = found.select(F.col("q").alias("owner"), F.col("rank").cast("long").alias("rank"), "p", "dist", F.lit(False).alias("complete"))
+            lists = materialise(lists.unionByName(fresh).unionByName(ends))
+    return _holders(log).select(
+        "stratum", F.col("q").alias("query_id"), F.col("p").alias("pool_id"), "dist", (F.col("slot") + 1).cast("int").alias("rank")
     )
 
 

@@ -44,9 +44,9 @@ def test_same_as_serving_one_by_one(spark, seed, n, share, grid, k):
 
 
 def test_rounds_with_copies(spark, monkeypatch):
-    monkeypatch.setattr(greedy, "SMALL_BLOCK", 0)
-    monkeypatch.setattr(greedy, "SPARE_ENTRIES", 3)
-    monkeypatch.setattr(greedy, "MEMBER_BLOCK", 4)
+    """Small cells, lists that run out, copies in several parts, and a log that is joined every other round."""
+    for name, value in {"SPARE_ENTRIES": 1, "MEMBER_PART": 4, "CELL_LISTS": 3, "SHORT_SHARE": 6, "LOG_PARTS": 2}.items():
+        monkeypatch.setattr(greedy, name, value)
     df = frame(4, 46, 0.4, True, 1)
     df.loc[df.index[:16], ["x", "y"]] = 1.0
     rule = PairRule(("x", "y"), windows=(Window("x", 2.0),))
