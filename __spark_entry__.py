@@ -21,8 +21,8 @@ from pairwell.operators import profile, propensity, scale
 from pairwell.operators.distance import PairRule, Window
 from pairwell.plans.run import RunResult, run_matching
 from pairwell.plans.spec import MatchSpec
-from pairwell.sources.files import describe_columns, load
-from pairwell.sources.merge import merge_populations
+from pairwell.sources.files import describe_columns, load, load_many
+from pairwell.sources.merge import check_compatibility, check_config_compatibility, merge_populations
 from pairwell.sources.results import compare_runs, promote, save_result
 from pairwell.sources.states import FittedState, load_state, save_state
 
@@ -833,31 +833,110 @@ def run_sql(caliper: int) -> str:
     """Metrics of a run: nearest neighbour with replacement under a scalar caliper, per nation."""
     return f"""SELECT 'greedy_nn' AS algorithm, 'euclidean' AS distance, 'treated_to_control' AS direction, 'False' AS use_propensity_score,
   round((SELECT count(*) FROM pairs{caliper}) / (SELECT sum(treated) FROM customers), 6) AS match_rate,
-  (SELECT round(avg(dist), 6) FROM pairs{caliper}) AS mean_distance, (SELECT CAST(count(*) AS DOUBLE) FROM pairs{caliper}) AS n_pairs"""
+  (SELECT round(avg(dist), 6) FROM pairs{caliper}) AS mean_distance, (SELECT CAST(count(*) AS DOUBLE) FROM pairs{caliper}) AS n_pairs,
+  (SELECT round(max(abs(smd_after)), 6) FROM after{caliper}) AS max_abs_smd_after"""
+
+
+def moments_sql(name: str, rows: str) -> str:
+    """(variable, smd, ratio of variances) of both covariates over rows with ``treated``."""
+    return f"""{name}(variable, smd_{name.rstrip('0123456789')}, ratio_{name.rstrip('0123456789')}) AS (SELECT variable, (m1 - m0) / sqrt((v1 + v0) / 2), v1 / v0 FROM (SELECT variable,
+  avg(value) FILTER (treated = 1) AS m1, avg(value) FILTER (treated = 0) AS m0, var_samp(value) FILTER (treated = 1) AS v1, var_samp(value) FILTER (treated = 0) AS v0
+  FROM ({rows}) r, LATERAL (VALUES ('c_acctbal', CAST(c_acctbal AS DOUBLE)), ('n_orders', CAST(n_orders AS DOUBLE))) x(variable, value) GROUP BY 1))"""
 
 
 def pairs_sql(caliper: int) -> str:
-    return f"""d{caliper} AS (SELECT q.c_custkey AS query_id, {EUCLID} AS dist FROM customers q JOIN customers p ON q.c_nationkey = p.c_nationkey AND q.treated = 1 AND p.treated = 0 WHERE {EUCLID} <= {caliper}),
-pairs{caliper} AS (SELECT query_id, min(dist) AS dist FROM d{caliper} GROUP BY 1)"""
+    members = " UNION ALL ".join(f"SELECT treated, c_acctbal, n_orders FROM pairs{caliper} JOIN customers ON c_custkey = {side}" for side in ("query_id", "pool_id"))
+    return f"""pairs{caliper} AS (SELECT query_id, best.d AS dist, best.id AS pool_id FROM (SELECT q.c_custkey AS query_id, min({{'d': {EUCLID}, 'id': p.c_custkey}}) AS best
+  FROM customers q JOIN customers p ON q.c_nationkey = p.c_nationkey AND q.treated = 1 AND p.treated = 0 WHERE {EUCLID} <= {caliper} GROUP BY 1)), {moments_sql(f'after{caliper}', members)}"""
+
+
+def caliper_run(spark, sf_dir, caliper: float) -> RunResult:
+    result = run_matching(customers(spark, sf_dir), MatchSpec.from_dict({
+        "population": {"treatment_col": "treated", "id_col": "c_custkey"},
+        "covariates": {"matching_covariates": list(TWO)},
+        "constraints": {"exact_match_covariates": ["c_nationkey"]},
+        "strategy": {"allow_replacement": True, "caliper_value": caliper},
+        "diagnostics": {"balance_metrics": ["smd", "variance_ratio"]},
+    }))
+    if not result.success:
+        raise RuntimeError(result.error)
+    return result
+
+
+@query("run_balance", f"""WITH {CUSTOMERS}, {pairs_sql(300)}, {moments_sql('before', 'SELECT * FROM customers')}
+SELECT variable, round(smd_before, 6) AS smd_before, round(smd_after, 6) AS smd_after, round(ratio_before, 6) AS variance_ratio_before, round(ratio_after, 6) AS variance_ratio_after,
+  round((SELECT count(*) FROM pairs300) / (SELECT sum(treated) FROM customers), 6) AS match_rate, round((SELECT max(abs(smd_after)) FROM after300), 6) AS max_abs_smd_after,
+  (SELECT count(*) * 2 FROM pairs300) AS n_matched_rows FROM before JOIN after300 USING (variable)""")
+def _(spark, sf_dir):
+    """A whole run: its balance table, its metrics and the size of the matched dataset."""
+    result = caliper_run(spark, sf_dir, 300.0)
+    table_ = result.tables["balance_table"].select("variable", "smd_before", "smd_after", "variance_ratio_before", "variance_ratio_after")
+    facts = {m: F.lit(result.metrics[m]) for m in ("match_rate", "max_abs_smd_after")}
+    return rounded(table_.withColumns(facts)).withColumn("n_matched_rows", F.lit(result.datasets["matched_dataset"].count()).cast("long"))
+
+
+@query("logit_space_sums", f"""WITH {CUSTOMERS} SELECT CAST(region AS VARCHAR) AS stratum, count(*) AS n, round(sum(treated), 4) + 0.0::DOUBLE AS expected_treated, round(sum(c_acctbal), 2) AS c_acctbal, CAST(sum(n_orders) AS DOUBLE) AS n_orders FROM customers GROUP BY 1""")
+def _(spark, sf_dir):
+    """The first-order condition of the intercept, taken from the logits of the matching space."""
+    df = scored_customers(spark, sf_dir)
+    space = cohort.matching_space("hybrid_covariates_and_ps", list(TWO))
+    sums = df.select("stratum", *space).groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(1 / (1 + F.exp(-F.col(space[-1])))), 4).alias("expected_treated"),
+        F.round(F.sum("c_acctbal"), 2).alias("c_acctbal"), F.sum("n_orders").cast("double").alias("n_orders"))
+    return sums
+
+
+ROLES = """WITH s AS (DESCRIBE supplier), c AS (DESCRIBE customer)"""
+
+
+@query("merge_checks", ROLES + """, l AS (SELECT replace(column_name, 's_', '') AS name, column_type AS kind FROM s), r AS (SELECT replace(column_name, 'c_', '') AS name, column_type AS kind FROM c),
+both_ AS (SELECT l.name, CASE WHEN regexp_matches(l.kind, 'CHAR') THEN 'text' ELSE 'number' END = CASE WHEN regexp_matches(r.kind, 'CHAR') THEN 'text' ELSE 'number' END AS same FROM l JOIN r USING (name))
+SELECT 'common' AS finding, name FROM both_ WHERE same UNION ALL SELECT 'agreed', name FROM both_ WHERE same AND name <> 'nationkey' UNION ALL SELECT 'roles differ', 'nationkey'
+UNION ALL SELECT 'missing', 'loyalty' UNION ALL SELECT 'not configured', name FROM r WHERE name NOT IN (SELECT name FROM l)""")
+def _(spark, sf_dir):
+    """What the merge and configuration checks say about suppliers and customers."""
+    a, b = (table(spark, sf_dir, n).toDF(*[c.split("_", 1)[1] for c in table(spark, sf_dir, n).columns]) for n in ("supplier", "customer"))
+    config_a, config_b = columns.infer_config(a), columns.infer_config(b.select(*[c for c in b.columns if c in a.columns]))
+    turned = TableConfig({**config_b.columns, "nationkey": ColumnSpec("nationkey", categorical=True), "loyalty": ColumnSpec("loyalty", numerical=True)})
+    found = [("common", c) for c in check_compatibility(a, b).common_columns]
+    judged = check_config_compatibility(a, b, config_a, turned)
+    found += [("agreed", c) for c in judged.compatible_columns] + [("roles differ", c) for c, _ in judged.mismatched_columns]
+    checked = columns.validate_config(b, turned)
+    found += [("missing", c) for c in checked.missing_in_dataset] + [("not configured", c) for c in checked.unconfigured_in_dataset]
+    return spark.createDataFrame(found, "finding string, name string")
+
+
+@query("expanded_covariates", """SELECT 'c_mktsegment' AS covariate, 'c_mktsegment__' || c_mktsegment AS name FROM (SELECT DISTINCT c_mktsegment FROM customer) UNION ALL SELECT 'c_acctbal', 'c_acctbal'""")
+def _(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    config = TableConfig({
+        "c_custkey": ColumnSpec("c_custkey", id=True), "c_acctbal": ColumnSpec("c_acctbal", numerical=True),
+        "c_mktsegment": ColumnSpec("c_mktsegment", categorical=True, encoding=EncodingRule(True, "one_hot")),
+    })
+    state = encode.fit_encoding(df, config)
+    ready = encode.encode(df, config, state).columns
+    rows = [(c, n) for c in ("c_mktsegment", "c_acctbal") for n in encode.expanded_names(config, state, c) if n in ready]
+    return spark.createDataFrame(rows, "covariate string, name string")
+
+
+@query("load_many", """SELECT 'nation' AS name, count(*) AS n_rows FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'failed', 1""")
+def _(spark, sf_dir):
+    loaded = load_many(spark, [f"{sf_dir}/{n}.parquet" for n in ("nation", "region", "events", "no_such_table")])
+    parts = [df.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n_rows")) for n, df in loaded.tables.items()]
+    out = spark.range(1).select(F.lit("failed").alias("name"), F.lit(len(loaded.failures)).cast("long").alias("n_rows"))
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 @query("compare_runs", f"WITH {CUSTOMERS}, {pairs_sql(300)}, {pairs_sql(60)} {run_sql(300)} UNION ALL {run_sql(60)}")
 def _(spark, sf_dir):
-    people, folders = customers(spark, sf_dir), []
-    root = shared_folder(spark)
+    root, folders = shared_folder(spark), []
     for caliper in (300.0, 60.0):
-        result = run_matching(people, MatchSpec.from_dict({
-            "population": {"treatment_col": "treated", "id_col": "c_custkey"},
-            "covariates": {"matching_covariates": list(TWO)},
-            "constraints": {"exact_match_covariates": ["c_nationkey"]},
-            "strategy": {"allow_replacement": True, "caliper_value": caliper},
-            "diagnostics": {"run_balance_diagnostics": False},
-        }))
-        if not result.success:
-            raise RuntimeError(result.error)
+        result = caliper_run(spark, sf_dir, caliper)
         folders.append(f"{root}/runs/{result.run_id}")
         save_result(spark, result, folders[-1])
-    return rounded(compare_runs(spark, folders).drop("run_id", "created_at", "max_abs_smd_after"))
+    return rounded(compare_runs(spark, folders).drop("run_id", "created_at"))
 
 
 # ---------------------------------------------------------------- training-data operators

@@ -126,6 +126,15 @@ def run_matching(
     return result
 
 
+def _widened(slim: DataFrame, df: DataFrame, id_col: str) -> DataFrame:
+    """The rows with all columns of ``df``, in its order, before the ones that were added."""
+    rest = [c for c in df.columns if c not in slim.columns]
+    if not rest:
+        return slim
+    wide = slim.join(df.select(named(id_col), *map(named, rest)), id_col)
+    return wide.select(*map(named, [*df.columns, *[c for c in slim.columns if c not in df.columns]]))
+
+
 def _match(df, spec: MatchSpec, covariates, evaluation, categorical, result: RunResult) -> None:
     treat, id_col = spec.population.treatment_col, spec.population.id_col
     direction = spec.population.matching_direction
@@ -135,7 +144,9 @@ def _match(df, spec: MatchSpec, covariates, evaluation, categorical, result: Run
     usable = prep.usable_covariates(report)
     usable = [c for c in covariates if c in usable]
 
-    table = prep.with_stratum(df, list(spec.constraints.exact_match_covariates))
+    # Only what the stages read goes through them; the other columns join the matched rows at the end.
+    read = {id_col, treat, *spec.constraints.exact_match_covariates, *covariates, *evaluation, *(w.covariate for w in spec.constraints.caliper_windows)}
+    table = prep.with_stratum(df.select(*[named(c) for c in df.columns if c in read]), list(spec.constraints.exact_match_covariates))
     table = materialise(prep.resolve_direction(table, treat, direction))
     work = table
     if spec.representation.use_propensity_score:
@@ -173,7 +184,7 @@ def _match(df, spec: MatchSpec, covariates, evaluation, categorical, result: Run
     algorithm = spec.strategy.matching_algorithm
     if algorithm == "optimal_transport_sinkhorn":
         selection = materialise(assign.transport_selection(candidates, id_col, rule, spec.strategy.optimal_transport_target_size))
-        result.datasets["matched_dataset"] = materialise(matched.selected_dataset(work, selection, id_col))
+        result.datasets["matched_dataset"] = materialise(_widened(matched.selected_dataset(work, selection, id_col), df, id_col))
         result.metrics["n_pool_units_selected"] = float(selection.count())
         pairs = work.select(F.lit(None).cast("long").alias("query_id"), named(id_col).alias("pool_id"), F.lit(0.0).alias("dist")).limit(0)
         if not result.metrics["n_pool_units_selected"]:
@@ -189,9 +200,8 @@ def _match(df, spec: MatchSpec, covariates, evaluation, categorical, result: Run
         if not pairs.limit(1).count():
             raise MatchError("nothing was matched in any stratum")
         result.datasets["pairs"] = pairs
-        result.datasets["matched_dataset"] = materialise(
-            matched.matched_dataset(work, pairs, id_col, direction, algorithm == "greedy_nn")
-        )
+        slim = matched.matched_dataset(work, pairs, id_col, direction, algorithm == "greedy_nn")
+        result.datasets["matched_dataset"] = materialise(_widened(slim, df, id_col))
         if algorithm == "optimal_hungarian":
             result.metrics["optimality_gap_bound"] = pairs.agg(F.sum("step")).first()[0]
 
