@@ -86,3 +86,15 @@ def test_roles_that_disagree(spark):
 def test_row_width_counts_arrays(spark):
     df = spark.createDataFrame([(1, [1.0])], "k long, mu array<double>")
     assert row_bytes(df, 1000) == 8 + 8000
+
+
+def test_entry_without_a_library_of_the_optional_part():
+    """Only the optional queries go when something that only they need is missing."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules.update(dict.fromkeys(['ahocorasick', 'regex'])); import __spark_entry__ as e; print(len(e.queries()), any(n[:2] == 'op' and n[2].isdigit() for n in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 70 and out[1] == "False"
