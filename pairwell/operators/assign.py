@@ -155,6 +155,10 @@ def _settle(raise_by: float, penalty: float):
             "tile": asks["tile"].to_numpy()[r], "cell": asks["cell"].iloc[0], "blk": asks["blk"].iloc[0], "q": asks["q"].to_numpy()[r], "p": names, "mass": flow[r, c],
             "price": np.where(np.abs(bid) < raise_by / 2, 0.0, bid), "cost": np.where(to_place, cost[r, c], 0.0), "capacity": capacities, "more": to_beyond,
         })
+        if to_beyond.any():  # all lists of the cell that may go on, so that its rows do not reach their ends one by one
+            ends = asks[np.isfinite(asks["cost"].to_numpy(float))]
+            longer = pd.DataFrame({"tile": ends["tile"], "cell": ends["cell"], "blk": ends["blk"], "q": ends["q"], "p": None, "mass": 0, "price": 0.0, "cost": 0.0, "capacity": 0, "more": True})
+            out = pd.concat([out, longer], ignore_index=True)
         if to_place.any():  # own room and others' room of one place are one bid
             out = out.groupby(["tile", "cell", "blk", "q", "p", "more"], dropna=False, as_index=False).agg({"mass": "sum", "price": "max", "cost": "max", "capacity": "max"})
         return out[_STATE]
@@ -293,7 +297,8 @@ def _flow(asks: DataFrame, offers: DataFrame, geo, rows: int) -> DataFrame:
     prices = _prices(held).select("p", F.col("price").alias("_price"))
     options = lists.join(prices, "p", "left").groupBy("blk", "q").agg(F.min(F.col("cost") + F.coalesce("_price", F.lit(0.0))).alias("_best"))
     flow = held.where("p IS NOT NULL").select("blk", "q", "p", "mass", F.col("cost").alias("dist")).join(prices, "p").join(options, ["blk", "q"])
-    step = F.greatest(F.lit(0.0), F.col("dist") + F.col("_price") - F.col("_best"))
+    short_of = F.col("dist") + F.col("_price") - F.col("_best")
+    step = F.when(short_of > 1e-14 * penalty, short_of).otherwise(0.0)  # less is rounding: prices go up to the penalty
     return flow.select("blk", "q", "p", "mass", "dist", step.alias("step"))
 
 
