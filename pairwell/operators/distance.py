@@ -59,7 +59,8 @@ def _whitener(d: int):
 
     @F.pandas_udf("array<double>")
     def root(flat: pd.Series) -> pd.Series:
-        """Flattened L with inverse covariance = L L' for the upper triangle of a covariance."""
+        """Flattened L with inverse covariance = L L' for the upper triangle of a covariance, then the upper triangle
+        of the squared distance's form and what it is divided by."""
         out = []
         for values in flat:
             cov = np.zeros((d, d))
@@ -68,9 +69,14 @@ def _whitener(d: int):
             try:
                 inverse = np.linalg.inv(cov)
             except np.linalg.LinAlgError:
-                inverse = np.linalg.inv(cov + RIDGE * np.eye(d))
+                cov = cov + RIDGE * np.eye(d)
+                inverse = np.linalg.inv(cov)
             values, vectors = np.linalg.eigh((inverse + inverse.T) / 2)
-            out.append((vectors * np.sqrt(np.clip(values, 0, None))).ravel().tolist())
+            form, divisor = (vectors * np.clip(values, 0, None)) @ vectors.T, 1.0
+            if d == 2 and values.min() > 0:  # the cofactors are the entries themselves
+                form = np.array([[cov[1, 1], -cov[0, 1]], [-cov[0, 1], cov[0, 0]]])
+                divisor = cov[0, 0] * cov[1, 1] - cov[0, 1] * cov[0, 1]
+            out.append([*(vectors * np.sqrt(np.clip(values, 0, None))).ravel().tolist(), *form[upper].tolist(), divisor])
         return pd.Series(out)
 
     return root
@@ -104,7 +110,8 @@ def compare_units(cohort: DataFrame, id_col: str, rule: PairRule) -> Units:
     equal = [w.covariate for w in rule.windows if w.covariate in declared | is_text]
     ranged = [w for w in rule.windows if w.covariate not in equal]
     whitened = rule.metric == "mahalanobis"
-    extra_x = [w.covariate for w in ranged if whitened or w.covariate not in nums]
+    # Whitened coordinates lead the search; the distance itself is taken from the raw ones, so that equal differences tie.
+    extra_x = [*(nums if whitened else []), *[w.covariate for w in ranged if whitened or w.covariate not in nums]]
     extra_x = list(dict.fromkeys(extra_x))
     place = {c: i for i, c in enumerate(nums)} if not whitened else {}
     place.update({c: len(nums) + i for i, c in enumerate(extra_x)})
@@ -155,6 +162,8 @@ def compare_units(cohort: DataFrame, id_col: str, rule: PairRule) -> Units:
     own = []
     if mixed:
         own += [F.when(F.col(f"_range{i}") > 0, F.col(f"_range{i}")).otherwise(1.0).alias(f"s{i}") for i in range(len(nums))]
+    if whitened:
+        own += [F.col("_l")[len(nums) ** 2 + i].alias(f"s{i}") for i in range(len(nums) * (len(nums) + 1) // 2 + 1)]
     for w, win in enumerate(ranged):
         width = F.lit(float(win.value))
         if win.scale == "standard_deviation":
@@ -170,6 +179,7 @@ def compare_units(cohort: DataFrame, id_col: str, rule: PairRule) -> Units:
         rule.weight_cat,
         mixed,
         tuple(place[w.covariate] for w in ranged),
+        whitened,
     )
     queries = whole.where("role = 'query'").select(blk, "stratum", named(id_col).alias("q"), *columns, *own)
     pool = whole.where("role = 'pool'").select(blk, "stratum", named(id_col).alias("p"), *columns, *own)

@@ -12,7 +12,7 @@ whose strip stays larger than that go through the cells.
 
 Query columns: ``blk, q, need, x0.., c0..`` and optionally ``reach`` (largest allowed
 distance), ``t0..`` (window tolerances), ``s0..`` (divisors of the numeric
-differences) and ``prio`` (only units whose ``bound`` is larger qualify).
+differences, or a quadratic form and its divisor) and ``prio`` (only units whose ``bound`` is larger qualify).
 Pool columns: ``blk, p, x0.., c0..`` and optionally ``bound`` and ``extra`` (a
 non-negative amount added to every distance to that unit).
 The first ``n_num`` numeric columns make up the distance, the others carry windows.
@@ -52,6 +52,7 @@ class Geometry:
     weight_cat: float = 1.0
     scaled: bool = False
     windows_on: tuple[int, ...] = ()  # numeric columns that carry a window
+    form: bool = False  # the distance is a quadratic form of the differences in the ``n_num`` columns after the first
 
     @property
     def width(self) -> int:
@@ -67,6 +68,8 @@ class Geometry:
 
     @property
     def ss(self) -> list[str]:
+        if self.form:
+            return [f"s{i}" for i in range(self.n_num * (self.n_num + 1) // 2 + 1)]
         return [f"s{i}" for i in range(self.n_num)] if self.scaled else []
 
     @property
@@ -177,6 +180,7 @@ def build_cells(pool: DataFrame, geo: Geometry, extras: list[str]) -> CellTree:
     points = _coordinates(pool, geo, extras).withColumn("cell", F.lit("0"))
     zs = [c for c in points.columns if c.startswith("z") and c[1:].isdigit()]
     spare = [f"z{geo.width + geo.n_cat + i}" for i, n in enumerate(extras) if n != "extra"]
+    spare += [f"z{geo.n_num + i}" for i in range(geo.n_num) if geo.form and geo.n_num + i not in geo.windows_on]
     varies = reduce(lambda a, b: a | b, [F.col(f"hi_{z}") > F.col(f"lo_{z}") for z in zs], F.lit(False))
     points = materialise(points)
     levels, sizes, splits = [], [], []
@@ -230,7 +234,14 @@ def _cell_search(geo: Geometry, pool_has: set[str], query_has: set[str], ranked:
         for start in range(0, len(queries), step):
             part = slice(start, start + step)
             total = np.zeros((len(qx[part]), len(px)))
-            for i in range(geo.n_num):
+            if geo.form:
+                gaps = [qx[part, i][:, None] - px[:, i][None, :] for i in range(geo.n_num, 2 * geo.n_num)]
+                entries = ((i, j) for i in range(geo.n_num) for j in range(i, geo.n_num))
+                for k, (i, j) in enumerate(entries):
+                    entry = qs[part, k][:, None]
+                    total += entry * (gaps[i] * gaps[i]) if i == j else 2 * entry * gaps[i] * gaps[j]
+                total = np.maximum(total, 0.0) / qs[part, -1][:, None]
+            for i in range(0 if geo.form else geo.n_num):
                 gap = qx[part, i][:, None] - px[:, i][None, :]
                 if geo.metric == "euclidean":
                     total += gap * gap

@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pairwell.operators import neighbours
+from pairwell.operators.distance import PairRule, nearest_pairs
 from pairwell.operators.neighbours import Geometry, nearest
 
 
@@ -111,3 +113,17 @@ def test_bounds_and_extras(spark, tiny_cells):
     p["bound"] = np.where(p.p % 3 == 0, p.p / 10.0, 1e18)
     check(spark, q, p, Geometry("euclidean", 2), None, None)
     check(spark, q, p.drop(columns="bound").assign(extra=(p.p % 7) / 2.0), Geometry("euclidean", 2), 4, None)
+
+
+def test_mahalanobis_ties_of_mirrored_units_go_to_the_lowest_id(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        x, y, dx, dy = (int(v) for v in (rng.integers(0, 9000), rng.integers(0, 30), rng.integers(1, 40), rng.integers(0, 9)))
+        units = [("query", x, y), ("pool", x + dx, y + dy), ("pool", x - dx, y - dy), ("pool", x + 500, y + 70), ("pool", x - 400, y + 90)]
+        rows += [(10 * i + n, str(i), role, float(a), float(b)) for n, (role, a, b) in enumerate(units)]
+    df = spark.createDataFrame(rows, "u long, stratum string, role string, a double, b double")
+    found = nearest_pairs(df, "u", PairRule(("a", "b"), "mahalanobis"), 2).toPandas()
+    assert len(found) == 600
+    assert (found.pool_id - found.query_id).tolist() == found["rank"].tolist()
+    assert (found.groupby("query_id").dist.nunique() == 1).all()
