@@ -54,6 +54,20 @@ def test_language_prediction_and_edges(spark):
     assert language.identified(empty(spark), model).count() == 0
 
 
+def test_language_model_in_parts_loses_no_gram(spark, monkeypatch):
+    rows = [(i, t + f" wort{chr(97 + i % 26)}{chr(97 + i % 7)}", lang, "s", 1) for i, (t, lang) in enumerate([*((t, "en") for t in ENGLISH * 40), *((t, "de") for t in GERMAN * 40)])]
+    docs = table(spark, [*rows, (900, None, "en", "s", 0), (901, "123", "de", "s", 3), (902, "ζωή σὺν τούτοις", None, "s", 9)])
+    whole = {r.doc_id: r for r in language.identified(docs, language.learned(docs)).collect()}
+    monkeypatch.setattr(language, "MODEL_GRAMS", 150)
+    model = language.learned(docs)
+    assert model.parts > 2
+    dealt = {r.doc_id: r for r in language.identified(docs, model).collect()}
+    assert dealt.keys() == whole.keys()
+    for k, r in whole.items():
+        assert (r.lang_pred, r.accepted, r.text, r.source) == (dealt[k].lang_pred, dealt[k].accepted, dealt[k].text, dealt[k].source)
+        assert dealt[k].cross_entropy == pytest.approx(r.cross_entropy, abs=1e-9) and dealt[k].score == pytest.approx(r.score, abs=1e-6)
+
+
 def test_language_models_are_distributions():
     packed, _, _ = language.grams(["abab abba", "baab"])
     keys, n = np.unique(packed, return_counts=True)
