@@ -33,6 +33,7 @@ from ..functions.tools import BROADCAST_ROWS, attach, materialise, named
 
 CELL_UNITS = 4096
 CHUNK_QUERIES = 8192
+STEP_PAIRS = 1 << 19  # pairs of a cell whose distances a task holds at once
 FAN_OUT = 32
 STRIP_UNITS = 16_384
 LONG_LIST = 100_000  # longer neighbour lists are ranked across tasks
@@ -229,7 +230,7 @@ def _cell_search(geo: Geometry, pool_has: set[str], query_has: set[str], ranked:
         qt = queries[ts].to_numpy(float) if ts else None
         need = queries["need"].to_numpy()
         reach = queries["reach"].to_numpy(float)
-        step = max(1, (1 << 21) // len(units))
+        step = max(1, STEP_PAIRS // len(units))
         rows, cols, dists, ranks = [], [], [], []
         for start in range(0, len(queries), step):
             part = slice(start, start + step)

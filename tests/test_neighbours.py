@@ -127,3 +127,18 @@ def test_mahalanobis_ties_of_mirrored_units_go_to_the_lowest_id(spark):
     assert len(found) == 600
     assert (found.pool_id - found.query_id).tolist() == found["rank"].tolist()
     assert (found.groupby("query_id").dist.nunique() == 1).all()
+
+
+def test_one_cell_search_needs_bounded_memory_whatever_the_number_of_queries():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    units = pd.DataFrame({"blk": "b", "p": np.arange(4096), "x0": rng.normal(size=4096), "x1": rng.normal(size=4096)})
+    search, peaks = neighbours._cell_search(Geometry("euclidean", 2), set(units.columns), {"q"}), []
+    for n in (2048, 8192):
+        queries = pd.DataFrame({"blk": "b", "q": np.arange(n), "x0": rng.normal(size=n), "x1": rng.normal(size=n), "need": 1, "reach": np.inf})
+        tracemalloc.start()
+        assert len(search(queries, units)) == n
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert max(peaks) < 60, peaks
