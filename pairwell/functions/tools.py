@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,9 +54,20 @@ def _ready_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and go on from there (survives lost executors)."""
-    _ready_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the checkpoint folder and go on from there (survives lost executors).
+
+    They are read back as a Parquet table, so that Spark knows their size from the files. A checkpoint would hand on the size
+    Spark estimated for the plan: the product of both sides of every join, a number whose digits multiply from round to round
+    until it fills the driver. Only types that Parquet cannot hold, and names that differ in case alone, take a checkpoint.
+    """
+    spark = df.sparkSession
+    odd = any(kind in t for _, t in df.dtypes for kind in ("void", "interval"))
+    if odd or not df.columns or len({c.lower() for c in df.columns}) < len(df.columns):
+        _ready_checkpoint_dir(spark)
+        return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def with_size(df: DataFrame) -> tuple[DataFrame, int]:
