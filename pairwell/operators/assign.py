@@ -11,6 +11,10 @@ Cells that go on contesting the same places become one cell of at most ``LARGEST
 not end it, the least raise of a contested price grows, so every auction ends. Candidate lists
 grow on demand, so no place is out of reach.
 
+On a line (one numeric feature, no window, no caliper) the rows of both sides in order fall into runs that no cheapest
+flow leaves: a place where neither what is asked to its left nor what is asked to its right can overflow past it parts two
+runs. Runs are found by running totals and settled exactly, many in a task; only runs too large for that go to the auction.
+
 Every pair carries in ``step`` how far its row is from the best it could have at the final prices;
 the sum bounds the distance of the total to the optimum.
 """
@@ -33,6 +37,8 @@ LARGEST_CELL = 512
 MERGE_EVERY = 3  # rounds
 PATIENCE = 16  # rounds after which the least raise doubles every round
 FIRST_LIST = 16
+RUN_PAIRS = 1 << 20  # asking times offering rows of a run that is settled at once
+RUNS = 1024  # numbers of runs that share a task
 PRECISION = 1e-10  # least raise of a contested price, relative to the largest possible distance
 _Z_BITS, _Z_COORDINATES = 8, 4
 
@@ -237,12 +243,102 @@ def _merged(cells: DataFrame, state: DataFrame) -> DataFrame:
     return materialise(joined.select("tile", "rows", F.coalesce("_low", "cell").alias("cell")))
 
 
+def _on_a_line(asks: DataFrame, geo) -> bool:
+    if geo.n_num != 1 or geo.n_cat or geo.n_window or geo.windows_on or geo.form:
+        return False
+    return not asks.where(F.col("reach") < float("inf")).limit(1).count()
+
+
+def _runs(asks: DataFrame, offers: DataFrame, geo) -> DataFrame:
+    """Both sides of each block along the line, with the number ``run`` of the independent part each row is in.
+
+    With the total asked less offered up to a row, what can overflow to the right past it is that total less the least one up
+    to there, and what can overflow to the left is the largest total from there on less that one. In a cheapest flow
+    everything offered below an arc is used, so no arc is longer than that overflow.
+    """
+    rows = asks.select("blk", "x0", *geo.ss, "q", F.col("supply").alias("mass"), F.col("supply").alias("_step")).unionByName(
+        offers.select("blk", "x0", "p", F.col("capacity").alias("mass"), (-F.col("capacity")).alias("_step")), allowMissingColumns=True
+    )
+    order = ["x0", "q", "p"]
+    sliced = materialise(rows.repartitionByRange("blk", *order).withColumn("_slice", F.spark_partition_id()))
+    keys = ["blk", "_slice"]
+    inside, slices = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy("blk").orderBy("_slice")
+    turned = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])  # frames that end at the row take one pass
+    first, last, now = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
+    zero = F.lit(0).cast("long")
+
+    shift = sliced.groupBy(*keys).agg(F.sum("_step").alias("_sum")).select(*keys, F.coalesce(F.sum("_sum").over(slices.rowsBetween(first, -1)), zero).alias("_before"))
+    totals = attach(sliced.withColumn("_total", F.sum("_step").over(inside.rowsBetween(first, now))), shift, keys)
+    totals = materialise(totals.withColumn("_total", F.col("_total") + F.col("_before")).drop("_before"))
+    ends = totals.groupBy(*keys).agg(F.min("_total").alias("_low"), F.max("_total").alias("_high")).select(
+        *keys, F.min("_low").over(slices.rowsBetween(first, -1)).alias("_least"), F.max("_high").over(slices.rowsBetween(1, last)).alias("_most")
+    )
+    least, most = F.min("_total").over(inside.rowsBetween(first, now)), F.max("_total").over(turned.rowsBetween(first, now))
+    marked = attach(totals.withColumns({"_down": least, "_up": most}), ends, keys)
+    closed = (F.least("_down", "_least", zero) == F.col("_total")) & (F.greatest("_up", "_most") == F.col("_total"))
+    marked = materialise(marked.withColumn("_cut", closed.cast("long")).drop("_total", "_down", "_up", "_least", "_most", "_step"))
+    shift = marked.groupBy(*keys).agg(F.sum("_cut").alias("_sum")).select(*keys, F.coalesce(F.sum("_sum").over(slices.rowsBetween(first, -1)), zero).alias("_before"))
+    numbered = attach(marked.withColumn("run", F.coalesce(F.sum("_cut").over(inside.rowsBetween(first, -1)), zero)), shift, keys)
+    return numbered.withColumn("run", F.col("run") + F.col("_before")).drop("_before", "_cut", "_slice")
+
+
+def _settle_runs(geo):
+    """A cheapest flow of each run of a frame."""
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["run", "x0", "q", "p"], kind="stable")
+        x, mass, asking = rows["x0"].to_numpy(float), rows["mass"].to_numpy(np.int64), rows["q"].notna().to_numpy()
+        scale = rows[geo.ss[0]].to_numpy(float) if geo.ss else None
+        starts = np.flatnonzero(np.diff(rows["run"].to_numpy(), prepend=-1))
+        froms, tos, masses, dists = [], [], [], []
+        for a, b in zip(starts, np.append(starts[1:], len(rows))):
+            i, j = a + np.flatnonzero(asking[a:b]), a + np.flatnonzero(~asking[a:b])
+            gap = x[i][:, None] - x[j][None, :]
+            numeric = gap * gap if geo.metric == "euclidean" else np.abs(gap) if scale is None else np.abs(gap) / scale[i][:, None]
+            cost = geo.combine(numeric, 0.0, np.sqrt)
+            flow = ship(cost, mass[i], mass[j])
+            r, c = np.nonzero(flow)
+            froms.append(i[r])
+            tos.append(j[c])
+            masses.append(flow[r, c])
+            dists.append(cost[r, c])
+        q, p = np.concatenate(froms), np.concatenate(tos)
+        return pd.DataFrame({
+            "blk": rows["blk"].to_numpy()[q], "q": rows["q"].to_numpy()[q], "p": rows["p"].to_numpy()[p],
+            "mass": np.concatenate(masses), "dist": np.concatenate(dists), "step": 0.0,
+        })
+
+    return settle
+
+
 def _flow(asks: DataFrame, offers: DataFrame, geo, rows: int) -> DataFrame:
     """Rows ``(blk, q, p, mass, dist, step)`` of a cheapest flow that ships as much as possible.
 
     ``asks`` has ``supply`` and ``enough`` (so many nearest places surely suffice), ``offers`` has ``capacity``; no
-    block has more than ``rows`` asks.
+    block has more than ``rows`` asks, and none asks for more than it offers.
     """
+    if not _on_a_line(asks, geo):
+        return _auction(asks, offers, geo, rows)
+    along = materialise(_runs(asks, offers, geo))
+    sizes = along.groupBy("blk", "run").agg(F.count("q").alias("_asks"), F.count("p").alias("_offers")).where("_asks > 0")
+    sizes = sizes.withColumn("_large", (F.col("_asks") > LARGEST_CELL) | (F.col("_asks") * F.col("_offers") > RUN_PAIRS))
+    sizes = materialise(sizes.select("blk", "run", "_large"))
+    n_runs, n_large = sizes.agg(F.count(F.lit(1)), F.count_if("_large")).first()
+    along = materialise(attach(along, sizes, ["blk", "run"], rows=n_runs))
+    types = dict(asks.dtypes) | dict(offers.dtypes)
+    # Ids travel as text: a column with holes would turn whole numbers into fractions.
+    small = along.where("NOT _large").withColumns({"q": F.col("q").cast("string"), "p": F.col("p").cast("string"), "_task": F.floor(F.col("run") / RUNS)})
+    flow = small.groupBy("blk", "_task").applyInPandas(_settle_runs(geo), "blk string, q string, p string, mass long, dist double, step double")
+    flow = flow.withColumns({c: F.col(c).cast(types[c]) for c in ("q", "p")})
+    if not n_large:
+        return flow
+    large = along.where("_large")
+    asks, offers = asks.join(large.select("q"), "q", "left_semi"), offers.join(large.select("p"), "p", "left_semi")
+    return flow.unionByName(_auction(asks, offers, geo, rows))
+
+
+def _auction(asks: DataFrame, offers: DataFrame, geo, rows: int) -> DataFrame:
+    """The flow by rounds of bids between cells."""
     spark = asks.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asks = in_cells(asks, geo, rows, CELL).withColumn("need", F.least("enough", F.lit(FIRST_LIST)).cast("long"))

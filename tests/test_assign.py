@@ -109,3 +109,22 @@ def test_greedy_costs_more_than_optimal(spark):
     one = greedy.greedy_pairs(cohort, "id", PairRule(("x", "y"))).toPandas().dist.sum()
     best = optimal_pairs(cohort, "id", PairRule(("x", "y"))).toPandas().dist.sum()
     assert one == pytest.approx(3.1) and best == pytest.approx(2.9)
+
+
+@pytest.mark.parametrize("share,digits,largest", [(0.25, 3, 512), (0.45, 1, 512), (0.6, 3, 512), (0.5, 2, 12)])
+def test_on_a_line_runs_are_settled_without_a_search(spark, monkeypatch, share, digits, largest):
+    """Two strata; copies with two decimals or one; with a small bound of a run the large ones go to the auction."""
+    monkeypatch.setattr(assign, "LARGEST_CELL", largest)
+    searched = []
+    find = assign.nearest
+    monkeypatch.setattr(assign, "nearest", lambda *a: searched.append(a) or find(*a))
+    df = frame(11, 120, share, digits).assign(s=lambda d: d.id % 2)
+    got = optimal_pairs(resolve_direction(with_stratum(spark.createDataFrame(df), ["s"]), "t"), "id", PairRule(("x",))).toPandas()
+    assert got.query_id.is_unique and got.pool_id.is_unique and bool(searched) == (largest < 512)
+    x = df.set_index("id").x
+    assert got.dist.to_numpy() == pytest.approx(np.abs(x.loc[got.query_id].to_numpy() - x.loc[got.pool_id].to_numpy()))
+    for s, part in df.groupby("s"):
+        cost = distances(part)
+        count, total = exact(cost if len(cost) <= cost.shape[1] else cost.T)
+        mine = got[got.stratum == str(s)]
+        assert len(mine) == count and mine.dist.sum() == pytest.approx(total, abs=1e-6)
