@@ -57,8 +57,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and go on from there (survives lost executors).
 
     They are read back as a Parquet table, so that Spark knows their size from the files. A checkpoint would hand on the size
-    Spark estimated for the plan: the product of both sides of every join, a number whose digits multiply from round to round
-    until it fills the driver. Only types that Parquet cannot hold, and names that differ in case alone, take a checkpoint.
+    Spark estimated for the plan: the product of both sides of every join, a number whose digits multiply from round
+    to round. Only types that Parquet cannot hold, and names that differ in case alone, take a checkpoint.
     """
     spark = df.sparkSession
     odd = any(kind in t for _, t in df.dtypes for kind in ("void", "interval"))
