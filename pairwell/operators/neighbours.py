@@ -8,7 +8,9 @@ touch. Distances are computed with numpy on one cell times one bounded chunk of
 With a caliper window the search is a range join instead: both sides are cut into strips as wide as the
 window, every pool unit also goes to the two strips beside its own, and one shuffle brings a query together with all
 units it may have. Strips with more than ``STRIP_UNITS`` units are cut by the next window too; queries
-whose strip stays larger than that go through the cells.
+whose strip stays larger than that go through the cells. Where a window holds many more units than are asked for, it is
+narrowed first: who finds enough units no farther than the narrow window reaches has them all, so the pairs of a query do
+not grow with the density of the pool. Inside a strip, queries and units are read in the order of the window's column.
 
 Query columns: ``blk, q, need, x0.., c0..`` and optionally ``reach`` (largest allowed
 distance), ``t0..`` (window tolerances), ``s0..`` (divisors of the numeric
@@ -36,6 +38,11 @@ CHUNK_QUERIES = 8192
 STEP_PAIRS = 1 << 19  # pairs of a cell whose distances a task holds at once
 FAN_OUT = 32
 STRIP_UNITS = 16_384
+NARROW_STRIP = 8192  # units of a strip, about, where the window is narrowed
+NARROW_REACH = 16  # a strip is at most so many narrowed windows wide
+SPARE_SHARE = 4  # units expected in a narrowed window for one that is needed
+WIDER = 8  # so many times wider is the next window for queries that did not find enough
+BAND_QUERIES = 128  # queries next to each other in the window's column that are compared together
 LONG_LIST = 100_000  # longer neighbour lists are ranked across tasks
 SLACK = 1e-9  # relative room for rounding when a cell is ruled out
 STRIP_SLACK = 1e-6  # so much wider than the window is a strip, so that rounding never parts a pair by two strips
@@ -212,14 +219,44 @@ def build_cells(pool: DataFrame, geo: Geometry, extras: list[str]) -> CellTree:
 # ---------------------------------------------------------------- distances inside one cell
 
 
-def _cell_search(geo: Geometry, pool_has: set[str], query_has: set[str], ranked: bool = False):
+def _blocks(qx: np.ndarray, px: np.ndarray, qt: np.ndarray | None, geo: Geometry):
+    """Slices of queries and of the units they are compared with: all of them, or what the first window can reach
+    where both are in the order of its column."""
+    at, step = 0, max(1, STEP_PAIRS // len(px))
+    if not geo.windows_on:
+        for at in range(0, len(qx), step):
+            yield slice(at, min(at + step, len(qx))), slice(0, len(px))
+        return
+    q, p = qx[:, geo.windows_on[0]], px[:, geo.windows_on[0]]
+    room = qt[:, 0] + SLACK * (np.abs(q) + qt[:, 0])
+    low, high = np.searchsorted(p, q - room, "left"), np.searchsorted(p, q + room, "right")
+    while at < len(qx):
+        end = min(at + BAND_QUERIES, len(qx))
+        a, b = int(low[at:end].min()), int(high[at:end].max())
+        if (end - at) * (b - a) > STEP_PAIRS:
+            end = at + max(1, STEP_PAIRS // (b - a))
+            a, b = int(low[at:end].min()), int(high[at:end].max())
+        if a < b:
+            yield slice(at, end), slice(a, b)
+        at = end
+
+
+def _cell_search(geo: Geometry, pool_has: set[str], query_has: set[str], ranked: bool = False, whole: bool = False):
+    """The search of one cell; ``whole`` leaves out queries that find fewer units than they need."""
     xs, cs, ss, ts = geo.xs, geo.cs, geo.ss, geo.ts
 
     def search(queries: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or units.empty:
             return pd.DataFrame()
-        units = units.sort_values("p", kind="stable")
-        queries = queries.sort_values("need", kind="stable")
+        units = units.sort_values("p", kind="stable").reset_index(drop=True)
+        by_id = np.arange(len(units))
+        if geo.windows_on:
+            along = xs[geo.windows_on[0]]
+            units = units.sort_values(along, kind="stable")
+            by_id = units.index.to_numpy()
+            queries = queries.sort_values(along, kind="stable")
+        else:
+            queries = queries.sort_values("need", kind="stable")
         px = units[xs].to_numpy(float)
         qx = queries[xs].to_numpy(float)
         codes = []
@@ -230,53 +267,59 @@ def _cell_search(geo: Geometry, pool_has: set[str], query_has: set[str], ranked:
         qt = queries[ts].to_numpy(float) if ts else None
         need = queries["need"].to_numpy()
         reach = queries["reach"].to_numpy(float)
-        step = max(1, STEP_PAIRS // len(units))
+        extra = units["extra"].to_numpy(float) if "extra" in pool_has else None
+        bound = units["bound"].to_numpy(float) if "bound" in pool_has and "prio" in query_has else None
+        prio = queries["prio"].to_numpy(float) if bound is not None else None
         rows, cols, dists, ranks = [], [], [], []
-        for start in range(0, len(queries), step):
-            part = slice(start, start + step)
-            total = np.zeros((len(qx[part]), len(px)))
+        for part, near in _blocks(qx, px, qt, geo):
+            px_, first_unit = px[near], near.start
+            total = np.zeros((len(qx[part]), len(px_)))
             if geo.form:
-                gaps = [qx[part, i][:, None] - px[:, i][None, :] for i in range(geo.n_num, 2 * geo.n_num)]
+                gaps = [qx[part, i][:, None] - px_[:, i][None, :] for i in range(geo.n_num, 2 * geo.n_num)]
                 entries = ((i, j) for i in range(geo.n_num) for j in range(i, geo.n_num))
                 for k, (i, j) in enumerate(entries):
                     entry = qs[part, k][:, None]
                     total += entry * (gaps[i] * gaps[i]) if i == j else 2 * entry * gaps[i] * gaps[j]
                 total = np.maximum(total, 0.0) / qs[part, -1][:, None]
             for i in range(0 if geo.form else geo.n_num):
-                gap = qx[part, i][:, None] - px[:, i][None, :]
+                gap = qx[part, i][:, None] - px_[:, i][None, :]
                 if geo.metric == "euclidean":
                     total += gap * gap
                 else:
                     np.abs(gap, out=gap)
                     total += gap / qs[part, i][:, None] if qs is not None else gap
-            differ = np.zeros(total.shape)
+            differ = np.zeros(total.shape) if codes else 0.0
             for qc, pc in codes:
-                differ += qc[part][:, None] != pc[None, :]
+                differ += qc[part][:, None] != pc[near][None, :]
             dist = geo.combine(total, differ, np.sqrt)
             ok = dist <= reach[part][:, None]
             for w, i in enumerate(geo.windows_on):
-                ok &= np.abs(qx[part, i][:, None] - px[:, i][None, :]) <= qt[part, w][:, None]
-            if "bound" in pool_has and "prio" in query_has:
-                ok &= units["bound"].to_numpy(float)[None, :] > queries["prio"].to_numpy(float)[part][:, None]
-            if "extra" in pool_has:
-                dist = dist + units["extra"].to_numpy(float)[None, :]
+                ok &= np.abs(qx[part, i][:, None] - px_[:, i][None, :]) <= qt[part, w][:, None]
+            if bound is not None:
+                ok &= bound[near][None, :] > prio[part][:, None]
+            if extra is not None:
+                dist = dist + extra[near][None, :]
             dist = np.where(ok, dist, np.inf)
-            most = min(int(need[part].max()), len(px))
-            if most < len(px):
+            most = min(int(need[part].max()), len(px_))
+            if most < len(px_):
                 edge = np.partition(dist, most - 1, axis=1)[:, most - 1]
                 r, c = np.nonzero((dist <= edge[:, None]) & ok)
             else:
                 r, c = np.nonzero(ok)
-            d = dist[r, c]
-            by = np.lexsort((c, d, r))
+            d, c = dist[r, c], c + first_unit
+            by = np.lexsort((by_id[c], d, r))
             r, c, d = r[by], c[by], d[by]
             first = np.searchsorted(r, np.arange(len(total)))
             place = np.arange(len(r)) - first[r]
             keep = place < need[part][r]
+            if whole:
+                keep &= np.bincount(r, minlength=len(total))[r] >= need[part][r]
             ranks.append(place[keep] + 1)
-            rows.append(r[keep] + start)
+            rows.append(r[keep] + part.start)
             cols.append(c[keep])
             dists.append(d[keep])
+        if not rows:
+            return pd.DataFrame()
         r, c = np.concatenate(rows), np.concatenate(cols)
         return pd.DataFrame(
             {
@@ -295,7 +338,9 @@ def _chunked(per_cell: DataFrame) -> DataFrame:
     return per_cell.select("blk", "cell", F.ceil(F.col("_asked") / CHUNK_QUERIES).cast("int").alias("_chunks"))
 
 
-def _search_cells(visits: DataFrame, points: DataFrame, geo: Geometry, sizes: tuple[DataFrame, int, int] | None = None) -> DataFrame:
+def _search_cells(
+    visits: DataFrame, points: DataFrame, geo: Geometry, sizes: tuple[DataFrame, int, int] | None = None, whole: bool = False
+) -> DataFrame:
     """Top ``need`` units of the visited cell for every (query, cell) row. With ``sizes`` (queries ``_asked`` of each
     cell, number of cells, most queries of one) known, every query visits one cell only, and ranks are final."""
     if sizes is None:
@@ -326,47 +371,92 @@ def _search_cells(visits: DataFrame, points: DataFrame, geo: Geometry, sizes: tu
         visits.groupBy(*keys)
         .cogroup(units.groupBy(*keys))
         .applyInPandas(
-            _cell_search(geo, set(units.columns), set(visits.columns), sizes is not None),
+            _cell_search(geo, set(units.columns), set(visits.columns), sizes is not None, whole),
             f"blk {types['blk']}, q {types['q']}, p {types['p']}, dist double" + ", rank int" * (sizes is not None),
         )
     )
 
 
-def _strips(df: DataFrame, geo: Geometry, windows: list[int], spread: bool) -> DataFrame:
-    """The strip of each row along these windows; with ``spread`` also the strips beside it."""
-    places = []
-    for w in windows:
-        x, width = F.col(f"x{geo.windows_on[w]}"), F.col(f"t{w}") * (1 + STRIP_SLACK)
-        places.append(F.when(width > 0, F.floor(x / width)).otherwise(F.pmod(F.xxhash64(x), F.lit(1 << 40))))
-    if not spread:
-        return df.withColumn("cell", F.concat_ws("/", *[p.cast("string") for p in places]))
-    for w, p in zip(windows, places):
-        df = df.withColumn(f"_strip{w}", F.explode(F.array(p - 1, p, p + 1)))
-    cell = F.concat_ws("/", *[F.col(f"_strip{w}").cast("string") for w in windows])
-    return df.withColumn("cell", cell).drop(*[f"_strip{w}" for w in windows])
-
-
-def _search_strips(queries: DataFrame, pool: DataFrame, geo: Geometry, windows: list[int]) -> tuple[DataFrame, DataFrame | None]:
-    """The search by strips along the first of ``windows``, and by the next ones where that leaves too many units
-    in one; the queries that are left because no window is."""
-    asked, units = _strips(queries, geo, windows[:1], False), _strips(pool, geo, windows[:1], True)
+def _strips(df: DataFrame, geo: Geometry, w: int, spread: bool, wide: int) -> DataFrame:
+    """The cell of each row cut into strips along a window, each ``wide`` windows wide; with ``spread`` the row also goes to
+    every other strip that has queries within the window."""
+    x, width = F.col(f"x{geo.windows_on[w]}"), F.col(f"t{w}") * (1 + STRIP_SLACK)
+    same = F.pmod(F.xxhash64(x), F.lit(1 << 40))
+
+    def place(at: Column) -> Column:
+        return F.when(width > 0, F.floor(at / (width * wide))).otherwise(same)
+
+    strip = F.explode(F.sequence(place(x - width), place(x + width))) if spread else place(x)
+    return df.withColumn("_strip", strip).withColumn("cell", F.concat_ws("/", "cell", F.col("_strip").cast("string"))).drop("_strip")
+
+
+def _search_strips(
+    queries: DataFrame, pool: DataFrame, geo: Geometry, whole: bool = False, wide: int = 1, w: int = 0
+) -> tuple[DataFrame, DataFrame | None]:
+    """The search by strips along the first window, and along the next ones too where that leaves too many units
+    in one; the queries that are left because no window makes them few."""
+    if not w:
+        queries, pool = (df.withColumn("cell", F.lit("0")) for df in (queries, pool))
+    asked, units = _strips(queries, geo, w, False, wide), _strips(pool, geo, w, True, wide)
     sizes = asked.groupBy("blk", "cell").agg(F.count(F.lit(1)).alias("_asked")).join(
-        units.groupBy("blk", "cell").agg(F.count(F.lit(1)).alias("_units")), ["blk", "cell"]
+        units.groupBy("blk", "cell").agg(F.count(F.lit(1)).alias("_units")), ["blk", "cell"], "right"
     )
     sizes = materialise(sizes)
-    cells, most_asked, crowded = sizes.agg(F.count(F.lit(1)), F.max("_asked"), F.count_if(F.col("_units") > STRIP_UNITS)).first()
+    every = sizes.agg(F.sum("_units")).first()[0] or 0
+    sizes = sizes.where("_asked IS NOT NULL")
+    cells, most_asked, crowded, met = sizes.agg(
+        F.count(F.lit(1)), F.max("_asked"), F.count_if(F.col("_units") > STRIP_UNITS), F.sum("_units")
+    ).first()
+    if 2 * (met or 0) < every:  # units of strips that nobody asks stay where they are
+        units = attach(units, sizes.select("blk", "cell"), ["blk", "cell"], rows=cells)
     if not crowded:
-        return _search_cells(asked, units, geo, (sizes, cells, most_asked or 0)), None
-    large = sizes.where(F.col("_units") > STRIP_UNITS).select("blk", "cell")
-    there = materialise(attach(asked, large, ["blk", "cell"], rows=crowded).drop("cell"))
-    asked, units = (attach(df, large.withColumn("_large", F.lit(True)), ["blk", "cell"], "left", crowded).where("_large IS NULL").drop("_large") for df in (asked, units))
-    found = _search_cells(asked, units, geo, (sizes, cells, most_asked))
-    if len(windows) == 1:
-        return found, there
-    further, rest = _search_strips(there, pool, geo, windows[1:])
+        return _search_cells(asked, units, geo, (sizes, cells, most_asked or 0), whole), None
+    large = sizes.where(F.col("_units") > STRIP_UNITS).select("blk", "cell", F.lit(True).alias("_large"))
+    marked = [attach(df, large, ["blk", "cell"], "left", crowded) for df in (asked, units)]
+    there, many = (df.where("_large").drop("_large") for df in marked)
+    asked, units = (df.where("_large IS NULL").drop("_large") for df in marked)
+    found = _search_cells(asked, units, geo, (sizes, cells, most_asked), whole)
+    there = materialise(there)
+    if w + 1 == len(geo.windows_on):
+        return found, there.drop("cell")
+    further, rest = _search_strips(there, many, geo, whole, 1, w + 1)
     return found.unionByName(further), rest
 
 
+def _search_narrow(queries: DataFrame, pool: DataFrame, geo: Geometry) -> tuple[list[DataFrame], DataFrame]:
+    """What a narrower first window settles, and the queries it leaves.
+
+    The distance is at least the gap in the window's column, so ``need`` units no farther than the narrow window reaches are
+    nearer than every unit outside it. The windows hold some of a block's units, judged by what lies between its deciles.
+    """
+    needed = queries.groupBy("blk").agg(F.avg("need").alias("_need"))
+    spans = pool.groupBy("blk").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.max(t).alias(t) for t in geo.ts],
+        *[F.percentile_approx(f"x{i}", [0.1, 0.9], 1000).alias(f"_ends{w}") for w, i in enumerate(geo.windows_on)],
+    )
+    span = [(F.col(f"_ends{w}")[1] - F.col(f"_ends{w}")[0]) / 0.8 for w in range(len(geo.ts))]
+    share = reduce(lambda a, b: a * b, [F.least(F.lit(1.0), 2 * F.col(t) / s) for t, s in zip(geo.ts[1:], span[1:])], F.lit(1.0))
+    reach = (SPARE_SHARE * (F.col("_need") + SPARE_SHARE)) / share / 2  # units on each side
+    widths = spans.join(needed, "blk").select("blk", F.col("t0").alias("_window"), reach.alias("_reach"), (span[0] / F.col("_n") * reach).alias("_width"))
+    widths = materialise(widths.where(F.col("_width") > 0))
+    found: list[DataFrame] = []
+    while True:
+        widths = widths.where(F.col("_width") * 2 <= F.col("_window"))
+        n, most = widths.agg(F.count(F.lit(1)), F.max("_reach")).first()
+        if not n:
+            return found, queries
+        narrow = widths.select("blk", F.col("_width").alias("t0"))
+        asked, units = (attach(df.drop("t0"), narrow, ["blk"], rows=n) for df in (queries, pool))
+        wide = max(1, min(NARROW_REACH, int(NARROW_STRIP / most)))
+        near, _ = _search_strips(asked.withColumn("reach", F.least("reach", "t0")), units, geo, True, wide)
+        near = materialise(near)
+        found.append(near)
+        queries = materialise(queries.join(near.where("rank = 1").select("blk", "q"), ["blk", "q"], "left_anti"))
+        if not queries.limit(1).count():
+            return found, queries
+        widths = widths.withColumns({"_width": F.col("_width") * WIDER, "_reach": F.col("_reach") * WIDER})
+
+
 def _best(found: DataFrame, needs: DataFrame | None, most: int) -> DataFrame:
     if most > LONG_LIST:
         ranked = running_total(found, ["blk", "q"], ["dist", "p"], out="rank")
@@ -420,21 +510,31 @@ def nearest(queries: DataFrame, pool: DataFrame, geo: Geometry, most: int | None
                 F.lit(0.0).alias("dist"), F.lit(0).alias("rank"),
             ).limit(0)
     if geo.windows_on and all(t in pool.columns for t in geo.ts):
-        found, rest = _search_strips(queries, pool, geo, list(range(len(geo.windows_on))))
+        parts: list[DataFrame] = []
+        if most <= CELL_UNITS // 2:
+            pool = materialise(_without_copies(pool, geo, most))
+        if geo.metric == "euclidean" and not geo.form and geo.windows_on[0] < geo.n_num and "extra" not in pool.columns:
+            parts, queries = _search_narrow(queries, pool, geo)
+        found, rest = _search_strips(queries, pool, geo)
+        found = reduce(DataFrame.unionByName, [*parts, found])
         if rest is None:
             return found
         return found.unionByName(_nearest_by_cells(rest, pool, geo, most, uniform))
     return _nearest_by_cells(queries, pool, geo, most, uniform)
 
 
+def _without_copies(pool: DataFrame, geo: Geometry, most: int) -> DataFrame:
+    """Of units that agree in every column only the first ``most``: no other can be anybody's neighbour."""
+    copies = Window.partitionBy("blk", *geo.xs, *geo.cs, *[c for c in ("bound", "extra") if c in pool.columns]).orderBy("p")
+    return pool.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= most).drop("_copy")
+
+
 def _nearest_by_cells(queries: DataFrame, pool: DataFrame, geo: Geometry, most: int, uniform: bool) -> DataFrame:
     extras = [c for c in ("bound", "extra") if c in pool.columns]
-    # Of units that agree in every column only the first `most` can be anybody's neighbours.
-    same = ["blk", *geo.xs, *geo.cs, *extras]
     if most <= CELL_UNITS // 2:
-        copies = Window.partitionBy(*same).orderBy("p")
-        pool = pool.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= most).drop("_copy")
+        pool = _without_copies(pool, geo, most)
     else:
+        same = ["blk", *geo.xs, *geo.cs, *extras]
         pool = running_total(pool, same, ["p"], out="_copy").where(F.col("_copy") <= most)
         extras = [*extras, "_copy"]
     tree = build_cells(pool, geo, extras)

@@ -94,6 +94,41 @@ def test_windows_as_range_join(spark, tiny_cells, monkeypatch, strip):
     check(spark, q, p, Geometry("euclidean", 1, n_window=2, windows_on=(1, 2)), None, None)
 
 
+@pytest.mark.parametrize("strip", [16_384, 40])
+def test_windows_over_a_dense_pool(spark, monkeypatch, strip):
+    """The first window is narrowed, more than once for queries in thin places, and not at all for some."""
+    monkeypatch.setattr(neighbours, "STRIP_UNITS", strip)
+    q, p = make(12, 80, 1500, 2, 0, False)
+    p.loc[p.index[:200], ["x0", "x1"]] = p[["x0", "x1"]].iloc[0].to_numpy()
+    q.loc[q.index[:10], "x0"] += 6.0  # few units near, or none
+    for f in (q, p):
+        f["t0"], f["t1"] = 3.0, 1.5
+    geo = Geometry("euclidean", 2, windows_on=(0, 1))
+    check(spark, q, p, geo, 2, 2)
+    q["need"], q["reach"] = np.where(q.q % 4 == 0, 30, 1), np.where(q.q % 3 == 0, 0.01, np.inf)
+    p["bound"], q["prio"] = p.p.astype(float), q.q * 10.0
+    check(spark, q, p, geo, None, None)
+
+
+def test_pairs_of_a_query_do_not_grow_with_the_density_of_the_pool(spark, monkeypatch):
+    from pairwell.operators.neighbours import Geometry, _search_cells
+
+    asked, per_query = [], []
+    monkeypatch.setattr(neighbours, "_search_cells", lambda *args: asked.append(args[:2]) or _search_cells(*args))
+    rng = np.random.default_rng(13)
+    for n in (2_000, 16_000):
+        asked.clear()
+        q = pd.DataFrame({"blk": "b", "q": np.arange(50), "x0": rng.random(50) * 100, "t0": 20.0})
+        p = pd.DataFrame({"blk": "b", "p": np.arange(n), "x0": rng.random(n) * 100, "t0": 20.0})
+        assert nearest(spark.createDataFrame(q), spark.createDataFrame(p), Geometry("euclidean", 1, windows_on=(0,)), 2).count() == 100
+        pairs = 0
+        for visits, units in asked:
+            v, u = visits.select("cell", "x0", "t0").toPandas(), units.select("cell", "x0").toPandas()
+            pairs += sum(((u.x0[u.cell == r.cell] - r.x0).abs() <= r.t0).sum() for r in v.itertuples())
+        per_query.append(pairs / 50)
+    assert per_query[1] < 2 * per_query[0], per_query
+
+
 def test_mixed_distance(spark, tiny_cells):
     q, p = make(4, 40, 200, 1, 2, True)
     q["s0"] = 5.0
