@@ -47,6 +47,7 @@ _NAMES = [c.split()[0] for c in _PIECES.split(", ")]
 _STOP = r"([a-z])([.,][ \n])"
 # Words of which each pre-token surely ends in a token with the end mark, so that many go in one call.
 _PLAIN = re.compile(r"[!-~\u00c0-\u012f\u0132-\u017e]*")
+_PLAIN_LINE = re.compile(r"[ -~\u00c0-\u012f\u0132-\u017e]*")
 
 
 class WordIds:
@@ -78,27 +79,42 @@ class WordIds:
         self.places.update(zip(new, range(had, had + len(new))))
         self.weight += _WORD_BYTES * len(new) + sum(map(len, new)) + 4 * len(ids)
 
-    def encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words in a row, and how many each has."""
-        plain, odd = [], []
+    def encode(self, new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in another order, their ids in a row, and how many each has."""
+        order, found, counts, odd = [], [], [], []
+        # words of letters alone are one pre-token each: a line of them is cut at the end marks, all its words at once
+        letters = list(filter(str.isalpha, new))
+        lines = [letters[i : i + 100] for i in range(0, len(letters), 100)]
+        joined = [" ".join(x) for x in lines]
+        for line, text, e in zip(lines, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(line) or not _PLAIN_LINE.fullmatch(text):
+                odd += line
+                continue
+            order += line
+            found.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        plain = []
         for w in new:
-            (plain if _PLAIN.fullmatch(w) and "<|" not in w else odd).append(w)
+            if not w.isalpha():
+                (plain if _PLAIN.fullmatch(w) and "<|" not in w else odd).append(w)
         lines = [plain[i : i + 100] for i in range(0, len(plain), 100)]
-        flat: dict[str, np.ndarray] = {}
         for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
-            upto = np.cumsum([1 if w.isalpha() else len(self.parts.findall(w)) for w in line])
+            upto = np.cumsum([len(self.parts.findall(w)) for w in line])
             if len(ends) != upto[-1]:
                 odd += line
                 continue
-            cuts = np.concatenate([[0], ends])[np.concatenate([[0], upto])]
-            for w, x, y in zip(line, cuts[:-1].tolist(), cuts[1:].tolist()):
-                flat[w] = ids[x:y]
+            order += line
+            found.append(ids)
+            counts.append(np.diff(np.concatenate([[0], ends])[upto], prepend=0))
         for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            flat[w] = np.array(e.ids, np.uint32)
-        arrays = [flat[w] for w in new]
-        return np.concatenate([np.zeros(0, np.uint32), *arrays]), np.array([len(x) for x in arrays], np.int64)
+            order.append(w)
+            found.append(np.array(e.ids, np.uint32))
+            counts.append([len(e.ids)])
+        return order, np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([np.zeros(0, np.int64), *counts])
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text begins (plus the total)."""
@@ -113,7 +129,7 @@ class WordIds:
         unseen = np.flatnonzero(at < 0).tolist()
         if unseen:
             new = list(dict.fromkeys(words[i] for i in unseen))
-            self.keep(new, *self.encode(new))
+            self.keep(*self.encode(new))
             at[unseen] = [self.places[words[i]] for i in unseen]
         lengths = self.begins[at + 1] - self.begins[at]
         ends = np.cumsum(lengths)
@@ -198,9 +214,9 @@ def harmonic(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
 
         try:
             for batch in batches:
-                names, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
-                for a, b in slices(pc.binary_length(texts).to_pylist()):
-                    ids, begins = lookup.texts(texts[a:b])
+                names, texts = batch.column(0).to_pylist(), batch.column(1)
+                for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                    ids, begins = lookup.texts(pc.fill_null(texts[a:b], ""))
                     for i in range(b - a):
                         whole = np.append(ids[begins[i] : begins[i + 1]], np.uint32(end_id)).astype("<u4")
                         start = 0

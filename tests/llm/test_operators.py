@@ -118,6 +118,15 @@ def test_packing_round_trip(spark):
     assert pack.harmonic(empty(spark), pack.tokenizer_path()).count() == 0
 
 
+def test_word_ids_are_those_of_each_word_alone():
+    lookup = pack.WordIds(pack.tokenizer_path())
+    words = ["alpha", "ünder", "x1y2", "don't", "", "ΣΑΣ", "12,5", "<|endoftext|>", "beta.", "ĳssel", "zeta", *[f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrstuvwxyz"]]
+    order, ids, counts = lookup.encode(words)
+    assert sorted(order) == sorted(words) and counts.sum() == len(ids)
+    for w, own in zip(order, np.split(ids, np.cumsum(counts)[:-1])):
+        assert own.tolist() == lookup.tokenizer.encode(w, add_special_tokens=False).ids, w
+
+
 def test_cut_sums_up():
     for n in (1, 127, 128, 129, 2047, 2048, 2049, 9999):
         assert sum(pack.cut(n)) == n and all(p <= 2048 for p in pack.cut(n))
