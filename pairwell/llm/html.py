@@ -1,14 +1,15 @@
 """Main text of web pages by wrapper induction.
 
-Per host, a bounded sample of its different pages is parsed and their DOM trees are aligned by simple tree
-matching with a base page of each layout among them. A node whose text is the same in most pages of a layout is constant:
-it belongs to the template. Every page is then read on its own: blocks outside scripts, menus and the like, inside the
-article where the page marks one, whose (path, text) is not a constant of the host, in page order.
+All different pages of a host are parsed and their DOM trees are aligned by simple tree matching with a base page of
+their layout. A node whose text is the same in most pages of a layout is constant: it belongs to the template. Every page
+is then read on its own: blocks outside scripts, menus and the like, inside the article where the page marks one, whose
+(path, text) is not a constant of the host, in page order.
 
-The sample is drawn by a hash over the different pages of a host, whatever its share of the table. A page
-is left out of the alignment if most of what varies in it, that is of its blocks which most pages do not have, was seen in an
-earlier page, so copies of an article do not become template. Trees may be as deep and lists as long as they
-like: equal subtrees are weighed once, level by level.
+Nothing is counted on a sample. Bases are found in rounds: some pages per host that are like no base so far are looked at
+together, one of each layout among them is a new base, and all pages that are like no earlier base are aligned with it;
+the rounds end when every page has a base. A page is left out of the alignment if most of what varies in it, that is of its
+blocks which most pages do not have, stands in another page that comes first (by a hash), so copies of an article do not
+become template. Trees may be as deep and lists as long as they like: equal subtrees are weighed once, level by level.
 
 Defined cases: NULL and empty html give an empty text; a tag cut off at the end is dropped; a page whose url
 is NULL has no host template; a host with fewer than three different pages has none either; a page whose
@@ -17,25 +18,28 @@ blocks are all constant keeps them; repeated rows are read one by one; an empty
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import small, written
 from .text import appended, quoted, refuse_clash, with_columns
 
-SAMPLE_PAGES = 16
+PICKED_PAGES = 8  # per host among which new bases are looked for in the first round; four times as many in each further one
+MOST_PICKED = 128
+_KEPT_SHAPES = 200_000  # of pairs of subtrees weighed in a task; beyond that it starts anew. Results do not depend on it.
 CONSTANT_SHARE = 0.6
 SAME_LAYOUT = 0.5  # share of a base page's nodes that a page of its layout has
-_PARTS = 1 << 20
 
 # Element kinds of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
@@ -64,6 +68,9 @@ _NAMES = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*=\s*(\"[^\"]*\"
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
+_LONGS = pa.list_(pa.int64())
+
+
 class Node:
     __slots__ = ("label", "path", "chrome", "article", "children", "texts", "shape")
 
@@ -305,7 +312,7 @@ def matching(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None, sha
 
 
 def induce(pages: list[str]) -> list[int]:
-    """Keys of the constant blocks of a host's pages."""
+    """Keys of the constant blocks of a few pages of a host, all held at once."""
     parsed = [parse(page) for page in sorted(set(pages))]
     having = Counter(t for _, blocks in parsed for t in {b.text for b in blocks if not b.node.chrome})
     shapes, trees, seen = Shapes(), [], set()
@@ -354,20 +361,104 @@ def host_of(url) -> F.Column:
     return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def _induced(frame: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"host": [frame.host.iloc[0]], "constants": [induce(frame.html.tolist())]})
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different texts of a page's blocks outside menus and the like, as hashes, and their lengths."""
+    for batch in batches:
+        found = [{b.text for b in parse(page)[1] if not b.node.chrome} for page in batch.column("html").to_pylist()]
+        hashes = [[int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for t in own] for own in found]
+        sizes = [[len(t) for t in own] for own in found]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("h"), pa.array(hashes, _LONGS), pa.array(sizes, _LONGS)], names=["host", "h", "texts", "sizes"])
+
+
+def _bases_of(frame: pd.DataFrame) -> pd.DataFrame:
+    """One page of each layout among those picked of a host."""
+    shapes, bases, found = Shapes(), [], []
+    for page in frame.sort_values("h").html:
+        root = parse(page)[0]
+        shapes.number(root)
+        if not any(shapes.weight(base.shape, root.shape) >= SAME_LAYOUT * shapes.sizes[base.shape] for base in bases):
+            bases.append(root)
+            found.append(page)
+    return pd.DataFrame({"host": frame.host.iloc[0], "base_html": found})
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every page and base of its layout: the base's blocks (number and key) whose text the page has at the same node."""
+    shapes, bases = Shapes(), {}
+    for batch in batches:
+        out, parsed = [], (None, None)
+        for host, h, page, base, base_page in zip(*(batch.column(c).to_pylist() for c in ("host", "h", "html", "base", "base_html"))):
+            if len(shapes.weights) > _KEPT_SHAPES or len(bases) > 1000:
+                shapes, bases, parsed = Shapes(), {}, (None, None)
+            if base not in bases:
+                root, blocks = parse(base_page)
+                shapes.number(root)
+                of_node: dict[int, list[int]] = {}
+                for i, b in enumerate(blocks):
+                    of_node.setdefault(id(b.node), []).append(i)
+                bases[base] = root, blocks, of_node
+            root, blocks, of_node = bases[base]
+            if parsed[0] != h:
+                other = parse(page)[0]
+                shapes.number(other)
+                parsed = h, other
+            if shapes.weight(root.shape, parsed[1].shape) < SAME_LAYOUT * shapes.sizes[root.shape]:
+                continue
+            pairs: list[tuple[Node, Node]] = []
+            matching(root, parsed[1], pairs, shapes)
+            equal = sorted({i for x, y in pairs for i in of_node.get(id(x), []) if blocks[i].text in y.texts})
+            out.append((host, h, base, equal, [blocks[i].key() for i in equal]))
+        columns = list(zip(*out)) or [[]] * 5
+        kinds = (pa.string(), pa.int64(), pa.int64(), _LONGS, _LONGS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "h", "base", "places", "keys"])
+
+
+def _alignable(given: DataFrame) -> DataFrame:
+    """(host, h) of all different pages but those that mostly repeat what varies in a page before them."""
+    blocks = written(given.mapInArrow(_blocks_of, "host string, h long, texts array<long>, sizes array<long>").dropDuplicates(["host", "h"]))
+    pages = small(written(blocks.groupBy("host").agg(F.count("*").alias("pages"))), 64)
+    each = blocks.select("host", "h", F.explode(F.arrays_zip("texts", "sizes")).alias("t")).select("host", "h", F.col("t.texts").alias("text"), F.col("t.sizes").alias("size"))
+    counts = each.groupBy("host", "text").agg(F.count("*").alias("n"), F.min("h").alias("first")).where("n > 1")
+    shared = counts.join(pages, "host").select("host", "text", "first", (F.col("n") >= F.greatest(F.lit(2.0), F.lit(CONSTANT_SHARE) * F.col("pages"))).alias("constant"))
+    marked = each.join(small(written(shared), 64), ["host", "text"], "left")
+    varies = F.when(F.coalesce("constant", F.lit(False)), 0).otherwise(F.col("size"))
+    sums = marked.groupBy("host", "h").agg(F.sum(varies).alias("size"), F.sum(F.when(F.col("first") < F.col("h"), varies).otherwise(0)).alias("seen"))
+    return written(sums.where("size > 0 and 2 * seen <= size").select("host", "h"))
+
+
+def _templates(given: DataFrame) -> DataFrame:
+    """host, constants: keys of the constant blocks, counted over all different pages of the host."""
+    open_ = _alignable(given)
+    found, picked = [], PICKED_PAGES
+    while open_.limit(1).count():
+        number = F.row_number().over(Window.partitionBy("host").orderBy("h"))
+        chosen = written(open_.withColumn("number", number).where(F.col("number") <= picked).select("host", "h"))
+        taken = given.join(small(chosen, 64), ["host", "h"]).groupBy("host", "h").agg(F.first("html").alias("html"))
+        bases = written(taken.groupBy("host").applyInPandas(_bases_of, "host string, base_html string").withColumn("base", F.xxhash64("base_html")))
+        longest = bases.agg(F.max(F.octet_length("base_html"))).first()[0]
+        asked = small(open_, 64)
+        pages = given.join(asked, ["host", "h"], "left_semi") if found else given
+        met = pages.join(small(bases, longest + 64), "host").select("host", "h", "html", "base", "base_html")
+        rows = met.mapInArrow(_aligned, "host string, h long, base long, places array<long>, keys array<long>").dropDuplicates(["host", "h", "base"])
+        found.append(written(rows.join(asked, ["host", "h"], "left_semi")))
+        open_ = written(open_.join(small(written(found[-1].select("host", "h").distinct()), 64), ["host", "h"], "left_anti"))
+        picked = min(4 * picked, MOST_PICKED)
+    if not found:
+        return given.sparkSession.createDataFrame([], "host string, constants array<long>")
+    others = reduce(DataFrame.unionByName, found).where("h <> base")
+    alike = small(written(others.groupBy("host", "base").agg(F.count("*").alias("alike")).where("alike > 1")), 64)
+    places = others.select("host", "base", F.explode(F.arrays_zip("places", "keys")).alias("b")).select("host", "base", F.col("b.places").alias("place"), F.col("b.keys").alias("key"))
+    counts = places.groupBy("host", "base", "place").agg(F.count("*").alias("n"), F.first("key").alias("key")).join(alike, ["host", "base"])
+    constant = counts.where(F.col("n") >= F.greatest(F.lit(2.0), F.lit(CONSTANT_SHARE) * F.col("alike")))
+    return constant.groupBy("host").agg(F.collect_set("key").alias("constants"))
 
 
 def extracted(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """All columns of ``pages`` plus main_text and n_chars."""
     refuse_clash(pages, ["host", "constants", "main_text", "n_chars"])
     known = pages.withColumn("host", host_of(F.col(quoted(url))))
-    given = known.select("host", F.col(quoted(html)).alias("html")).where("html is not null and host <> ''")
-    different = given.select("host", F.xxhash64("html").alias("h")).distinct()
-    counts = small(written(different.groupBy("host").agg(F.count("*").alias("pages"))), 64)
-    chosen = given.withColumn("h", F.xxhash64("html")).join(counts, "host").where(F.pmod("h", F.lit(_PARTS)) * F.col("pages") < SAMPLE_PAGES * _PARTS)
-    chosen = chosen.groupBy("host", "h").agg(F.first("html").alias("html")).select("host", "html")
-    templates = small(written(chosen.groupBy("host").applyInPandas(_induced, "host string, constants array<long>")), 2048)
+    given = known.select("host", F.col(quoted(html)).alias("html")).where("html is not null and host <> ''").withColumn("h", F.xxhash64("html"))
+    templates = small(written(_templates(given)), 2048)
     joined = known.join(templates, "host", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

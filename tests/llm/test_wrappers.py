@@ -84,3 +84,18 @@ def test_extraction_samples_different_pages(spark):
     found = {r.page_id: r.main_text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all("Section" not in found[i] and "Story" in found[i] for i in [0, 299, *range(1001, 1012)])
     assert "Section" in found[2000] and found[2001] == "" and len(found) == len(rows)
+
+
+def test_every_page_counts_for_its_template(spark):
+    # a layout that only 3 of 400 pages have is in hardly any sample of 16
+    rows = [(i, f"http://h.org/{i}", page(i, layout=int(i in (17, 170, 333)))) for i in range(400)]
+    found = {r.page_id: r.main_text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Section" not in t and "small files" not in t and "Bottom line" not in t and f"Story {i} part 1" in t for i, t in found.items())
+
+
+def test_templates_are_those_of_all_pages_held_at_once(spark):
+    copied = "<p>The same long story that several addresses of this host carry word for word, again and again.</p>"
+    rows = [(i, f"http://h.org/{i}", page(i, copied if i < 5 else None, int(i % 3 == 0))) for i in range(40)]
+    found = {r.page_id: r.main_text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    constants = set(html.induce([r[2] for r in rows]))
+    assert found == {i: html.main_text(p, constants) for i, _, p in rows}
