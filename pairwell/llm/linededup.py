@@ -10,8 +10,8 @@ Jaccard similarity of at least ``percent``, whether that line itself stays or no
 3. Stars: lines that share neighbouring prefix tokens are compared with the first of them. That settles
    nearly all of a group of near copies without forming its pairs.
 4. Prefix join of the unsettled lines with all earlier ones, with the length filter, the positional filter,
-   a bound of the difference by odd sketches (parity bits of the tokens), and the number of shared prefix tokens.
-5. Candidates are verified on the full sets, read again from the texts that hold them.
+   a bound of the difference by odd sketches (128 parity bits of the tokens), and the number of shared prefix tokens.
+5. Candidates are verified on the full sets, read again from the lines that hold them.
 
 Defined cases: NULL texts stay NULL, lines without a word are kept, rows with a NULL doc_id are left as they
 are and compared with nothing; rows that repeat a doc_id stand at the same positions, so lines at equal
@@ -40,13 +40,13 @@ def _hashes(line: Column) -> Column:
     return F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
-def _each_line(docs: DataFrame) -> DataFrame:
-    """doc_id, place, line: lower case, with blanks for other white space."""
+def _each_line(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, place, line: lower case, with blanks for other white space; and columns of the document handed on."""
     low = F.lower("text")
     odd = [F.contains(low, F.lit(c)) for c in _SPACES]
     plain = F.when(odd[0] | odd[1] | odd[2] | odd[3], F.translate(low, _SPACES, "    ")).otherwise(low)
-    whole = docs.where("doc_id is not null and text is not null").select("doc_id", plain.alias("text"))
-    return whole.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    whole = docs.where("doc_id is not null and text is not null").select("doc_id", *carried, plain.alias("text"))
+    return whole.select("doc_id", *carried, F.posexplode(F.split("text", "\n")).alias("place", "line"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -75,10 +75,16 @@ def _rank(table: bytearray, h: Column) -> Column:
 
 
 def _sketch(tokens: Column) -> Column:
+    """Parities of how many tokens fall on each of 64 bits."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
 
 
+def _half(tokens: Column) -> Column:
+    """The tokens of the first 64 of 128 bits; the parities of the others are those of all tokens with these taken off."""
+    return F.filter(tokens, lambda h: h.bitwiseAND(F.lit(64)) == 0)
+
+
 def _short(ranked: Column) -> Column:
     """Prefix tokens as 32-bit hashes, half as large; equal hashes of different tokens cost candidates only. 0: no other line has the token."""
     return F.transform(ranked, lambda r: F.when(F.shiftright(r, _RANK) > 1, F.hash(r)).otherwise(F.lit(0)))
@@ -88,19 +94,19 @@ def _described(lines: DataFrame, table: bytearray, percent: int) -> DataFrame:
     """Of every line: size, digest of its set, sketch and prefix."""
     n = F.size("tokens")
     length = n - F.floor((n * percent + 99) / 100).cast("int") + 1
-    ranked = lines.select("doc_id", "place", n.alias("n"), _sketch(F.col("tokens")).alias("b"), F.sort_array(F.transform("tokens", lambda h: _rank(table, h))).alias("ranked"), length.alias("length"))
-    return ranked.select("doc_id", "place", "n", F.xxhash64("ranked").alias("h1"), F.xxhash64("ranked", F.lit(7)).alias("h2"), "b", _short(F.slice("ranked", F.lit(1), F.col("length"))).alias("prefix"))
+    ranked = lines.select("doc_id", "place", n.alias("n"), _sketch(F.col("tokens")).alias("all"), _sketch(_half(F.col("tokens"))).alias("b"), F.sort_array(F.transform("tokens", lambda h: _rank(table, h))).alias("ranked"), length.alias("length"))
+    return ranked.select("doc_id", "place", "n", F.xxhash64("ranked").alias("h1"), F.xxhash64("ranked", F.lit(7)).alias("h2"), "b", F.col("all").bitwiseXOR(F.col("b")).alias("b2"), _short(F.slice("ranked", F.lit(1), F.col("length"))).alias("prefix"))
 
 
 def _sets(lines: DataFrame) -> DataFrame:
     """One row per distinct set: id in order of first position, how many lines have it."""
-    first = lines.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "place", "b", "prefix")).alias("first"), F.count("*").alias("lines"))
+    first = lines.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "place", "b", "b2", "prefix")).alias("first"), F.count("*").alias("lines"))
     return first.select("first.*", "n", "h1", "h2", "lines").orderBy("doc_id", "place").withColumn("id", F.monotonically_increasing_id())
 
 
 def _close(percent: int) -> Column:
-    """Length filter and the bound by sketches, of a later line (n, b) and an earlier one (m, c)."""
-    odd = F.bit_count(F.col("b").bitwiseXOR(F.col("c")))
+    """Length filter and the bound by sketches, of a later line (n, b, b2) and an earlier one (m, c, c2)."""
+    odd = F.bit_count(F.col("b").bitwiseXOR(F.col("c"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("c2")))
     sizes = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     return sizes & (odd * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
 
@@ -109,24 +115,29 @@ def _star_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Each line with the first line that shares neighbouring prefix tokens."""
     size = F.size("prefix")
     keys = F.transform(F.sequence(F.lit(1), F.least(F.greatest(size - 1, F.lit(1)), F.lit(2 * _STAR_KEYS - 1)), F.lit(2)), lambda i: F.xxhash64(F.get("prefix", i - 1), F.get("prefix", i)))
-    keyed = sets.where("n > 3").select(F.explode(keys).alias("key"), "id", "n", "b")
+    keyed = sets.where("n > 3").select(F.explode(keys).alias("key"), "id")
     first = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("k")).where("k > 1").select("key", "first")
     star = keyed.join(first, "key").where("id > first").select("id", "first").distinct()
     # both ends by id: sizes and sketches
-    ends = sets.select("id", "n", "b")
-    star = star.join(ends, "id").join(ends.select(F.col("id").alias("first"), F.col("n").alias("m"), F.col("b").alias("c")), "first")
+    ends = sets.select("id", "n", "b", "b2")
+    star = star.join(ends, "id").join(ends.select(F.col("id").alias("first"), F.col("n").alias("m"), F.col("b").alias("c"), F.col("b2").alias("c2")), "first")
     return star.where(_close(percent)).select("id", F.col("first").alias("other"))
 
 
 def _prefix_pairs(sets: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
     """Unsettled lines with every earlier line that passes the filters. Sets of up to three tokens can only be equal."""
     marked = sets.where("n > 3").join(small(settled, 8).withColumn("settled", F.lit(1)), "id", "left")
-    entries = marked.select(F.posexplode("prefix").alias("i", "token"), "id", "n", "b", F.coalesce("settled", F.lit(0)).alias("settled"))
-    entries = entries.where("token <> 0")
+    entries = marked.select(F.posexplode("prefix").alias("i", "token"), "id", "n", "b", "b2", F.coalesce("settled", F.lit(0)).alias("settled"))
+    entries = entries.where("token <> 0").select("token", "id", "b", "b2", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).bitwiseOR(F.col("settled").cast("long")).alias("about"))
     # renamed above the join only: both sides are the same plan, so that one shuffle serves both
     x, y = entries.alias("x"), entries.alias("y")
-    names = {"i": "j", "id": "other", "n": "m", "b": "c", "settled": "other_settled"}
-    columns = [F.col(f"x.{c}").alias(c) for c in names] + [F.col(f"y.{c}").alias(other) for c, other in names.items()]
+    def end(side: str, names: dict[str, str]) -> list[Column]:
+        about = F.col(f"{side}.about")
+        parts = {"n": F.shiftright(about, 32), "i": F.shiftright(about.bitwiseAND(F.lit((1 << 32) - 1)), 1), "settled": about.bitwiseAND(F.lit(1))}
+        return [parts.get(c, F.col(f"{side}.{c}")).cast("long").alias(name) for c, name in names.items()]
+
+    names = {"i": "j", "id": "other", "n": "m", "b": "c", "b2": "c2", "settled": "other_settled"}
+    columns = end("x", {c: c for c in names}) + end("y", names)
     met = x.join(y, F.col("x.token") == F.col("y.token")).select(*columns)
     shared = F.least("i", "j") + 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
     positional = shared * (100 + percent) >= percent * (F.col("n") + F.col("m"))
@@ -142,8 +153,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int)
     """The ids of later lines whose pair holds on the full sets."""
     ends = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
     wanted = written(sets.join(ends, "id", "left_semi").select("id", "doc_id", "place"))
-    texts = docs.join(small(written(wanted.select("doc_id").distinct()), 8), "doc_id", "left_semi")
-    full = written(_lines(texts).join(small(wanted, 24), ["doc_id", "place"]).select("id", "tokens").dropDuplicates(["id"]))
+    # only the wanted lines of a text are cut into tokens, and nothing else of it goes to a shuffle
+    of_doc = written(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "id")).alias("wanted")))
+    texts = docs.join(small(of_doc, 64), "doc_id")
+    here = F.filter("wanted", lambda w: w.place == F.col("place"))
+    found = _each_line(texts, "wanted").select(here.alias("here"), "line").where(F.size("here") > 0).select(F.explode("here.id").alias("id"), "line")
+    full = written(found.select("id", F.array_distinct(_hashes(F.col("line"))).alias("tokens")).where(F.size("tokens") > 0).dropDuplicates(["id"]))
     both = pairs.join(full, "id").join(full.select(F.col("id").alias("other"), F.col("tokens").alias("others")), "other")
     common = F.size(F.array_intersect("tokens", "others"))
     return both.where(common * (100 + percent) >= percent * (F.size("tokens") + F.size("others"))).select("id").distinct()

@@ -201,6 +201,14 @@ def test_line_dedup_against_brute_force(spark):
     assert [r.text for r in linededup.clean(nameless).collect()] == ["a b c"] * 2
 
 
+def test_sketches_tell_long_lines_apart(spark):
+    docs = documents(spark, [" ".join(f"{a}{i}" for i in range(200)) for a in "xyz"]).select("doc_id", "text")
+    lines = linededup._described(linededup._lines(docs), bytearray(b"\x01") * (1 << linededup.RARITY_BITS), 80)
+    earlier = {"doc_id": "first", "n": "m", "b": "c", "b2": "c2"}
+    pairs = lines.join(lines.select(*[F.col(a).alias(b) for a, b in earlier.items()]), F.col("doc_id") >= F.col("first"))
+    assert sorted(map(tuple, pairs.where(linededup._close(80)).select("doc_id", "first").collect())) == [(0, 0), (1, 1), (2, 2)]
+
+
 # ---------------------------------------------------------------- 5 top-k
 
 
