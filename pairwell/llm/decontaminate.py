@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import appended, byte_texts, prefix, prefixed, refuse_clash, unprefixed, with_columns, words
+from .text import appended, prefix, prefixed, refuse_clash, sliced, unprefixed, with_columns, words
 
 WINDOW = 13
 # The automaton is sent to every task. It takes some 300 bytes per word of the test items, so test sets above this
@@ -147,7 +147,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         if not built:
             built.append(Automaton(items.value, window))
         for batch in batches:
-            found = [scan_text(t, built[0]) for t in byte_texts(batch.column(text))]
+            found = [scan_text(t, built[0]) for _, _, texts in sliced(batch.column(text)) for t in texts]
             names = [[str(i) for i in f["items"]] for f in found]
             yield appended(batch, {
                 "n_words": pa.array([f["n_words"] for f in found], pa.int64()),

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import small, written
-from .text import LOWER, byte_texts, mix, prefix, prefixed, quoted, slices, span_hashes, unprefixed, words
+from .text import LOWER, mix, prefix, prefixed, quoted, sliced, span_hashes, unprefixed, words
 
 BINS = 256
 MISS = 0.0001
@@ -118,9 +118,9 @@ def _signatures(width: int, percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         for batch in batches:
-            ids, texts = batch.column(0), byte_texts(batch.column(1))
-            for a, b in slices([len(t) for t in texts]):
-                sets = shingle_sets(texts[a:b], width)
+            ids = batch.column(0)
+            for a, b, texts in sliced(batch.column(1)):
+                sets = shingle_sets(texts, width)
                 keys = [band_keys(signature(s), bands, rows) if len(s) else none for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     ids[a:b], pa.array([len(s) for s in sets], pa.int64()),
@@ -136,10 +136,10 @@ def _signatures(width: int, percent: int):
 def _full_sets(width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), byte_texts(batch.column(1))
-            for a, b in slices([len(t) for t in texts]):
+            ids = batch.column(0)
+            for a, b, texts in sliced(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [ids[a:b], pa.array([s.tobytes() for s in shingle_sets(texts[a:b], width)], pa.binary())], names=["rep", "hashes"])
+                    [ids[a:b], pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["rep", "hashes"])
 
     return work
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .folds import held_out, sampled
 from .tables import small, written
-from .text import appended, byte_texts, prefix, prefixed, quoted, refuse_clash, slices, span_hashes, unprefixed, with_columns, words
+from .text import appended, prefix, prefixed, quoted, refuse_clash, sliced, span_hashes, unprefixed, with_columns, words
 
 SAMPLE = 20_000
 
@@ -153,9 +153,8 @@ def fit(pos: np.ndarray, rest: np.ndarray) -> Net | None:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = byte_texts(batch.column(1))
-        for a, b in slices([len(t) for t in texts]):
-            x = features(texts[a:b])
+        for a, b, texts in sliced(batch.column(1)):
+            x = features(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(x.tolist(), pa.list_(pa.float64()))], names=["positive", "x"])
 
 
@@ -180,9 +179,8 @@ def scored(docs: DataFrame, net: Net | None, text: str = "text") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = byte_texts(batch.column(text))
-            for a, b in slices([len(t) for t in texts]):
-                s = shared.value.scores(features(texts[a:b])) if shared.value else np.full(b - a, 0.5)
+            for a, b, texts in sliced(batch.column(text)):
+                s = shared.value.scores(features(texts)) if shared.value else np.full(b - a, 0.5)
                 yield appended(batch.slice(a, b - a), {"score": pa.array(s), "predicted": pa.array((s >= 0.5).astype(np.int32))})
 
     return docs.mapInArrow(work, with_columns(docs, "score double, predicted int"))

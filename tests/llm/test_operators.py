@@ -6,10 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pairwell.llm import decontaminate, html, language, licenses, linededup, neardup, pack, quality, topk, toxicity
+from pairwell.llm import decontaminate, html, language, licenses, linededup, neardup, pack, quality, text, topk, toxicity
 from pairwell.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -127,6 +128,15 @@ def test_word_ids_are_those_of_each_word_alone():
         assert own.tolist() == lookup.tokenizer.encode(w, add_special_tokens=False).ids, w
 
 
+def test_only_one_slice_is_held_as_python_objects(monkeypatch):
+    held = []
+    made = text.byte_texts
+    monkeypatch.setattr(text, "byte_texts", lambda column: held.append(len(column)) or made(column))
+    column = pa.array(["a" * 40, None, "", "b" * 40, "ü" * 20, "c"])
+    found = list(text.sliced(column, 50))
+    assert [t for _, _, part in found for t in part] == made(column) and [(a, b) for a, b, _ in found] == [(0, 3), (3, 4), (4, 6)] and max(held) == 3
+
+
 def test_cut_sums_up():
     for n in (1, 127, 128, 129, 2047, 2048, 2049, 9999):
         assert sum(pack.cut(n)) == n and all(p <= 2048 for p in pack.cut(n))
