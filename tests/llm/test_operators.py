@@ -69,6 +69,31 @@ def test_language_model_in_parts_loses_no_gram(spark, monkeypatch):
         assert dealt[k].cross_entropy == pytest.approx(r.cross_entropy, abs=1e-9) and dealt[k].score == pytest.approx(r.score, abs=1e-6)
 
 
+def test_language_calibrates_on_every_row_left_out_of_the_counts(spark):
+    rng, rows, aside = random.Random(5), [], []
+    for i in range(100_000):
+        crc = zlib.crc32(str(i).encode())
+        if crc % 3 != 1 and (crc % 15 >= 12 or i < 600):
+            t, lang = " ".join(rng.choices(rng.choice((ENGLISH, GERMAN))[0].split(), k=rng.randint(1, 6))), rng.choice(("de", "en"))
+            rows.append((i, t, lang, "s", 0))
+            aside += [(t, lang)] if crc % 15 >= 12 else []
+    assert len(aside) > 12_000
+    model = language.learned(table(spark, rows))
+    d = model.decide([t for t, _ in aside])
+    right = np.array([lang for _, lang in aside]) == d["lang"]
+    assert np.allclose(model.curve, language.logistic(d["x"], right.astype(float)), rtol=1e-9)
+    assert np.allclose(model.limits, [np.quantile(d["ce"][right & (d["lang"] == x)], language.REJECT_QUANTILE) for x in model.langs], rtol=1e-12)
+
+
+def test_language_quantiles_of_few_and_equal_rows(spark):
+    rng = random.Random(6)
+    values = {"a": [2.5], "b": [3.0, 1.0], "c": [1.0] * 7 + [4.0], "d": [rng.random() for _ in range(999)], "e": [float(rng.randint(0, 9)) for _ in range(4000)], "f": [rng.gauss(0, 1) for _ in range(30_000)]}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "pred string, ce double")
+    got = language._quantiles(rows, 0.999)
+    assert got.keys() == values.keys() and all(got[k] == pytest.approx(np.quantile(v, 0.999), rel=1e-12) for k, v in values.items())
+    assert language._quantiles(rows.limit(0), 0.999) == {}
+
+
 def test_language_models_are_distributions():
     packed, _, _ = language.grams(["abab abba", "baab"])
     keys, n = np.unique(packed, return_counts=True)
